@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_digests
+from .decontaminate import contamination
+from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .token_counts import token_counts
+from .url_filters import url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +20,170 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_bpe_codec)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_read(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(_read(spark, sf_dir, "documents")).select(columns)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_bpe_codec, op6_url_filter, op8_quality_rules, op10_decontaminate)}
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _sql_spans(kind: int, pattern: str, group: int, least: int, more: str = "true") -> str:
+    """Matches with their places: what lies between them comes from splitting by the pattern."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+    SELECT row, doc_id, source, {kind} AS kind, hit, value,
+           gaps + coalesce(sum(length(hit)) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (
+      SELECT row, doc_id, source, k, hits[k] AS hit, vals[k] AS value,
+             list_sum(list_transform(between_[1:k], lambda x: length(x))) AS gaps
+      FROM (
+        SELECT row, doc_id, source, regexp_extract_all(text, '{pattern}', 0) AS hits,
+               regexp_extract_all(text, '{pattern}', {group}) AS vals,
+               string_split_regex(text, '{pattern}') AS between_
+        FROM docs
+      ), unnest(range(1, len(hits) + 1)) AS t(k)
+    ) WHERE true
+    QUALIFY length(value) >= {least} AND {more}"""
+
+
+_SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(f"(SELECT row, doc_id, source, kind, value, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM ({x}))" for x in (
+    _sql_spans(0, _ASSIGN, 2, 6),
+    _sql_spans(1, "AKIA[A-Z0-9]+", 0, 20),
+    _sql_spans(2, "[0-9a-f]{24,}", 0, 24),
+    _sql_spans(3, "[A-Za-z0-9_-]{32,}", 0, 32, "regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')"),
+))}),
+owners AS (SELECT value AS v, count(DISTINCT coalesce(source, chr(0))) <= 3 AS live FROM spans GROUP BY 1),
+judged AS (
+  SELECT row, kind, start, live, ['assign', 'access', 'hex', 'key'][kind + 1] || ':' || start || ':' || stop AS said
+  FROM spans JOIN owners ON value = v WHERE kind < 3 OR live
+),
+by_row AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+         string_agg(said, ',' ORDER BY start, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM judged GROUP BY 1
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN by_row USING (row)
+"""
+
+_PAGES = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(action, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), ruled AS (
+  SELECT p.page_id, p.host, p.path,
+         arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(action, length(rule_host || rule_path)) AS action
+  FROM parsed p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY ALL
+)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])(spam|pills|casino|poker|porn|xxx|viagra|warez|torrent|malware)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
+
+_QUALITY = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+words AS (SELECT row, k, ws[k] AS w FROM listed, unnest(range(1, len(ws) + 1)) AS t(k)),
+grams AS (
+  SELECT row, k, w,
+         CASE WHEN lead(w, 2) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o) END AS g3,
+         CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g5,
+         CASE WHEN lead(w, 9) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o, lead(w, 8) OVER o, lead(w, 9) OVER o) END AS g10
+  FROM words WINDOW o AS (PARTITION BY row ORDER BY k)
+),
+marked AS (
+  SELECT row, k, w,
+         g3 IS NOT NULL AND count(*) OVER (PARTITION BY row, g3) > 1 AS r3,
+         g5 IS NOT NULL AND row_number() OVER (PARTITION BY row, g5 ORDER BY k) > 1 AS r5,
+         g10 IS NOT NULL AND row_number() OVER (PARTITION BY row, g10 ORDER BY k) > 1 AS r10
+  FROM grams
+),
+hit AS (
+  SELECT row, length(w) AS n,
+         bool_or(r3) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+         bool_or(r5) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5,
+         bool_or(r10) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10
+  FROM marked
+),
+by_word AS (
+  SELECT row, count(*) AS n_words, sum(n) AS word_chars, count(*) FILTER (c3) AS n_repeat_words,
+         coalesce(sum(n) FILTER (c5), 0) AS chars5, coalesce(sum(n) FILTER (c10), 0) AS chars10
+  FROM hit GROUP BY 1
+),
+lines AS (SELECT row, k, parts[k] AS l FROM (SELECT row, string_split(text, chr(10)) AS parts FROM docs), unnest(range(1, len(parts) + 1)) AS t(k)),
+again AS (SELECT row, l, row_number() OVER (PARTITION BY row, l ORDER BY k) > 1 AS dup FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+by_line AS (SELECT row, count(*) AS n_dup_lines, sum(length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS line_chars FROM again WHERE dup GROUP BY 1),
+counts AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(line_chars, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1)::DOUBLE AS s_line,
+         coalesce(chars5, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1)::DOUBLE AS s5, coalesce(chars10, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1)::DOUBLE AS s10
+  FROM docs LEFT JOIN by_word USING (row) LEFT JOIN by_line USING (row)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR s_line > 0.5 OR s5 > 0.5 OR s10 > 0.45) AS kept
+FROM counts
+"""
+
+_LEAKS = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+wins AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[k : k + least(10, len(ws)) - 1], ' ') AS g
+  FROM item_words, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS t(k) WHERE len(ws) > 0
+),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+doc_wins AS (
+  SELECT row, n, k, array_to_string(ws[k : k + n - 1], ' ') AS g
+  FROM docs, (SELECT DISTINCT n FROM wins) AS lengths, unnest(range(1, len(ws) - n + 2)) AS t(k)
+),
+hits AS (SELECT row, k, n, item_id FROM doc_wins JOIN wins USING (n, g)),
+places AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT row, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT row, item_id::VARCHAR AS i FROM hits) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (row) LEFT JOIN items USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": _SECRETS,
+    "op6_url_filter": _PAGES,
+    "op8_quality_rules": _QUALITY,
+    "op10_decontaminate": _LEAKS,
+}
