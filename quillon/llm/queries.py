@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ._base import new_path
 from .bpe_codec import bpe_digests
 from .decontaminate import contamination
+from .language_id import fit, held_out, identify
+from .line_dedup import line_dedup_report
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .sharding import shard_documents
 from .token_counts import token_counts
 from .url_filters import url_filter
 
@@ -24,10 +29,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"))
 
@@ -37,11 +52,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).select(columns)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard of the newest version, with its size and digest as reread."""
+    shards = shard_documents(_read(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    shards.vacuum()
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return shards.read(shard_col="shard").select("doc_id", "shard", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_bpe_codec, op6_url_filter, op8_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -181,7 +204,28 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN places USING (row) LEFT JOIN items USING (row)
 """
 
+_LINES = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT row, k, len(regexp_extract_all(parts[k], '[^\x20\x09-\x0D]+')) AS w FROM docs, unnest(range(1, len(parts) + 1)) AS t(k)),
+sums AS (SELECT row, k, sum(w) OVER (PARTITION BY row ORDER BY k)::BIGINT AS c, (sum(w) OVER (PARTITION BY row ORDER BY k))::BIGINT - w AS before FROM lines),
+runs AS (
+  SELECT a.row, a.k AS first, min(b.k) AS last FROM sums a JOIN sums b ON a.row = b.row AND b.k >= a.k AND b.c - a.before >= 50 GROUP BY ALL
+  UNION
+  SELECT b.row, max(a.k) AS first, b.k AS last FROM sums a JOIN sums b ON a.row = b.row AND b.k >= a.k AND b.c - a.before >= 50 GROUP BY b.row, b.k
+),
+said AS (SELECT row, doc_id, first, last, last - first AS n, array_to_string(parts[first:last], chr(10)) AS said FROM runs JOIN docs USING (row)),
+marked AS (SELECT row, first, last, row_number() OVER (PARTITION BY said, n ORDER BY doc_id, row, first) > 1 AS again FROM said),
+gone AS (SELECT DISTINCT row, unnest(range(first, last + 1)) AS k FROM marked WHERE again),
+places AS (SELECT row, k, k - row_number() OVER (PARTITION BY row ORDER BY k) AS island FROM gone),
+islands AS (SELECT row, island, min(k) - 1 AS a, max(k) - 1 AS b FROM places GROUP BY ALL),
+by_row AS (SELECT row, sum(b - a + 1)::BIGINT AS n_deleted, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted FROM islands GROUP BY 1),
+kept AS (SELECT row, string_agg(parts[l.k], chr(10) ORDER BY l.k) AS left_ FROM lines l JOIN docs USING (row) LEFT JOIN gone g ON g.row = l.row AND g.k = l.k WHERE g.k IS NULL GROUP BY 1)
+SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted, sha256(coalesce(left_, '')) AS left_sha256
+FROM docs LEFT JOIN by_row USING (row) LEFT JOIN kept USING (row)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": _LINES,
     "op2_secret_scan": _SECRETS,
     "op6_url_filter": _PAGES,
     "op8_quality_rules": _QUALITY,
