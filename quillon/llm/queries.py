@@ -10,6 +10,7 @@ from .bpe_codec import bpe_digests
 from .decontaminate import contamination
 from .language_id import fit, held_out, identify
 from .line_dedup import line_dedup_report
+from .minhash import near_duplicates
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .sharding import shard_documents
@@ -47,6 +48,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(_read(spark, sf_dir, "documents")).select(columns)
@@ -64,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op8_quality_rules, op9_sharding, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
