@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass holds at most, unless a single text is longer.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 _OWN: list[tuple[object, str]] = []
 
@@ -73,6 +75,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
             to = max(at + 1, int(np.searchsorted(ends, past + limit, "right")))
             yield batch.slice(at, to - at), [x or b"" for x in text.slice(at, to - at).to_pylist()]
             at = to
+        del text, batch
+        _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back, as workers idle beside the executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def strings(values: list) -> pa.Array:

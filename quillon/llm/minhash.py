@@ -137,17 +137,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough."""
     left = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("set", "sx"), "x")
     both = left.join(sets.withColumnRenamed("id", "y").withColumnRenamed("set", "sy"), "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["x", "y"])
-
-    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
+    same, every = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
+    return both.where(100 * same >= percent * (every - same)).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
