@@ -13,6 +13,7 @@ Links inside a component add nothing, so none that matters is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more = table(_confirmed(_plausible(apart, sizes, percent), sets, percent), "links")
     edges = edges.unionByName(more)
     parts = components(edges)
-    rest = _confirmed(table(_residual(members, parts, sizes, percent), "rest"), sets, percent)
+    rest = _confirmed(table(_residual(members, parts, sizes, sets, percent), "rest"), sets, percent)
     edges = edges.unionByName(table(rest, "links"))
     parts = components(edges)
     named = _labelled(classes.select("d1", "d2", "id"), parts, "id", "component_id").select("d1", "d2", F.col("id").alias("class_id"), "component_id")
@@ -229,21 +230,46 @@ def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").where(F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & _near("kx", "ky")).select("x", "y")
 
 
-def _residual(members: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of a bucket's members that are in different components, and neither of
-    them the bucket's centre: those of its largest components against the others, once each.
+#: Ratio of the set sizes that one class of sizes spans.
+SIZE_CLASS = 1.03
 
-    Of a bucket, the members outside the centre's component are looked up against all others;
-    what is compared is bounded by the bucket's size times those outside.
+
+def _residual(members: DataFrame, parts: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs of documents in different components, of those in buckets that hold more
+    than one; at least one of them is outside the largest component of such a bucket.
+
+    Those outside are looked up by prefixes: of two sets with enough in common, each has one of
+    the shared shingles among its rarest n - required + 1. A document that is not linked to a
+    centre much like it differs from it in at least that many shingles, so its prefix is made of
+    what it doesn't share with the group, and the group's own shingles, which all its members
+    have, are no keys of it. Classes of sizes keep prefixes as short as the sizes allow.
     """
-    named = _labelled(members, parts, "id", "c")
-    named = _labelled(named, parts, "centre", "cc")
-    mixed = named.groupBy("band").agg(F.sum(F.when(F.col("c") != F.col("cc"), 1).otherwise(0)).alias("outside")).where("outside > 0").select("band")
-    rows = named.join(mixed, "band").where("id <> centre").join(sizes, "id")
-    a = rows.where("c <> cc").select("band", F.col("id").alias("x"), F.col("c").alias("ca"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
-    b = rows.select("band", F.col("id").alias("y"), F.col("c").alias("cb"), F.col("n").alias("ny"), F.col("sketch").alias("ky"), (F.col("c") != F.col("cc")).alias("out"))
-    met = a.join(b, (a["band"] == b["band"]) & (F.col("ca") != F.col("cb")) & (~F.col("out") | (F.col("x") < F.col("y"))) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & _near("kx", "ky"))
-    return met.select("x", "y").distinct()
+    named = _labelled(members.select("band", "id"), parts, "id", "c")
+    large = _labelled(members.select("id").distinct(), parts, "id", "c").groupBy("c").agg(F.count("*").alias("of"))
+    held = named.groupBy("band", "c").agg(F.lit(1).alias("one")).join(large, "c")
+    mixed = held.groupBy("band").agg(F.max_by("c", F.struct("of", -F.col("c"))).alias("cc"), F.count("*").alias("parts")).where("parts > 1")
+    rows = named.join(mixed, "band").groupBy("id").agg(F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("cc")).alias("out"))
+    rows = table(rows.join(sizes, "id"), "mixed")
+    tokens = sets.join(rows.select("id"), "id", "left_semi").select("id", F.explode("set").alias("k"))
+    often = tokens.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+    listed = tokens.join(often, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("l"))
+    most = F.expr(f"n - CAST(ceil({percent} * n / 100) AS BIGINT) + 1")  # the longest prefix of a set
+    keyed = listed.join(rows, "id").withColumn("own", F.col("n") - F.size("l"))
+    keyed = table(keyed.withColumn("l", F.slice("l", F.lit(1), F.greatest(most - F.col("own"), F.lit(0)).cast("int"))).drop("sketch"), "prefixes")
+    each = keyed.select("id", "c", "n", "own", "out", F.posexplode("l").alias("pos", "x"))
+    size_class = lambda n: F.floor(F.ln(n) / math.log(SIZE_CLASS)).cast("int")
+    targets = each.select(F.col("x.k").alias("k"), size_class(F.col("n")).alias("class"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), (F.col("pos") + F.col("own")).alias("py"))
+    ranges = F.explode(F.sequence(size_class(F.col("n") * (percent / 100)) - 1, size_class(F.col("n") * (100 / percent)) + 1))
+    probes = each.where("out").withColumn("class", ranges)
+    # The smallest set of the class that can be similar enough, and what has to be shared with it.
+    least = F.greatest(F.ceil(F.pow(F.lit(SIZE_CLASS), F.col("class")) - 1e-6), F.ceil(F.col("n") * (percent / 100) - 1e-6))
+    required = F.ceil(percent * (F.col("n") + least) / (100 + percent) - 1e-6)
+    probes = probes.where(F.col("pos") + F.col("own") <= F.col("n") - required).select(F.col("x.k").alias("k"), "class", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), (F.col("pos") + F.col("own")).alias("px"))
+    # At the first shared shingle, what is left of both sets has to be enough.
+    enough = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND {100 + percent} * least(nx - px, ny - py) >= {percent} * (nx + ny)")
+    met = probes.join(targets, (probes["k"] == targets["k"]) & (probes["class"] == targets["class"]) & (F.col("cx") != F.col("cy")) & enough)
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return _plausible(pairs, sizes, percent)
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
