@@ -127,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     found = found.groupBy("doc_id", "key").agg(
         F.flatten(F.collect_list("places")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     ).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), F.size(F.array_distinct("places")).cast("bigint").alias("n_hit"), "items")
-    empty = first.value.__class__([], window)
+    empty = Grams([], window)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
