@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one numpy pass holds at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
 
+#: Rows of an Arrow batch that the JVM sends to a worker at most, so that memory stays bounded with
+#: texts of any usual length.
+BATCH_ROWS = 1_000
+
 _OWN: list[tuple[object, str]] = []
 
 
@@ -86,5 +90,14 @@ def _trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows, if they aren't smaller yet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def strings(values: list) -> pa.Array:
     return pa.array(values, pa.string())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._base import text_chunks
+from ._base import small_batches, text_chunks
 
 #: Distinct pre-tokens that a worker's cache holds before it starts anew.
 CACHE_WORDS = 400_000
@@ -112,7 +112,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(offsets, pa.int64()))], ["doc_id", "ids", "offsets"])
 
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, offsets array<bigint>")
+    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, offsets array<bigint>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
 
     source = encoded.select("doc_id", "ids")
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, text binary")
+    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, text binary")
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,4 +151,4 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(said, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import strings, table, text_chunks
+from ._base import small_batches, strings, table, text_chunks
 from ._words import Texts, covered, sums_by, windows
 
 #: Words of a window.
@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                 sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), strings(sha), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-        return source.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+        return small_batches(source).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
     parts = [_hits(source, block, kind) for block in (b for some in ([first, second], blocks) for b in some)]
     found = parts[0]
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             counts = empty.scan(texts)[3]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "key", "n_words"])
 
-    counted = source.mapInArrow(count, f"doc_id {kind}, key binary, n_words bigint")
+    counted = small_batches(source).mapInArrow(count, f"doc_id {kind}, key binary, n_words bigint")
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -152,7 +152,7 @@ def _hits(source: DataFrame, block: Broadcast, kind: str) -> DataFrame:
             keys = [hashlib.sha256(texts[k]).digest() for k in some]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(some, pa.int64())), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int64())), pa.array([sorted(items[k]) for k in some], pa.list_(pa.string()))], ["doc_id", "key", "places", "items"])
 
-    out = table(source.mapInArrow(run, f"doc_id {kind}, key binary, places array<bigint>, items array<string>"), "hits")
+    out = table(small_batches(source).mapInArrow(run, f"doc_id {kind}, key binary, places array<bigint>, items array<string>"), "hits")
     block.destroy()
     return out
 
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         names = out.columns
-        out = out.mapInArrow(run, out.schema)
+        out = small_batches(out).mapInArrow(run, out.schema)
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._base import text_chunks
+from ._base import small_batches, text_chunks
 
 #: Labelled documents of each language that the likelihoods are learnt from, about (each document
 #: is taken with the same chance, by a hash of its id).
@@ -79,7 +79,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
         k, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[k, bucket], pa.int64())], ["k", "bucket", "n"])
 
-    counted = sample.select("text", "lang").mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    counted = small_batches(sample.select("text", "lang")).mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     n = np.full((BUCKETS, len(languages)), 0.1)
     n[got["bucket"].to_numpy(), got["k"].to_numpy()] += got["n"].to_numpy()
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, names, shares = predict(held.value, texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
@@ -173,7 +173,7 @@ def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             known = pa.array([x != "und" for x in predict(held.value, texts)[0]], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(known) for c in rows.columns[:-1]], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

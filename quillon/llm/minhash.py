@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import table, text_chunks
+from ._base import small_batches, table, text_chunks
 from ._words import Texts, mix, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -101,7 +101,7 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(v).reshape(-1))) for v in (band.view(np.int64), sketch)]
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), *map(pa.array, digests), *lists], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
-    return table(docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "features")
+    return table(small_batches(docs).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "features")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep)).cast(pa.int64()), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64)))], ["id", "set"])
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit("bloom"), F.col("doc_id").cast("bigint")).alias("b")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "id bigint, set array<bigint>").join(wanted, "id", "left_semi")
+    return small_batches(rows).mapInArrow(run, "id bigint, set array<bigint>").join(wanted, "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

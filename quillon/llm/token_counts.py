@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _bpe
-from ._base import text_chunks
+from ._base import small_batches, text_chunks
 
 #: Tokens above which a document is over the limit.
 LIMIT = 512
@@ -63,4 +63,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
