@@ -86,7 +86,8 @@ def vim_replacement(by: str) -> str:
 def substitute(buffer: DataFrame, pattern: str, by: str, range_: Range = None, every: bool = True, vim: bool = True) -> DataFrame:
     """Matches in the range's lines replaced, all or the first of each line; lines split at \\r in
     `by` (an editor's newline)."""
-    p, r = (vim_pattern(pattern), vim_replacement(by)) if vim else (pattern, by)
+    cuts = vim and "\\r" in by
+    p, r = (vim_pattern(pattern), vim_replacement(by.replace("\\r", "\n"))) if vim else (pattern, by)
     if every:
         new = F.regexp_replace("line", p, r)
     else:
@@ -94,9 +95,9 @@ def substitute(buffer: DataFrame, pattern: str, by: str, range_: Range = None, e
         if re.search(r"\\[1-9]", p):
             raise ValueError("first-only substitution can't renumber back-references in the pattern")
     rows = buffer.withColumn("line", F.when(_in(range_), new).otherwise(F.col("line")))
-    if "\\r" not in by:
+    if not cuts:  # no line has a newline of its own
         return rows
-    parts = rows.select("buf", F.col("ln").alias("__ln"), F.posexplode(F.split(F.replace("line", F.lit("\\r"), F.lit("\r")), "\r", -1)).alias("__k", "line"))
+    parts = rows.select("buf", F.col("ln").alias("__ln"), F.posexplode(F.split("line", "\n", -1)).alias("__k", "line"))
     return renumber(parts, "__ln", "__k")
 
 

@@ -87,7 +87,7 @@ def edn_to_json(text: str) -> str:
     lists are arrays, map keys are strings; tagged values are their value."""
     import json
 
-    tokens = re.findall(r'#\{|[\[\](){}]|"(?:[^"\\]|\\.)*"|#[^\s\[\](){}"]+|\\\S+|[^\s,\[\](){}"]+', re.sub(r'("(?:[^"\\]|\\.)*")|;[^\n]*', r"\1", text))
+    tokens = re.findall(r'#\{|[\[\](){}]|"(?:[^"\\]|\\.)*"|#[^\s\[\](){}"]+|\\(?:\w+|\S)|[^\s,\[\](){}"]+', re.sub(r'("(?:[^"\\]|\\.)*")|;[^\n]*', r"\1", text))
     at = 0
 
     def read():
