@@ -116,3 +116,21 @@ def test_collections(value):
     assert value(collections.merge_with(lambda x, y: x + y, m, F.create_map(F.lit("a"), F.lit(5)))) == {"a": 6, "b": None}
     assert value(collections.dissoc(m, F.lit("a"))) == {"b": None}
     assert value(collections.nth(a, 9, F.lit(0))) == 0
+
+
+def test_walk(spark):
+    from pyspark.sql import types as T
+
+    from quillon.functions import walk
+
+    df = spark.sql("SELECT named_struct('a', array(1, 2), 'm', map(7, 'x', 8, 'y'), 's', 'x') AS v")
+    kind = df.schema["v"].dataType
+    up = lambda x, k: x + 1 if isinstance(k, T.IntegerType) else x
+    for f in (walk.postwalk, walk.prewalk):
+        assert df.select(f(F.col("v"), kind, up).alias("v")).first().v.a == [2, 3]
+    got = df.select(walk.replace(F.col("v"), kind, {"x": "z", 2: 9}).alias("v")).first().v
+    assert got.a == [1, 9] and got.m == {7: "z", 8: "y"} and got.s == "z"
+    assert df.select(walk.stringify_keys(F.col("v"), kind).alias("v")).first().v.m == {"7": "x", "8": "y"}
+    pairs = walk.for_([("x", spark.range(3).select(F.col("id").alias("x"))), ("y", F.sequence(F.lit(0), F.col("x")))], when=F.col("y") > 0, let={"z": F.col("x") * 10 + F.col("y")})
+    assert sorted(r.z for r in pairs.collect()) == [11, 21, 22]
+    assert walk.print_table(spark.range(1)).splitlines()[2] == "|  0 |"
