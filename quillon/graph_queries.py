@@ -3,8 +3,6 @@ the relational tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from quillon.operators import graph as g
 from quillon.operators import text as tx
 from quillon.operators.graph import Graph
 from quillon.plans.jobs import Phase, Plan
-from quillon.plans.tables import shared_dir
+from quillon.plans.tables import new_path
 from quillon.sources.forms import read_edn, read_forms, write_forms
 from quillon.sources.store import UnitStore
 from quillon.streaming.changes import Versions, apply_changes, maintain
@@ -37,7 +35,7 @@ def tables_graph(t, deep: bool = False) -> Graph:
     nodes = nodes.unionByName(_rows(t("supplier"), "s", "s_suppkey", "supplier", None, "s_name"))
     types = nodes.select("head").distinct().select(F.concat(F.lit("t:"), "head").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("bigint").alias("ord"), F.lit("type").alias("head"), F.lit(None).cast("string").alias("atom"), F.col("head").alias("label"))
     edges = nodes.select(F.col("id").alias("src"), F.concat(F.lit("t:"), "head").alias("dst"), F.lit("typed").alias("kind"))
-    uses = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("s"), F.col("o_orderkey") % 50).alias("dst"), F.lit("refers").alias("kind"))
+    uses = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("s"), F.col("o_orderkey") % 10).alias("dst"), F.lit("refers").alias("kind"))
     if deep:
         lines = t("lineitem").withColumn("k", F.concat_ws(".", "l_orderkey", "l_linenumber"))
         nodes = nodes.unionByName(lines.select(F.concat(F.lit("l"), "k").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), F.col("l_linenumber").cast("bigint").alias("ord"), F.lit("lineitem").alias("head"), F.lit(None).cast("string").alias("atom"), F.lit(None).cast("string").alias("label")))
@@ -62,28 +60,28 @@ def graph_inside(t):
     return graph.follow(graph.nodes.where("head = 'nation'").select("id"), "inside").groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 's' || o_orderkey % 50 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders GROUP BY ALL")
+@query("SELECT 's' || o_orderkey % 10 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders GROUP BY ALL")
 def graph_refers_in(t):
     graph = indexed(t)
     found = graph.hits(graph.follow(graph.nodes.where("head = 'supplier'").select("id"), "refers< ^fn"))
     return found.select("root", "node", F.size("via").cast("bigint").alias("uses"))
 
 
-@query("SELECT 1 AS depth, 's' || o_orderkey % 50 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 < 5 GROUP BY ALL")
+@query("SELECT 1 AS depth, 's' || o_orderkey % 10 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 < 5 GROUP BY ALL")
 def graph_callers_d2(t):
     graph = indexed(t)
     roots = graph.nodes.where("head = 'supplier' AND ord < 5").select("id")
     return graph.callers(roots, 2).select("depth", "root", "node", F.size("via").cast("bigint").alias("uses"))
 
 
-@query("SELECT 'c' || o_custkey AS root, 's' || o_orderkey % 50 AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
+@query("SELECT 'c' || o_custkey AS root, 's' || o_orderkey % 10 AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
 def graph_callees(t):
     graph = indexed(t)
     rows = graph.callees(graph.nodes.where("head = 'customer'").select("id"), 2)
     return rows.select("root", "node", F.size("via").cast("bigint").alias("uses"))
 
 
-@query("SELECT 's' || o_orderkey % 50 AS root, CASE WHEN o_orderkey % 3 = 0 THEN 'call' ELSE 'read' END AS access, count(*) AS n, count(DISTINCT o_custkey) AS forms FROM orders GROUP BY ALL")
+@query("SELECT 's' || o_orderkey % 10 AS root, CASE WHEN o_orderkey % 3 = 0 THEN 'call' ELSE 'read' END AS access, count(*) AS n, count(DISTINCT o_custkey) AS forms FROM orders GROUP BY ALL")
 def graph_uses_tally(t):
     graph = indexed(t)
     return graph.tally(graph.nodes.where("head = 'supplier'").select("id"), F.when(F.col("in_call"), "call").otherwise("read"))
@@ -122,7 +120,7 @@ def graph_unreachable(t):
     return g.unreachable(nodes, nodes.where("id = 0"), _steps(t))
 
 
-@query("SELECT 'o' || o_orderkey AS src, 's' || o_orderkey % 50 AS dst FROM orders WHERE o_orderkey % 50 < 7")
+@query("SELECT 'o' || o_orderkey AS src, 's' || o_orderkey % 10 AS dst FROM orders WHERE o_orderkey % 10 < 7")
 def graph_dangling(t):
     return _without(t).dangling().where("kind = 'refers'").select("src", "dst")
 
@@ -132,7 +130,7 @@ def _without(t) -> Graph:
     return graph.delete(graph.nodes.where("head = 'supplier' AND ord < 7").select("id"))
 
 
-@query("SELECT count(*) AS orders FROM orders WHERE o_orderkey % 50 >= 7")
+@query("SELECT count(*) AS orders FROM orders WHERE o_orderkey % 10 >= 7")
 def graph_fall_out(t):
     left = _without(t).fall_out(lambda graph, bad: bad.select(F.col("src").alias("id")))
     return left.nodes.where("head = 'orders'").agg(F.count("*").alias("orders"))
@@ -257,7 +255,7 @@ def text_yank_put(t):
 
 
 def _root(df: DataFrame, what: str) -> str:
-    return f"{shared_dir(df.sparkSession)}/quillon-{what}-{uuid.uuid4().hex}"
+    return new_path(df.sparkSession, what)
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only where that is unset (a local test session) a folder is made and set.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -17,8 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/quillon-{what}-{uuid.uuid4().hex}"
+    _OWN.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _OWN:
+        with contextlib.suppress(Exception):  # the session has ended: the folder's owner clears it
+            remove(spark, path)
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder and reread, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/quillon-{what}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and reread: lineage ends here, and a lost executor
+    costs no recomputation of what led to it."""
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
