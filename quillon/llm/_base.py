@@ -2,69 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass holds at most, unless a single text is longer.
-CHUNK_BYTES = 1 << 20
+from quillon.plans.tables import materialise as table
+from quillon.plans.tables import new_path
+
+__all__ = ["apart", "new_path", "small_batches", "strings", "table", "text_chunks"]
 
+#: Bytes of text that one numpy pass holds at most, unless a single text is longer.
+CHUNK_BYTES = 512 << 10
 #: Rows of an Arrow batch that the JVM sends to a worker at most, so that memory stays bounded with
 #: texts of any usual length.
 BATCH_ROWS = 1_000
 
-_OWN: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (a local test session) a folder is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _clean() -> None:
-    for spark, path in _OWN:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
-atexit.register(_clean)
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/quillon-{what}-{uuid.uuid4().hex}"
-    _OWN.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def table(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and reread: lineage ends here, and a lost
-    executor costs no recomputation of what led to it."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the UTF-8 bytes of their column `text` (null: empty)."""
@@ -99,5 +56,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df, aggregated by the keys, dealt by another hash of them: a join on the keys then has an
+    exchange of its own on either side, so that Spark can split the other side's hot keys."""
+    return df.repartition(F.xxhash64(F.lit("apart"), *keys))
+
+
 def strings(values: list) -> pa.Array:
     return pa.array(values, pa.string())

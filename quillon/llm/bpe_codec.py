@@ -16,7 +16,7 @@ from . import _bpe
 from ._base import small_batches, text_chunks
 
 #: Distinct pre-tokens that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class Codec:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import apart, table
 from ._words import covered
 
 #: Words that a repeated run has at least for its later copies to go.
@@ -42,7 +42,7 @@ def _segments(lines: DataFrame, min_words: int) -> DataFrame:
     """seg, doc, h, begin and the ids and words of each stretch of repeated lines that has
     min_words words; seg numbers the stretches in the order of doc (null last), h, begin."""
     often = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    kept = lines.join(often, "id", "left_semi")
+    kept = lines.join(apart(often, "id"), "id", "left_semi")
     # The stretch of a line: its place less its place among the document's kept lines.
     sets = kept.groupBy("doc", "h", "pos").agg(F.first("id").alias("id"), F.first("words").alias("words"))
     rows = sets.groupBy("doc", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "words"))).alias("l"))
@@ -113,7 +113,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     named = named.withColumn("j", F.col("i") + F.col("n") - F.expr("shiftleft(1L, p)"))
     named = table(named.join(ranks.select("p", "seg", F.col("i").alias("j"), F.col("rank").alias("b")), ["p", "seg", "j"]).select("n", "a", "b", "seg", "i"), "named")
     intervals = named.groupBy("n", "a", "b").agg(F.count("*").alias("size"), F.min(F.struct("seg", "i")).alias("first")).where("size > 1").drop("size")
-    later = named.join(intervals, ["n", "a", "b"]).where(F.struct("seg", "i") > F.col("first"))
+    later = named.join(apart(intervals, "n", "a", "b"), ["n", "a", "b"]).where(F.struct("seg", "i") > F.col("first"))
     marked = later.groupBy("seg").agg(F.collect_list(F.struct("i", "n")).alias("w"))
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import small_batches, table, text_chunks
+from ._base import apart, small_batches, table, text_chunks
 from ._words import Texts, mix, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -84,7 +84,7 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n (set size), d1 and d2 (the set's digest), bands, sketch (signature bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches, 1 << 20):
+        for rows, texts in text_chunks(batches):
             keys, counts = _shingles(texts, shingle)
             minima = signatures(keys, counts)
             ends = np.cumsum(counts)
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches, 1 << 20):
+        for rows, texts in text_chunks(batches):
             h = rows.column(2).to_numpy()
             word = held.value[h % BLOOM_WORDS].view(np.uint64)
             u = h.view(np.uint64)
@@ -154,10 +154,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(apart(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = table(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(apart(least, "u"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = table(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = table(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.select("id", F.explode("bands").alias("band"))
     centres = entries.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = table(entries.join(centres, "band").select("band", "id", "centre"), "members")
+    members = table(entries.join(apart(centres, "band"), "band").select("band", "id", "centre"), "members")
     stars = table(members.where("id <> centre").groupBy(F.col("id").alias("x"), F.col("centre").alias("y")).agg(F.count("*").alias("shared")), "stars")
     first = stars.groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
     wanted = members.select("id").distinct()
@@ -204,8 +204,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     edges = table(_confirmed(first, sets, percent), "links")
     parts = components(edges)
     others = stars.select("x", "y").join(first, ["x", "y"], "left_anti")
-    apart = _apart(others, parts)
-    more = table(_confirmed(_plausible(apart, sizes, percent), sets, percent), "links")
+    crossing = _crossing(others, parts)
+    more = table(_confirmed(_plausible(crossing, sizes, percent), sets, percent), "links")
     edges = edges.unionByName(more)
     parts = components(edges)
     rest = _confirmed(table(_residual(members, parts, sizes, sets, percent), "rest"), sets, percent)
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (x, y) of different components."""
     return _labelled(_labelled(pairs, parts, "x", "cx"), parts, "y", "cy").where("cx <> cy").select("x", "y")
 
@@ -252,7 +252,7 @@ def _residual(members: DataFrame, parts: DataFrame, sizes: DataFrame, sets: Data
     rows = table(rows.join(sizes, "id"), "mixed")
     tokens = sets.join(rows.select("id"), "id", "left_semi").select("id", F.explode("set").alias("k"))
     often = tokens.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
-    listed = tokens.join(often, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("l"))
+    listed = tokens.join(apart(often, "k"), "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("l"))
     most = F.expr(f"n - CAST(ceil({percent} * n / 100) AS BIGINT) + 1")  # the longest prefix of a set
     keyed = listed.join(rows, "id").withColumn("own", F.col("n") - F.size("l"))
     keyed = table(keyed.withColumn("l", F.slice("l", F.lit(1), F.greatest(most - F.col("own"), F.lit(0)).cast("int"))).drop("sketch"), "prefixes")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import apart, table
 
 #: Kinds in their order, with pattern, the group that is the value, and its least length.
 KINDS = (
@@ -94,7 +94,7 @@ def secret_scan(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "do
     found = table(candidates(docs, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
     counts = ownership(found).select("hash", (F.col("n_owners") <= max_owners).alias("live"))
     each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("hash", F.xxhash64("s.value", F.lit(7)))
-    judged = each.join(counts, "hash").where((F.col("s.kind") < len(KINDS)) | F.col("live"))
+    judged = each.join(apart(counts, "hash"), "hash").where((F.col("s.kind") < len(KINDS)) | F.col("live"))
     said = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.stop", "live"))).alias("all"))
     names = F.array(*(F.lit(k[0]) for k in KINDS), F.lit(ADDED[0]))
 
