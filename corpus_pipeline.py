@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from quillon.llm._base import new_path
 from quillon.llm.bpe_codec import bpe_digests
 from quillon.llm.decontaminate import decontaminate
-from quillon.llm.language_id import fit, reject_unknown
+from quillon.llm.language_id import fit, held_out, reject_unknown
 from quillon.llm.line_dedup import line_dedup
 from quillon.llm.minhash import keep_first
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents of its input; those without a language go."""
-    return reject_unknown(docs, fit(docs.where(F.col("doc_id").isNotNull())))
+    """Learns from the labelled documents of its input, but for those held out as in operator 3;
+    documents without a language go."""
+    return reject_unknown(docs, fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
