@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import number_rows
-from quillon.plans.tables import materialise
+from quillon.plans.tables import counted, materialise
 
 KINDS = ("refers", "typed", "contains", "inside")
 
@@ -40,8 +40,8 @@ class Graph:
             above = level.select(F.col("id").alias("__p"), F.col("depth").alias("__depth"), F.col("path").alias("__path"), F.col("ancestors").alias("__a"), F.col("top_id").alias("__top"), F.col("stmt_id").alias("__stmt"))
             below = flat.join(above, F.col("parent_id") == F.col("__p"))
             below = below.withColumns({"depth": F.col("__depth") + 1, "path": F.array_append("__path", F.col("ord").cast("bigint")), "ancestors": F.array_append("__a", F.col("__p")), "top_id": F.when(F.col("__h"), F.col("id")).otherwise(F.col("__top")), "stmt_id": F.when(F.col("__s"), F.col("id")).otherwise(F.col("__stmt"))})
-            level = materialise(below.select(out.columns), "level")
-            if level.isEmpty():
+            level, n = counted(below.select(out.columns), "level")
+            if not n:
                 break
             out = out.unionByName(level)
         else:
@@ -134,8 +134,8 @@ class Graph:
             new = rows.select(F.col("node").alias("id")).distinct().join(seen, "id", "left_anti")
             if stop:
                 new = new.join(self.nodes.where(F.col("head").isin(*stop)).select("id"), "id", "left_anti")
-            frontier = materialise(new, "frontier")
-            if frontier.isEmpty():
+            frontier, n = counted(new, "frontier")
+            if not n:
                 break
             seen = seen.unionByName(frontier)
         return out.select("depth", "root", "node", "rank", "via")
@@ -262,11 +262,11 @@ class Graph:
         dangles; raises where a round names nothing, and the rest is unhandled."""
         now = self
         for _ in range(most):
-            bad = materialise(now.dangling(), "dangling")
-            if bad.isEmpty():
+            bad, n = counted(now.dangling(), "dangling")
+            if not n:
                 return now
-            ids = materialise(rule(now, bad).select("id").distinct(), "rule")
-            if ids.isEmpty():
+            ids, n = counted(rule(now, bad).select("id").distinct(), "rule")
+            if not n:
                 raise ValueError(f"unhandled dangling edges, such as {bad.first()}")
             now = now.delete(ids)
             now = Graph(materialise(now.nodes, "nodes"), materialise(now.edges, "edges"))
@@ -285,35 +285,40 @@ def parse_steps(steps: str) -> list[str]:
     return out
 
 
+#: Rounds of a closure after which what it has is written as one table.
+ROUNDS = 8
+
 # -- closures and fixpoints ----------------------------------------------------------------------
 
 
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """seeds (seed, id) with all that edges (src, dst) reach from them: seed, id. One join and one
     anti-join a round, on the new pairs only, until a round finds none."""
-    steps = edges.select(F.col("src").alias("id"), "dst").distinct()
-    seen = materialise(seeds.select("seed", "id").distinct(), "reach")
-    frontier = seen
-    for _ in range(most):
+    steps = materialise(edges.select(F.col("src").alias("id"), "dst").distinct(), "steps")
+    frontier = materialise(seeds.select("seed", "id").distinct(), "reach")
+    seen = frontier
+    for k in range(1, most + 1):
         new = frontier.join(steps, "id").select("seed", F.col("dst").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
-        frontier = materialise(new, "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = materialise(seen.unionByName(frontier), "reach")
+        frontier, n = counted(new, "frontier")
+        if not n:
+            break
+        seen = seen.unionByName(frontier)
+        if k % ROUNDS == 0:
+            seen = materialise(seen, "reach")
     return seen
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node that any root (column id) reaches, with its distance: id, depth, and `why`, the
     node it was first reached from (the smallest of a round's)."""
-    steps = edges.select(F.col("src").alias("why"), F.col("dst").alias("__d")).distinct()
-    frontier = materialise(roots.select("id").distinct().withColumns({"depth": F.lit(0), "why": F.lit(None).cast(dict(edges.dtypes)["src"])}), "reach")
+    steps = materialise(edges.select(F.col("src").alias("why"), F.col("dst").alias("__d")).distinct(), "steps")
+    frontier, n = counted(roots.select("id").distinct().withColumns({"depth": F.lit(0), "why": F.lit(None).cast(dict(edges.dtypes)["src"])}), "reach")
     seen, d = frontier, 0
-    while not frontier.isEmpty():
+    while n:
         d += 1
         new = frontier.select(F.col("id").alias("why")).join(steps, "why").groupBy(F.col("__d").alias("id")).agg(F.min("why").alias("why"))
-        frontier = materialise(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "why"), "frontier")
-        seen = seen.unionByName(frontier)
+        frontier, n = counted(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "why"), "frontier")
+        seen = seen.unionByName(frontier) if d % ROUNDS else materialise(seen.unionByName(frontier), "reach")
     return seen
 
 
@@ -345,8 +350,8 @@ def greatest_fixpoint(candidates: DataFrame, violators: Callable[[DataFrame], Da
     """The largest subset of candidates (column id) without violators of itself."""
     now = materialise(candidates.select("id").distinct(), "candidates")
     while True:
-        bad = materialise(violators(now).select("id").distinct().join(now, "id", "left_semi"), "violators")
-        if bad.isEmpty():
+        bad, n = counted(violators(now).select("id").distinct().join(now, "id", "left_semi"), "violators")
+        if not n:
             return now
         now = materialise(now.join(bad, "id", "left_anti"), "candidates")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import ascending, number_rows, running_sum
+from quillon.plans.tables import counted
 
 
 @dataclass(frozen=True)
@@ -293,14 +294,12 @@ def merge(*maps: DataFrame) -> DataFrame:
 def tree_seq(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", order: str = "ord", max_depth: int = 1_000) -> DataFrame:
     """All nodes below the roots (column id), depth first: id, depth and path, the places on the
     way down, which sort in that order."""
-    from quillon.plans.tables import materialise
-
     level = roots.select("id", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
     steps = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c"), F.col(order).cast("bigint").alias("__o"))
     out = level
     for _ in range(max_depth):
-        level = materialise(level.join(steps, F.col("id") == F.col("__p")).select(F.col("__c").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("__o")).alias("path")), "level")
-        if level.isEmpty():
+        level, n = counted(level.join(steps, F.col("id") == F.col("__p")).select(F.col("__c").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("__o")).alias("path")), "level")
+        if not n:
             return out
         out = out.unionByName(level)
     raise ValueError(f"deeper than {max_depth}: are the edges a tree?")

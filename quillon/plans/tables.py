@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
 
@@ -49,3 +50,11 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, what: str = "table") -> tuple[DataFrame, int]:
+    """materialise(), and the number of rows as the write saw them (after a lost task perhaps more,
+    never 0 for some), which saves the job that would count them."""
+    seen = Observation()
+    held = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), what)
+    return held, seen.get["n"]
