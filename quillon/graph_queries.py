@@ -296,7 +296,7 @@ def stream_changes(t):
     events = t("events").select("user_id", "event_type", "event_id").withColumn("op", F.when(F.col("event_type") == "purchase", "delete").otherwise("put"))
     spark, root = events.sparkSession, _root(events, "stream")
     events.repartition(3, "event_id").write.parquet(f"{root}/log")
-    seen = Versions(spark, f"{root.rsplit('/', 1)[1]}/seen")
+    seen = Versions(spark, "seen")
     empty = spark.createDataFrame([], events.schema)
 
     def refresh(batch: DataFrame, version: int) -> None:

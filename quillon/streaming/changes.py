@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.plans.tables import shared_dir
+from quillon.plans.tables import new_path
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: list[str], order: str, op: str = "op") -> DataFrame:
@@ -28,11 +28,11 @@ def maintain(stream: DataFrame, refresh: Callable[[DataFrame, int], None], check
 
 
 class Versions:
-    """A table of numbered versions in the shared folder: each micro-batch writes its own, so a batch
-    that comes again writes the same version again."""
+    """A table of numbered versions, in a new place of the shared folder: each micro-batch writes its
+    own, so a batch that comes again writes the same version again."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.latest = spark, f"{shared_dir(spark)}/{name}", None
+        self.spark, self.root, self.latest = spark, new_path(spark, name), None
 
     def write(self, df: DataFrame, version: int) -> DataFrame:
         path = f"{self.root}/v{version}"

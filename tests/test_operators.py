@@ -12,7 +12,7 @@ from quillon.operators import text as tx
 from quillon.operators.graph import Graph, parse_pattern, parse_steps
 from quillon.operators.seq import Seq, cycle, iterate, merge, range_, repeat
 from quillon.plans.ordering import number_rows, running_sum
-from quillon.plans.tables import shared_dir
+from quillon.plans.tables import new_path
 from quillon.sources import forms
 from quillon.sources.store import Conflict, UnitStore
 from quillon.streaming.changes import Channel, apply_changes, running_state
@@ -265,7 +265,7 @@ def test_history(spark):
 
 
 def test_store(spark):
-    store = UnitStore(spark, f"{shared_dir(spark)}/store-test")
+    store = UnitStore(spark, new_path(spark, "store-test"))
     units = spark.createDataFrame([(1, "b"), (0, "a"), (2, "b")], "o int, t string")
     assert store.put("m", units, "t", ["o"]) == 2 and store.put("n", units.where("o < 2"), "t", ["o"]) == 0
     assert [r.data for r in store.get("m").orderBy("ord").collect()] == ["a", "b", "b"]
