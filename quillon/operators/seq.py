@@ -1,11 +1,14 @@
 """Ordered sequences of rows. Order is data: `order` names the sort keys (give a tie-breaker), and
 nulls sort first. With `by` there is one sequence for each value of those columns; without it all
-rows are one sequence, numbered over range partitions rather than in a single window."""
+rows are one sequence, numbered over range partitions rather than in a single window. Where a value of
+`by` may hold a large share of all rows, `skewed` numbers them that way too: no task then holds a
+whole sequence for places, prefixes and runs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ class Seq:
     df: DataFrame
     order: tuple[str, ...]
     by: tuple[str, ...] = ()
+    skewed: bool = False
 
     # -- places ----------------------------------------------------------------------------
 
@@ -27,13 +31,28 @@ class Seq:
 
     def numbered(self, name: str = "rn") -> DataFrame:
         """The rows with their place, from 1."""
+        if self.by and self.skewed:
+            rows = number_rows(self.df, [*self.by, *self.order], "__g").drop("__part")
+            rows = self._beside(rows, F.min("__g").alias("__first"))
+            return rows.withColumn(name, F.col("__g") - F.col("__first") + 1).drop("__g", "__first")
         if self.by:
             return self.df.withColumn(name, F.row_number().over(self._window()).cast("bigint"))
         return number_rows(self.df, list(self.order), name).drop("__part")
 
+    def _beside(self, rows: DataFrame, *aggregates: Column) -> DataFrame:
+        """The rows with aggregates of their sequences, joined on `by`, nulls with nulls. The sums are
+        dealt out anew, so that the join can split a large sequence's rows."""
+        names = [f"__b{k}" for k in range(len(self.by))]
+        sums = rows.groupBy(*(F.col(b).alias(n) for b, n in zip(self.by, names, strict=True))).agg(*aggregates)
+        sums = sums.repartition(F.xxhash64(F.lit("beside"), *names))
+        on = [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(self.by, names, strict=True)]
+        return rows.join(sums, reduce(Column.__and__, on)).drop(*names)
+
     def _sized(self) -> DataFrame:
         """rn and the sequence's length __n."""
         rows = self.numbered()
+        if self.by and self.skewed:
+            return self._beside(rows, F.count("*").alias("__n"))
         if self.by:
             return rows.withColumn("__n", F.count("*").over(Window.partitionBy(*self.by)))
         return rows.join(F.broadcast(rows.agg(F.count("*").alias("__n"))))
@@ -113,6 +132,8 @@ class Seq:
         """rn and __stop, the place of the first row whose predicate is null or false."""
         bad = F.when(F.coalesce(pred, F.lit(False)), F.lit(None)).otherwise(F.col("rn"))
         rows = self.numbered()
+        if self.by and self.skewed:
+            return self._beside(rows, F.min(bad).alias("__stop"))
         if self.by:
             return rows.withColumn("__stop", F.min(bad).over(Window.partitionBy(*self.by)))
         return rows.join(F.broadcast(rows.agg(F.min(bad).alias("__stop"))))
@@ -167,6 +188,10 @@ class Seq:
 
     def runs(self, key: Column, name: str = "run") -> DataFrame:
         """The rows with the number, from 1, of the run of equal keys (null equals null)."""
+        if self.by and self.skewed:
+            rows = Seq(self.df, (*self.by, *self.order)).runs(F.struct(*self.by, key.alias("__key")), "__run")
+            rows = self._beside(rows, F.min("__run").alias("__first"))
+            return rows.withColumn(name, F.col("__run") - F.col("__first") + 1).drop("__run", "__first")
         if self.by:
             change = F.when(F.lag(F.struct(key.alias("k"))).over(self._window()).eqNullSafe(F.struct(key.alias("k"))), 0).otherwise(1)
             rows = self.df.withColumn("__change", change)

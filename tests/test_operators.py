@@ -97,6 +97,24 @@ def test_sequences(spark):
     assert s.frequencies(F.col("x")).count() == 3
 
 
+def test_skewed_sequences_give_the_same(spark):
+    rng = random.Random(2)
+    data = [(k, rng.choice([None, 1, 1, 1, 1, 1, 2, 3]), rng.choice("aab")) for k in range(300)]
+    df = spark.createDataFrame(data, "i int, g int, x string").repartition(4)
+    plain, skewed = Seq(df, ("i",), ("g",)), Seq(df, ("i",), ("g",), skewed=True)
+    for f in (
+        lambda s: s.numbered(),
+        lambda s: s.take(3).df,
+        lambda s: s.take_last(2).df,
+        lambda s: s.take_while(F.col("x") == "a").df,
+        lambda s: s.drop_while(F.col("x") == "a").df,
+        lambda s: s.runs(F.col("x")),
+        lambda s: s.dedupe(F.col("x")).df,
+    ):
+        a = f(plain)
+        assert rows(a) == rows(f(skewed).select(a.columns))
+
+
 def test_generators(spark):
     assert [r.value for r in iterate(spark, lambda x: x * 2, F.lit(1), 5).orderBy("place").collect()] == [1, 2, 4, 8, 16]
     assert [r.value for r in range_(spark, 1, 7, 2).collect()] == [1, 3, 5]
