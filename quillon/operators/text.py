@@ -38,7 +38,7 @@ def renumber(keyed: DataFrame, *keys: str | Column) -> DataFrame:
     return keyed.withColumn("ln", F.row_number().over(Window.partitionBy("buf").orderBy(*keys)).cast("bigint")).select("buf", "ln", "line")
 
 
-def vim_pattern(pattern: str, magic: bool = True) -> str:
+def editor_pattern(pattern: str, magic: bool = True) -> str:
     r"""The Java pattern of an editor's one: \| \( \) \+ \= \? \{n,m} are operators there and plain
     without the backslash; \< \> are word ends, \v makes all operators plain, \V none."""
     out, at, very, none = [], 0, False, not magic
@@ -77,17 +77,17 @@ def vim_pattern(pattern: str, magic: bool = True) -> str:
     return "".join(out)
 
 
-def vim_replacement(by: str) -> str:
+def editor_replacement(by: str) -> str:
     r"""The Java replacement: & and \0 are the match, \1 to \9 its groups, \& and \\ plain."""
     out = re.sub(r"\\([0-9&\\])|([&$])", lambda m: {"&": "&", "\\": r"\\"}.get(m[1], f"${m[1]}") if m[1] else ("$0" if m[2] == "&" else r"\$"), by)
     return out
 
 
-def substitute(buffer: DataFrame, pattern: str, by: str, range_: Range = None, every: bool = True, vim: bool = True) -> DataFrame:
+def substitute(buffer: DataFrame, pattern: str, by: str, range_: Range = None, every: bool = True, editor: bool = True) -> DataFrame:
     """Matches in the range's lines replaced, all or the first of each line; lines split at \\r in
     `by` (an editor's newline)."""
-    cuts = vim and "\\r" in by
-    p, r = (vim_pattern(pattern), vim_replacement(by.replace("\\r", "\n"))) if vim else (pattern, by)
+    cuts = editor and "\\r" in by
+    p, r = (editor_pattern(pattern), editor_replacement(by.replace("\\r", "\n"))) if editor else (pattern, by)
     if every:
         new = F.regexp_replace("line", p, r)
     else:
@@ -110,18 +110,18 @@ def _shifted(replacement: str) -> str:
 
 def count_matches(buffer: DataFrame, pattern: str, range_: Range = None) -> DataFrame:
     """buf, matches and lines with any: what :s///n reports."""
-    n = F.when(_in(range_), F.regexp_count("line", F.lit(vim_pattern(pattern)))).otherwise(0)
+    n = F.when(_in(range_), F.regexp_count("line", F.lit(editor_pattern(pattern)))).otherwise(0)
     return buffer.groupBy("buf").agg(F.sum(n).alias("matches"), F.count_if(n > 0).alias("lines"))
 
 
 def matching(buffer: DataFrame, pattern: str, invert: bool = False) -> DataFrame:
-    hit = F.col("line").rlike(vim_pattern(pattern))
+    hit = F.col("line").rlike(editor_pattern(pattern))
     return buffer.where(~hit if invert else hit)
 
 
 def global_(buffer: DataFrame, pattern: str, then: Callable[[DataFrame, Column], DataFrame], invert: bool = False) -> DataFrame:
     """Marks the matching lines first, then applies `then` to them (as a range): :g and :v."""
-    hit = F.col("line").rlike(vim_pattern(pattern))
+    hit = F.col("line").rlike(editor_pattern(pattern))
     return then(buffer, ~hit if invert else hit)
 
 
