@@ -54,7 +54,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality_rules(_read(spark, sf_dir, "documents")).select(columns)
+    # The limits that the SQL states.
+    return quality_rules(_read(spark, sf_dir, "documents"), {5: 0.5, 10: 0.45}, 0.5).select(columns)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,19 @@ def test_quality(spark):
     assert quality_rules(empty(spark)).count() == 0
 
 
+def test_coverage_rejects_beyond_the_base_rule(spark):
+    fresh = lambda a, n: [f"w{k:03}" for k in range(a, a + n)]
+    twice = fresh(0, 30)
+    # Pieces of five words, each again at another place, so that no ten words are found again.
+    pieces = [fresh(5 * k, 5) for k in range(6)]
+    apart = [w for k in range(6) for w in [*pieces[k], f"x{k}"]] + fresh(100, 65) + [w for k in (3, 0, 5, 2, 4, 1) for w in [*pieces[k], f"y{k}"]]
+    texts = [" ".join(x) for x in (twice + fresh(100, 65) + twice, apart, twice + fresh(100, 95) + twice[:10])]
+    rows = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.base_failed for r in rows] == [False] * 3
+    assert [r.kept for r in rows] == [False, False, True]
+    assert rows[0].share_10 > 0.15 and rows[1].share_10 == 0 and rows[1].share_5 > 0.2
+
+
 # -- 10 --------------------------------------------------------------------------------------
 
 
