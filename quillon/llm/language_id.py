@@ -20,12 +20,12 @@ from ._base import small_batches, text_chunks
 SAMPLE_PER_LANGUAGE = 1_000
 #: Buckets of hashed letter trigrams.
 BUCKETS = 1 << 16
-#: Languages that a model can have.
-MAX_LANGUAGES = 64
-#: EM rounds over all languages, and over each smaller set; languages that a set has at most.
-ROUNDS, SET_ROUNDS, MAX_SET = 12, 6, 3
-#: Below this share of a document no second language is tried.
-TRACE = 0.01
+#: Bytes of text times languages that one pass holds at most, unless a single text has more.
+PASS = 1 << 25
+#: Letters times languages whose likelihoods are looked up at a time.
+BLOCK = 1 << 22
+#: EM rounds over all languages, and over each smaller set.
+ROUNDS, SET_ROUNDS = 12, 6
 
 
 @dataclass(frozen=True)
@@ -55,72 +55,120 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
     """The trigram model of the labelled rows, from about per_language documents each.
 
     Rows without text, label or id aren't used. Ties and repeated rows count as they come. Only
-    counts by bucket and language reach the driver: BUCKETS x MAX_LANGUAGES at most.
+    counts by bucket and language reach the driver; a language takes 256 KB of the model, and the
+    labels decide how many there are.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32))
-    chance = F.lit(0.0)
-    for lang in languages:
-        chance = F.when(F.col("lang") == lang, F.lit(per_language / sizes[lang])).otherwise(chance)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < chance * (1 << 30))
+    chances = labelled.sparkSession.createDataFrame([(lang, per_language / n) for lang, n in sizes.items()], "lang string, chance double")
+    sample = rows.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
+    place = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part, texts in text_chunks(batches):
-            names = np.array([languages.index(x) for x in part.column(1).to_pylist()])
+            names = np.array([place[x] for x in part.column(1).to_pylist()])
             h, begins, owner = _letters(texts)
-            per_word = np.diff(begins, append=len(h))
-            np.add.at(total, (np.repeat(names[owner], per_word), h), 1)
-        k, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[k, bucket], pa.int64())], ["k", "bucket", "n"])
+            new, n = np.unique(np.repeat(names[owner], np.diff(begins, append=len(h))) * BUCKETS + h, return_counts=True)
+            codes, inverse = np.unique(np.append(codes, new), return_inverse=True)
+            both = np.zeros(len(codes), np.int64)
+            np.add.at(both, inverse, np.append(sums, n))
+            sums = both
+        yield pa.RecordBatch.from_arrays([pa.array(codes // BUCKETS, pa.int32()), pa.array(codes % BUCKETS, pa.int32()), pa.array(sums, pa.int64())], ["k", "bucket", "n"])
 
     counted = small_batches(sample.select("text", "lang")).mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
-    n = np.full((BUCKETS, len(languages)), 0.1)
-    n[got["bucket"].to_numpy(), got["k"].to_numpy()] += got["n"].to_numpy()
-    return Model(languages, np.log(n / n.sum(0)).astype(np.float32))
+    bucket, k, n = (got[c].to_numpy() for c in ("bucket", "k", "n"))
+    order = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[order], np.arange(len(languages) + 1))
+    log_p = np.empty((BUCKETS, len(languages)), np.float32)
+    for j in range(len(languages)):
+        of = order[ends[j] : ends[j + 1]]
+        column = np.full(BUCKETS, 0.1)
+        column[bucket[of]] += n[of]
+        log_p[:, j] = np.log(column / column.sum())
+    return Model(languages, log_p)
 
 
 def infer(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each text's proportions of the selected languages (rows of zeros: no letter), and the
-    number of its words."""
+    number of its words.
+
+    Sets grow by the language that raises the likelihood most, for as long as a larger set could
+    still have the best penalised likelihood: sizes aren't capped, and no share is too small.
+    """
+    if len(texts) > 1 and sum(map(len, texts)) * len(model.languages) > PASS:
+        halves = [infer(model, part) for part in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
+        return np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves])
     out = np.zeros((len(texts), len(model.languages)))
     h, begins, owner = _letters(texts)
     n_words = np.bincount(owner, minlength=len(texts))
     some = np.flatnonzero(n_words)
     if not len(some) or not model.languages:
         return out, n_words
-    word = np.add.reduceat(model.log_p[h], begins, axis=0)
+    step = max(1, BLOCK // len(model.languages))
+    cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(h), step)), len(begins)))
+    edges = np.append(begins, len(h))
+    word = np.concatenate([np.add.reduceat(model.log_p[h[edges[a] : edges[b]]], begins[a:b] - begins[a], axis=0) for a, b in zip(cuts, cuts[1:])])
     word = np.exp(np.maximum(word - word.max(1, keepdims=True), -60))
     first = np.cumsum(n_words[some]) - n_words[some]
     place = np.repeat(np.arange(len(some)), n_words[some])
     shares, _ = _em(word, place, first, n_words[some], np.full((len(some), word.shape[1]), 1 / word.shape[1]), ROUNDS)
-    order = np.argsort(-shares, axis=1, kind="stable")
     # One language: the one with the highest likelihood of all words.
-    one = np.add.reduceat(np.log(word), first, axis=0)
+    one = np.add.reduceat(np.log(word), first, axis=0, dtype=np.float64)
     best, score = np.zeros_like(shares), one.max(1)
     best[np.arange(len(some)), one.argmax(1)] = 1
-    for size in range(2, min(MAX_SET, shares.shape[1]) + 1):
-        tried = np.flatnonzero(np.take_along_axis(shares, order[:, size - 1 : size], 1)[:, 0] >= TRACE)
-        if not len(tried):
+    most = _bound(word, place, first, n_words[some], shares)
+    held, todo = best.copy(), np.arange(len(some))
+    for size in range(2, shares.shape[1] + 1):
+        # No set of this size or a larger one has a higher likelihood than the bound.
+        todo = todo[most[todo] - (size - 1) * np.log(n_words[some][todo] + 1) > score[todo]]
+        if not len(todo):
             break
-        words = np.isin(place, tried)
-        start = np.zeros((len(tried), shares.shape[1]))
-        np.put_along_axis(start, order[tried, :size], np.take_along_axis(shares[tried], order[tried, :size], 1), 1)
-        n = n_words[some][tried]
-        got, fit_ = _em(word[words], np.repeat(np.arange(len(tried)), n), np.cumsum(n) - n, n, start / start.sum(1, keepdims=True), SET_ROUNDS)
+        n = n_words[some][todo]
+        words, at, begin = word[np.isin(place, todo)], np.repeat(np.arange(len(todo)), n), np.cumsum(n) - n
+        start = _grown(words, at, begin, n, held[todo], shares[todo])
+        got, fit_ = _em(words, at, begin, n, start, SET_ROUNDS)
+        held[todo] = got
         fit_ -= (size - 1) * np.log(n + 1)  # BIC, doubled: a share is a parameter
-        better = fit_ > score[tried]
-        best[tried[better]], score[tried[better]] = got[better], fit_[better]
+        better = fit_ > score[todo]
+        best[todo[better]], score[todo[better]] = got[better], fit_[better]
     out[some] = best
     return out, n_words
 
 
+def _bound(word: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """What the log likelihood of no mixture exceeds: that at the shares and, as it is concave, n
+    times the logarithm of the largest mean ratio of a language's likelihood to the mixture's."""
+    total = _mixed(word, shares, place)
+    ratio = np.add.reduceat(word / total[:, None], first, axis=0) / n[:, None]
+    return np.add.reduceat(np.log(total), first) + n * np.log(np.maximum(ratio.max(1), 1))
+
+
+def _grown(word: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, held: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The mixtures held, each with the language added that raises its likelihood most. Every
+    language is tried with a share of its own, found by rounds from its share in all of them."""
+    mixed = _mixed(word, held, place)[:, None]
+    part = np.clip(shares, 1 / (n[:, None] + 1), 0.5)
+    for _ in range(SET_ROUNDS):
+        added = word * part[place]
+        part = np.add.reduceat(added / (added + mixed * (1 - part[place])), first, axis=0) / n[:, None]
+    gain = np.add.reduceat(np.log(word * part[place] + mixed * (1 - part[place])), first, axis=0)
+    k = np.where(held > 0, -np.inf, gain).argmax(1)
+    row = np.arange(len(held))
+    own = np.clip(part[row, k], 1 / (n + 1), 0.5)
+    out = held * (1 - own)[:, None]
+    out[row, k] = own
+    return out
+
+
+def _mixed(word: np.ndarray, shares: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", word, shares[place], dtype=np.float64)
+
+
 def _em(word: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The shares after some rounds, and the log likelihood under those before the last."""
     for _ in range(rounds):
@@ -138,8 +186,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     score is lang_pred's proportion. Null and empty texts, and those without a letter, are `und`
     with score 0 and no languages, as is everything under a model of no language. Equal
     proportions go to the language that sorts first. Repeated ids and rows stay; other columns
-    aren't read; an empty table gives an empty table. The model is broadcast: BUCKETS x
-    MAX_LANGUAGES numbers at most.
+    aren't read; an empty table gives an empty table. The model is broadcast: 256 KB a
+    language.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")

@@ -195,6 +195,30 @@ def test_mixed_text_has_both_languages(spark):
     assert set(row.languages) == {"en", "fr"} and 0.3 < min(row.proportions)
 
 
+def test_mixtures_of_any_size(spark):
+    # Words over an alphabet of each language's own; two of the six languages aren't in the text.
+    model = fit(spark.createDataFrame([(k, " ".join(alphabet_words(k % 6, k, 60)), f"l{k % 6}") for k in range(60)], "doc_id bigint, text string, lang string"))
+    texts = [[w for k in (0, 2, 3, 5) for w in alphabet_words(k, 9, 100)], alphabet_words(0, 8, 19_850) + alphabet_words(4, 7, 150), alphabet_words(1, 6, 200)]
+    rows = identify(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert set(rows[0].languages) == {"l0", "l2", "l3", "l5"} and all(abs(p - 0.25) < 0.02 for p in rows[0].proportions) and abs(rows[0].score - 0.25) < 0.02
+    assert rows[1].languages == ["l0", "l4"] and abs(rows[1].proportions[1] - 0.0075) < 0.001
+    assert rows[2].languages == ["l1"]
+
+
+def test_more_than_64_languages(spark):
+    rows = [(k, " ".join(alphabet_words(k % 70, k, 30)), f"l{k % 70:02}") for k in range(210)]
+    model = fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 70
+    got = identify(spark.createDataFrame([(k, " ".join(alphabet_words(k, 500 + k, 40))) for k in range(70)], "doc_id bigint, text string"), model).collect()
+    assert [r for r in got if r.lang_pred != f"l{r.doc_id:02}"] == []
+
+
+def alphabet_words(language: int, seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    letters = [chr(0x4E00 + 10 * language + k) for k in range(10)]
+    return ["".join(rng.choice(letters) for _ in range(5)) for _ in range(n)]
+
+
 def test_language_hostile(spark):
     df = table(spark)
     model = fit(df)
