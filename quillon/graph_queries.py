@@ -99,6 +99,19 @@ def graph_contexts(t):
     return graph.contexts(graph.nodes.where("head = 'orders' AND ord < 500").select("id"), "fn").select(F.explode("uses").alias("id"), "form")
 
 
+@query("SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS form FROM orders")
+def graph_contexts_whole(t):
+    graph = indexed(t)
+    return graph.contexts(graph.nodes.where("head = 'orders'").select("id"), "fn").select(F.explode("uses").alias("id"), "form")
+
+
+@query("SELECT 1 AS depth, 's' || o_orderkey % 10 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
+def graph_callers_d2_whole(t):
+    graph = indexed(t)
+    roots = graph.nodes.where("head = 'supplier'").select("id")
+    return graph.callers(roots, 2).select("depth", "root", "node", F.size("via").cast("bigint").alias("uses"))
+
+
 _STEPS = "SELECT s_suppkey AS a, (s_suppkey * 7 + s_nationkey) % (SELECT count(*) FROM supplier) AS b FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_suppkey % 4 = 0"
 
 
@@ -114,6 +127,12 @@ def graph_closure(t):
     return g.closure(seeds, _steps(t))
 
 
+@query(f"WITH RECURSIVE e AS ({_STEPS}), r(seed, id) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT seed, b FROM r JOIN e ON a = id) SELECT seed, id FROM r")
+def graph_closure_whole(t):
+    seeds = t("supplier").select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("id"))
+    return g.closure(seeds, _steps(t))
+
+
 @query(f"WITH RECURSIVE e AS ({_STEPS}), r(id) AS (SELECT 0::BIGINT UNION SELECT b FROM r JOIN e ON a = id) SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM r)")
 def graph_unreachable(t):
     nodes = t("supplier").select(F.col("s_suppkey").alias("id"))

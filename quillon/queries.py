@@ -264,6 +264,13 @@ def seq_interleave(t):
     return a.interleave(b).select("k", "__seq", "__place")
 
 
+@query("WITH s AS (SELECT s_suppkey AS k, 0 AS q, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier), n AS (SELECT n_nationkey AS k, 1 AS q, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT k::BIGINT AS k, q AS __seq, p AS __place FROM (FROM s UNION ALL FROM n) WHERE p <= least((SELECT count(*) FROM supplier), (SELECT count(*) FROM nation))")
+def seq_interleave_whole(t):
+    a = Seq(t("supplier").select(F.col("s_suppkey").alias("k")), ("k",))
+    b = Seq(t("nation").select(F.col("n_nationkey").cast("bigint").alias("k")), ("k",))
+    return a.interleave(b).select("k", "__seq", "__place")
+
+
 @query("SELECT user_id, string_agg(event_type, '|' ORDER BY ts, event_id) AS items FROM events GROUP BY 1")
 def seq_interpose(t):
     return _events(t).interpose(F.col("event_type"), F.lit("|")).select("user_id", F.array_join("items", "").alias("items"))
