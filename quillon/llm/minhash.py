@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 5
 #: Signature bits that may differ at most: two of each minimum, so that a pair of similarity s has
 #: (1 - s) / 2 of them in expectation. At 0.8 that is 32 of 320 with a deviation of 6.5; 32 + 5 x 6.5.
 BITS, MAX_DIFFERENT = 2 * BANDS * ROWS, 65
+#: Sets of fewer shingles have too few minima for that argument: their pairs go to the exact check.
+SMALL = 32
 #: Ids to remove up to which they are broadcast (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words of a bloom filter of documents whose sets are wanted, at most (8 MB).
@@ -96,7 +98,9 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
             for r in range(ROWS):
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::ROWS])
             band = mix(band + np.arange(BANDS, dtype=np.uint64))
-            bits = np.stack([minima & 1, mix(minima.astype(np.uint64)).astype(np.uint32) & 1], 2).reshape(len(texts), -1)
+            # Of the mixed minima: the lowest bit of a minimum is the shingle's own, as a is odd.
+            mixed = mix(minima.astype(np.uint64))
+            bits = np.stack([mixed & np.uint64(1), mixed >> np.uint64(63)], 2).reshape(len(texts), -1)
             sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(v).reshape(-1))) for v in (band.view(np.int64), sketch)]
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), *map(pa.array, digests), *lists], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
@@ -187,8 +191,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     smallest id with the same set; kept says that a document is its component's first. Null,
     empty and wordless texts have no shingles and are linked with nothing. Ids are integers; a
     null id is kept and linked with nothing, rows that share an id share its component. An
-    empty table gives an empty table; other columns aren't read.
+    empty table gives an empty table; other columns aren't read. Bands and the limit of
+    signature bits are made for 80 percent and more: less raises.
     """
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}: the bands are made for {PERCENT} to 100")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     features = _features(source, shingle)
     real = features.where("n > 0 AND doc_id IS NOT NULL")
@@ -224,10 +231,10 @@ def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures allow the similarity."""
+    """The pairs whose sizes and signatures, if neither set is small, allow the similarity."""
     a = sizes.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
     b = sizes.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
-    return pairs.join(a, "x").join(b, "y").where(F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & _near("kx", "ky")).select("x", "y")
+    return pairs.join(a, "x").join(b, "y").where(F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (F.expr(f"least(nx, ny) < {SMALL}") | _near("kx", "ky"))).select("x", "y")
 
 
 #: Ratio of the set sizes that one class of sizes spans.

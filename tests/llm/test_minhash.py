@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from quillon.llm import minhash as module
 from quillon.llm.minhash import components, keep_first, near_duplicates
 
 from .data import documents, empty, table
@@ -94,3 +95,18 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}
     assert got == {k: find(k) for k in parent if find(k) != k}
     assert components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, module.SMALL])
+def test_small_sets_pass_the_gate(spark, monkeypatch, small):
+    monkeypatch.setattr(module, "SMALL", small)
+    # Pairs of four and five words of which four are shared: a similarity of 0.8.
+    rows = [(2 * k + j, " ".join(f"w{k}x{i}" for i in range(4 + j))) for k in range(5_000) for j in (0, 1)]
+    sizes = module._features(spark.createDataFrame(rows, "doc_id bigint, text string"), 1).selectExpr("doc_id AS id", "n", "sketch")
+    pairs = spark.range(5_000).selectExpr("2 * id AS x", "2 * id + 1 AS y")
+    assert module._plausible(pairs, sizes, 80).count() == 5_000
+
+
+def test_percent_below_the_bands(spark):
+    with pytest.raises(ValueError, match="percent"):
+        near_duplicates(documents(spark), percent=70)
