@@ -195,7 +195,7 @@ class Graph:
         """For each type (column id): how many nodes have it, directly or through pointers and
         arrays, by head: type, head, n."""
         through = self.nodes.where(F.col("head").isin("pointer", "array")).select("id").join(self.edges.where("kind = 'typed'").select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("src"), F.col("id").alias("dst"))
-        reach = closure(types.select(F.col("id").alias("seed"), "id"), through, 64) if not through.isEmpty() else types.select(F.col("id").alias("seed"), "id")
+        reach = closure(types.select(F.col("id").alias("seed"), "id"), through) if not through.isEmpty() else types.select(F.col("id").alias("seed"), "id")
         typed = self.edges.where("kind = 'typed'").select(F.col("src").alias("node"), F.col("dst").alias("id"))
         rows = reach.join(typed, "id").join(self.nodes.select(F.col("id").alias("node"), "head"), "node")
         return rows.groupBy(F.col("seed").alias("type"), "head").agg(F.count("*").alias("n"))
@@ -293,7 +293,8 @@ ROUNDS = 8
 
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """seeds (seed, id) with all that edges (src, dst) reach from them: seed, id. One join and one
-    anti-join a round, on the new pairs only, until a round finds none."""
+    anti-join a round, on the new pairs only, until a round finds none; raises if `most` rounds
+    don't suffice."""
     steps = materialise(edges.select(F.col("src").alias("id"), "dst").distinct(), "steps")
     frontier = materialise(seeds.select("seed", "id").distinct(), "reach")
     seen = frontier
@@ -301,11 +302,11 @@ def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFr
         new = frontier.join(steps, "id").select("seed", F.col("dst").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
         frontier, n = counted(new, "frontier")
         if not n:
-            break
+            return seen
         seen = seen.unionByName(frontier)
         if k % ROUNDS == 0:
             seen = materialise(seen, "reach")
-    return seen
+    raise ValueError(f"pairs are still found after {most} rounds")
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -377,10 +378,11 @@ def form_hashes(graph: Graph) -> DataFrame:
     return done.select("id", "hash") if done is not None else graph.nodes.select("id", F.lit("").alias("hash"))
 
 
-def content_hashes(graph: Graph, most: int = 64) -> DataFrame:
+def content_hashes(graph: Graph, most: int = 1_000_000) -> DataFrame:
     """id and hash of each node with what its edges lead to: colour refinement from form hashes,
     each round taking in the targets' hashes, until the number of classes stands still. Cycles
-    need no order; nodes that no round tells apart have equal hashes."""
+    need no order; nodes that no round tells apart have equal hashes. Raises if `most` rounds
+    don't suffice."""
     now = materialise(form_hashes(graph), "colours")
     classes = now.agg(F.count_distinct("hash")).first()[0]
     edges = graph.edges.select(F.col("src").alias("id"), "dst", "kind")
@@ -393,7 +395,7 @@ def content_hashes(graph: Graph, most: int = 64) -> DataFrame:
         if n == classes:
             return now
         classes = n
-    return now
+    raise ValueError(f"classes still split after {most} rounds")
 
 
 def compare_units(a: DataFrame, b: DataFrame) -> DataFrame:

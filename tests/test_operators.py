@@ -232,6 +232,26 @@ def test_fixpoints(spark):
     assert rows(left) == [(1,), (2,), (3,)]
 
 
+def test_rounds_are_not_cut_silently(spark):
+    chain = spark.range(6).selectExpr("id AS src", "id + 1 AS dst")
+    seeds = spark.createDataFrame([(0, 0)], "seed bigint, id bigint")
+    assert g.closure(seeds, chain).count() == 7
+    with pytest.raises(ValueError, match="2 rounds"):
+        g.closure(seeds, chain, 2)
+    nodes = spark.range(7).selectExpr("'n' || id AS id", "CAST(NULL AS string) AS parent_id", "id AS ord", "'x' AS head", "CAST(NULL AS string) AS atom", "CAST(NULL AS string) AS label")
+    graph = Graph(nodes, chain.selectExpr("'n' || src AS src", "'n' || dst AS dst", "'refers' AS kind")).index(holder=F.lit(True), statement=F.lit(False))
+    assert g.content_hashes(graph).select("hash").distinct().count() == 7
+    with pytest.raises(ValueError, match="2 rounds"):
+        g.content_hashes(graph, 2)
+
+
+def test_types_over_long_chains(spark):
+    nodes = spark.range(67).selectExpr("'n' || id AS id", "CAST(NULL AS string) AS parent_id", "id AS ord", "if(id = 0, 'type', if(id = 66, 'field', 'pointer')) AS head", "CAST(NULL AS string) AS atom", "CAST(NULL AS string) AS label")
+    graph = Graph(nodes, spark.range(66).selectExpr("'n' || (id + 1) AS src", "'n' || id AS dst", "'typed' AS kind")).index(holder=F.lit(True), statement=F.lit(False))
+    found = {r["head"]: r["n"] for r in graph.type_view(graph.nodes.where("head = 'type'").select("id")).collect()}
+    assert found == {"pointer": 65, "field": 1}
+
+
 def test_diff_pairs_by_label_order(spark):
     a = spark.createDataFrame([(1, "x", "h1", 0), (2, "x", "h2", 1), (3, "y", "h", 2)], "id bigint, label string, hash string, ord bigint")
     b = spark.createDataFrame([(9, "x", "h1", 0), (2, "x", "h9", 1), (8, "z", "h", 2)], "id bigint, label string, hash string, ord bigint")
