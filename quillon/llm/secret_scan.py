@@ -80,19 +80,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", max_repos: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
     n_example.
 
     spans joins kind:start:end (code points, end exclusive) of all spans by start, then kind;
     base_sha256 is the SHA-256 of the same of the base kinds. Spans of the added kind are those
-    whose value at most `max_owners` owners have. n_live counts the spans, base and added, of
+    whose value at most `max_owners` owners have and, if `max_repos` is given, at most that many
+    repositories (without repo_col: documents); by default repositories don't decide. n_live counts the spans, base and added, of
     such values, n_example the base spans of other values. A null text is empty. Repeated ids
     and rows stay rows of their own; an empty table gives an empty table; other columns aren't
     read, so their names may clash.
     """
     found = table(candidates(docs, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    counts = ownership(found).select("hash", (F.col("n_owners") <= max_owners).alias("live"))
+    live = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        live &= F.col("n_repos") <= max_repos
+    counts = ownership(found).select("hash", live.alias("live"))
     each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("hash", F.xxhash64("s.value", F.lit(7)))
     judged = each.join(apart(counts, "hash"), "hash").where((F.col("s.kind") < len(KINDS)) | F.col("live"))
     said = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.stop", "live"))).alias("all"))

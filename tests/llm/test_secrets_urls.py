@@ -74,3 +74,11 @@ def test_rule_without_tokens(spark):
     df = spark.createDataFrame([(1, "http://例え.例/x"), (2, "http://例/y")], "page_id bigint, url string")
     got = {r.page_id: r.verdict for r in url_filter(df, rules=(Rule("block", "例", "/x"),)).collect()}
     assert got == {1: "block", 2: "allow"}
+
+
+def test_repositories_decide_where_asked(spark):
+    value = "AbCdEfGhIjKlMnOpQrStUvWxYz0123456789"
+    df = spark.createDataFrame([(k, value, "one") for k in range(9)] + [(9, value[::-1], "one")], "doc_id bigint, text string, source string")
+    live = lambda **how: [r.doc_id for r in secret_scan(df, **how).where("n_live > 0").orderBy("doc_id").collect()]
+    assert live() == list(range(10))
+    assert live(max_repos=9) == list(range(10)) and live(max_repos=8) == [9]
