@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Bytes of a word or line up to which numpy hashes it, eight at a time; longer ones go to BLAKE2.
+SHORT = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 @functools.cache
 def byte_values(lower: bool) -> np.ndarray:
-    """A fixed random value for each byte; with lower, A-Z have those of a-z."""
-    values = np.random.default_rng(20).integers(1, 2**63, 256).astype(np.uint64)
+    """What each byte counts as: itself, or with lower a-z for A-Z."""
+    values = np.arange(256, dtype=np.uint8)
     if lower:
         values[0x41:0x5B] = values[0x61:0x7B]
     return values
@@ -59,17 +50,29 @@ class Texts:
         self.n = len(texts)
 
     @functools.cached_property
-    def sums(self) -> np.ndarray:
-        """Prefix sums of value * BASE ** place."""
-        powers, _ = _powers(len(self.bytes))
-        out = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(byte_values(self.lower)[self.bytes] * powers, out=out[1:])
-        return out
+    def lowered(self) -> np.ndarray:
+        """The bytes, A-Z as a-z if so asked, and eight more."""
+        return byte_values(self.lower)[np.append(self.bytes, np.zeros(8, np.uint8))]
+
+    @functools.cached_property
+    def chunks(self) -> np.ndarray:
+        """The eight bytes from each place on, as a number."""
+        return np.ndarray((len(self.bytes) + 1,), "<u8", self.lowered, strides=(1,))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each span's bytes."""
-        _, inverse = _powers(len(self.bytes) + 1)
-        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A hash of each span's bytes: a chain of bijections, eight bytes at a time, so that no two
+        spans share a hash but by chance."""
+        sizes = ends - starts
+        out = mix(sizes.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+        live, at = np.flatnonzero((sizes > 0) & (sizes <= SHORT)), 0
+        while len(live):
+            word = self.chunks[starts[live] + at] & _MASKS[np.minimum(sizes[live] - at, 8)]
+            out[live] = mix(out[live] ^ word)
+            at += 8
+            live = live[sizes[live] > at]
+        for k in np.flatnonzero(sizes > SHORT).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.lowered[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def words(self, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where words start and end, and how many each text has."""
@@ -96,10 +99,10 @@ def windows(values: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(values))
     at = np.flatnonzero(left >= n)
     size = len(values) - n + 1
-    out = values[:size].copy()
+    factors = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = values[:size] * factors[0]
     for k in range(1, n):
-        out *= np.uint64(0xA0761D6478BD642F)
-        out += values[k : k + size]
+        out += values[k : k + size] * factors[k]
     return at, mix(out[at])
 
 
