@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._base import small_batches, text_chunks
+from ._base import text_chunks
 
 #: Labelled documents of each language that the likelihoods are learnt from, about (each document
 #: is taken with the same chance, by a hash of its id).
@@ -24,8 +24,8 @@ BUCKETS = 1 << 16
 PASS = 1 << 25
 #: Letters times languages whose likelihoods are looked up at a time.
 BLOCK = 1 << 22
-#: EM rounds over all languages, and over each smaller set.
-ROUNDS, SET_ROUNDS = 12, 6
+#: EM ends when no share moves by more than this in a round. Rounds that look for a start: see _grown.
+TOLERANCE, SET_ROUNDS = 2e-4, 6
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
             sums = both
         yield pa.RecordBatch.from_arrays([pa.array(codes // BUCKETS, pa.int32()), pa.array(codes % BUCKETS, pa.int32()), pa.array(sums, pa.int64())], ["k", "bucket", "n"])
 
-    counted = small_batches(sample.select("text", "lang")).mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", "lang").mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     bucket, k, n = (got[c].to_numpy() for c in ("bucket", "k", "n"))
     order = np.argsort(k, kind="stable")
@@ -98,7 +98,8 @@ def infer(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     number of its words.
 
     Sets grow by the language that raises the likelihood most, for as long as a larger set could
-    still have the best penalised likelihood: sizes aren't capped, and no share is too small.
+    still have the best penalised likelihood: sizes aren't capped, and no share is too small. Then
+    languages are dropped from the best set for as long as that raises its penalised likelihood.
     """
     if len(texts) > 1 and sum(map(len, texts)) * len(model.languages) > PASS:
         halves = [infer(model, part) for part in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
@@ -116,7 +117,7 @@ def infer(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = np.exp(np.maximum(word - word.max(1, keepdims=True), -60))
     first = np.cumsum(n_words[some]) - n_words[some]
     place = np.repeat(np.arange(len(some)), n_words[some])
-    shares, _ = _em(word, place, first, n_words[some], np.full((len(some), word.shape[1]), 1 / word.shape[1]), ROUNDS)
+    shares, _ = _em(word, place, first, n_words[some], np.full((len(some), word.shape[1]), 1 / word.shape[1]))
     # One language: the one with the highest likelihood of all words.
     one = np.add.reduceat(np.log(word), first, axis=0, dtype=np.float64)
     best, score = np.zeros_like(shares), one.max(1)
@@ -131,11 +132,30 @@ def infer(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = n_words[some][todo]
         words, at, begin = word[np.isin(place, todo)], np.repeat(np.arange(len(todo)), n), np.cumsum(n) - n
         start = _grown(words, at, begin, n, held[todo], shares[todo])
-        got, fit_ = _em(words, at, begin, n, start, SET_ROUNDS)
+        got, fit_ = _em(words, at, begin, n, start)
         held[todo] = got
         fit_ -= (size - 1) * np.log(n + 1)  # BIC, doubled: a share is a parameter
         better = fit_ > score[todo]
         best[todo[better]], score[todo[better]] = got[better], fit_[better]
+    todo = np.flatnonzero((best > 0).sum(1) > 2)  # of two, each alone has been tried
+    while len(todo):
+        without, gain = best[todo].copy(), score[todo].copy()
+        for k in range(best.shape[1]):
+            mine = np.flatnonzero(best[todo, k] > 0)
+            if not len(mine):
+                continue
+            start, n = best[todo[mine]].copy(), n_words[some][todo[mine]]
+            start[:, k] = 0
+            start /= np.maximum(start.sum(1, keepdims=True), 1e-300)
+            words, at, begin = word[np.isin(place, todo[mine])], np.repeat(np.arange(len(mine)), n), np.cumsum(n) - n
+            got, fit_ = _em(words, at, begin, n, start)
+            fit_ -= ((start > 0).sum(1) - 1) * np.log(n + 1)
+            better = fit_ > gain[mine]
+            without[mine[better]], gain[mine[better]] = got[better], fit_[better]
+        raised = gain > score[todo]
+        best[todo[raised]], score[todo[raised]] = without[raised], gain[raised]
+        todo = todo[raised]
+        todo = todo[(best[todo] > 0).sum(1) > 2]
     out[some] = best
     return out, n_words
 
@@ -169,14 +189,22 @@ def _mixed(word: np.ndarray, shares: np.ndarray, place: np.ndarray) -> np.ndarra
     return np.einsum("ij,ij->i", word, shares[place], dtype=np.float64)
 
 
-def _em(word: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shares after some rounds, and the log likelihood under those before the last."""
-    for _ in range(rounds):
+def _em(word: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shares at which EM stands still, and the log likelihood under those before its last
+    round. Texts that stand still leave the arrays."""
+    out, fits, todo = np.zeros(shares.shape), np.zeros(len(n)), np.arange(len(n))
+    while len(todo):
         joint = word * shares.astype(np.float32)[place]
         total = joint.sum(1)
         joint /= total[:, None]
-        shares = np.add.reduceat(joint, first, axis=0) / n[:, None]
-    return shares.astype(np.float64), np.add.reduceat(np.log(total.astype(np.float64)), first)
+        new = np.add.reduceat(joint, first, axis=0, dtype=np.float64) / n[:, None]
+        out[todo], fits[todo] = new, np.add.reduceat(np.log(total.astype(np.float64)), first)
+        moves = np.abs(new - shares).max(1) > TOLERANCE
+        if moves.mean() < 0.7:
+            word, todo, n, new = word[moves[place]], todo[moves], n[moves], new[moves]
+            place, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        shares = new
+    return out, fits
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +225,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, names, shares = predict(held.value, texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
 
-    return small_batches(source).mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
@@ -221,7 +249,7 @@ def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             known = pa.array([x != "und" for x in predict(held.value, texts)[0]], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(known) for c in rows.columns[:-1]], names)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
