@@ -7,8 +7,8 @@ represented by the smallest id. Of the classes, bands of minima give buckets. No
 bucket are emitted: every member is first compared with the bucket's centre, the one that shares
 most buckets with it; then with its other centres, where the two aren't linked yet; then, in the
 buckets that still hold several components, with the members of other components. Pairs whose
-signatures are far from the threshold are dropped, all others are confirmed on the full sets.
-Links inside a component add nothing, so none that matters is left out.
+signatures are far from the threshold are dropped, all others are confirmed on the full sets. Later
+rounds link components, so only these go through the stars again. Links inside a component add nothing, so none that matters is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import apart, small_batches, table, text_chunks
+from ._base import apart, table, text_chunks
 from ._words import Texts, mix, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -35,8 +35,8 @@ BITS, MAX_DIFFERENT = 2 * BANDS * ROWS, 65
 SMALL = 32
 #: Ids to remove up to which they are broadcast (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Words of a bloom filter of documents whose sets are wanted, at most (8 MB).
-BLOOM_WORDS = 1 << 20
+#: Bits of a bloom filter for each document whose set is wanted, and its 64-bit words at most (64 MB).
+BLOOM_BITS, BLOOM_WORDS = 16, 1 << 23
 
 
 def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,26 +105,29 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(v).reshape(-1))) for v in (band.view(np.int64), sketch)]
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), *map(pa.array, digests), *lists], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
-    return table(small_batches(docs).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "features")
+    return table(docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "features")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """id and set (its shingle hashes, sorted) of the documents whose ids are wanted (column id).
 
-    The texts are read again; a bloom filter of bounded size passes the wanted ones and a few
-    more, which the join drops.
+    The texts are read again; a bloom filter, sized by their number up to a bound, passes the wanted
+    ones and a few more, which the join drops.
     """
-    bits = (F.xxhash64(F.lit("bloom"), "id"), F.lit(BLOOM_WORDS))
+    size, n = 1 << 10, wanted.count()
+    while size < BLOOM_WORDS and 64 * size < BLOOM_BITS * n:
+        size *= 2
+    bits = (F.xxhash64(F.lit("bloom"), "id"), F.lit(size))
     words = wanted.select(F.pmod(bits[0], bits[1]).alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64('bloom', id), 58) AS INT)) | shiftleft(1L, CAST(shiftrightunsigned(xxhash64('bloom', id), 52) & 63 AS INT))").alias("bits"))
-    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM_WORDS rows at most
-    bloom = np.zeros(BLOOM_WORDS, np.int64)
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # `size` rows at most
+    bloom = np.zeros(size, np.int64)
     bloom[got["word"].to_numpy()] = got["bits"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
             h = rows.column(2).to_numpy()
-            word = held.value[h % BLOOM_WORDS].view(np.uint64)
+            word = held.value[h % size].view(np.uint64)
             u = h.view(np.uint64)
             hit = (word >> (u >> np.uint64(58)) & np.uint64(1)) & (word >> ((u >> np.uint64(52)) & np.uint64(63)) & np.uint64(1)) > 0
             keep = np.flatnonzero(hit)
@@ -135,15 +138,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep)).cast(pa.int64()), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64)))], ["id", "set"])
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit("bloom"), F.col("doc_id").cast("bigint")).alias("b")).where("doc_id IS NOT NULL")
-    return small_batches(rows).mapInArrow(run, "id bigint, set array<bigint>").join(wanted, "id", "left_semi")
+    return rows.mapInArrow(run, "id bigint, set array<bigint>").join(wanted, "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
+    """The pairs (x, y) whose full sets are similar enough, all columns kept."""
     left = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("set", "sx"), "x")
     both = left.join(sets.withColumnRenamed("id", "y").withColumnRenamed("set", "sy"), "y")
     same, every = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
-    return both.where(100 * same >= percent * (every - same)).select("x", "y")
+    return both.where(100 * same >= percent * (every - same)).select(pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,6 +172,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _merged(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after edges between them (cx, cy): only their labels, which are their smallest
+    ids, go through components() again."""
+    links = table(components(edges.select(F.col("cx").alias("x"), F.col("cy").alias("y"))), "merged")
+    return table(_labelled(parts.withColumnRenamed("component", "old"), links, "old", "component").select("id", "component").unionByName(links), "parts")
+
+
 def _labelled(ids: DataFrame, parts: DataFrame | None, column: str, label: str) -> DataFrame:
     """ids with the component of their `column` as `label` (their own id where they have none)."""
     if parts is None:
@@ -205,19 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = table(entries.join(apart(centres, "band"), "band").select("band", "id", "centre"), "members")
     stars = table(members.where("id <> centre").groupBy(F.col("id").alias("x"), F.col("centre").alias("y")).agg(F.count("*").alias("shared")), "stars")
     first = stars.groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
-    wanted = members.select("id").distinct()
+    wanted = table(members.select("id").distinct(), "wanted")
     sets = table(_sets(source, wanted, shingle), "sets")
     sizes = classes.select("id", "n", "sketch")
-    edges = table(_confirmed(first, sets, percent), "links")
+    edges = table(_confirmed(_plausible(first, sizes, percent), sets, percent), "links")
     parts = components(edges)
     others = stars.select("x", "y").join(first, ["x", "y"], "left_anti")
-    crossing = _crossing(others, parts)
-    more = table(_confirmed(_plausible(crossing, sizes, percent), sets, percent), "links")
-    edges = edges.unionByName(more)
-    parts = components(edges)
-    rest = _confirmed(table(_residual(members, parts, sizes, sets, percent), "rest"), sets, percent)
-    edges = edges.unionByName(table(rest, "links"))
-    parts = components(edges)
+    more = table(_confirmed(_plausible(_crossing(others, parts), sizes, percent), sets, percent), "links")
+    parts = _merged(parts, more)
+    rest = table(_confirmed(table(_residual(members, parts, sizes, sets, percent), "rest"), sets, percent), "links")
+    parts = _merged(parts, rest)
     named = _labelled(classes.select("d1", "d2", "id"), parts, "id", "component_id").select("d1", "d2", F.col("id").alias("class_id"), "component_id")
     rows = features.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
@@ -226,15 +233,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (x, y) of different components."""
-    return _labelled(_labelled(pairs, parts, "x", "cx"), parts, "y", "cy").where("cx <> cy").select("x", "y")
+    """The pairs (x, y) of different components (cx, cy)."""
+    return _labelled(_labelled(pairs, parts, "x", "cx"), parts, "y", "cy").where("cx <> cy").select("x", "y", "cx", "cy")
 
 
 def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and signatures, if neither set is small, allow the similarity."""
     a = sizes.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
     b = sizes.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
-    return pairs.join(a, "x").join(b, "y").where(F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (F.expr(f"least(nx, ny) < {SMALL}") | _near("kx", "ky"))).select("x", "y")
+    return pairs.join(a, "x").join(b, "y").where(F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (F.expr(f"least(nx, ny) < {SMALL}") | _near("kx", "ky"))).select(pairs.columns)
 
 
 #: Ratio of the set sizes that one class of sizes spans.
@@ -275,7 +282,8 @@ def _residual(members: DataFrame, parts: DataFrame, sizes: DataFrame, sets: Data
     # At the first shared shingle, what is left of both sets has to be enough.
     enough = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND {100 + percent} * least(nx - px, ny - py) >= {percent} * (nx + ny)")
     met = probes.join(targets, (probes["k"] == targets["k"]) & (probes["class"] == targets["class"]) & (F.col("cx") != F.col("cy")) & enough)
-    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    low = F.col("x") < F.col("y")
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(low, F.col("cx")).otherwise(F.col("cy")).alias("cx"), F.when(low, F.col("cy")).otherwise(F.col("cx")).alias("cy")).distinct()
     return _plausible(pairs, sizes, percent)
 
 
