@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import new_path
+from ._base import new_path, small_batches
 from .bpe_codec import bpe_digests
 from .decontaminate import contamination
 from .language_id import fit, held_out, identify
@@ -19,6 +19,7 @@ from .url_filters import url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,11 +60,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's shard of the newest version, with its size and digest as reread."""
+    """Each document as reread from the newest version: size, digest, and whether its shard is one
+    that the manifest names."""
     shards = shard_documents(_read(spark, sf_dir, "documents"), new_path(spark, "shards"))
-    shards.vacuum()
+    shards.vacuum(0)
+    named = spark.createDataFrame([(s["path"], True) for s in shards.manifest()["shards"]], "shard string, named boolean")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return shards.read(shard_col="shard").select("doc_id", "shard", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+    rows = shards.read(shard_col="shard").select("doc_id", "shard", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+    return rows.join(named, "shard", "left").select("doc_id", "n_bytes", "text_sha256", F.coalesce("named", F.lit(False)).alias("sharded"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +83,13 @@ def _sql_spans(kind: int, pattern: str, group: int, least: int, more: str = "tru
     """Matches with their places: what lies between them comes from splitting by the pattern."""
     pattern = pattern.replace("'", "''")
     return f"""
-    SELECT row, doc_id, source, {kind} AS kind, hit, value,
+    SELECT row, doc_id, source, repo, {kind} AS kind, hit, value,
            gaps + coalesce(sum(length(hit)) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM (
-      SELECT row, doc_id, source, k, hits[k] AS hit, vals[k] AS value,
+      SELECT row, doc_id, source, repo, k, hits[k] AS hit, vals[k] AS value,
              list_sum(list_transform(between_[1:k], lambda x: length(x))) AS gaps
       FROM (
-        SELECT row, doc_id, source, regexp_extract_all(text, '{pattern}', 0) AS hits,
+        SELECT row, doc_id, source, md5(text) AS repo, regexp_extract_all(text, '{pattern}', 0) AS hits,
                regexp_extract_all(text, '{pattern}', {group}) AS vals,
                string_split_regex(text, '{pattern}') AS between_
         FROM docs
@@ -96,13 +100,13 @@ def _sql_spans(kind: int, pattern: str, group: int, least: int, more: str = "tru
 
 _SECRETS = f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
-spans AS ({" UNION ALL ".join(f"(SELECT row, doc_id, source, kind, value, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM ({x}))" for x in (
+spans AS ({" UNION ALL ".join(f"(SELECT row, doc_id, source, repo, kind, value, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM ({x}))" for x in (
     _sql_spans(0, _ASSIGN, 2, 6),
     _sql_spans(1, "AKIA[A-Z0-9]+", 0, 20),
     _sql_spans(2, "[0-9a-f]{24,}", 0, 24),
     _sql_spans(3, "[A-Za-z0-9_-]{32,}", 0, 32, "regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')"),
 ))}),
-owners AS (SELECT value AS v, count(DISTINCT coalesce(source, chr(0))) <= 3 AS live FROM spans GROUP BY 1),
+owners AS (SELECT value AS v, count(DISTINCT coalesce(source, chr(0))) <= 3 AND count(DISTINCT repo) <= 100 AS live FROM spans GROUP BY 1),
 judged AS (
   SELECT row, kind, start, live, ['assign', 'access', 'hex', 'key'][kind + 1] || ':' || start || ':' || stop AS said
   FROM spans JOIN owners ON value = v WHERE kind < 3 OR live
@@ -122,20 +126,28 @@ _PAGES = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut
 ), rules(action, rule_host, rule_path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), ruled AS (
-  SELECT p.page_id, p.host, p.path,
+  SELECT p.page_id, p.host, p.path, p.rest,
          arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(action, length(rule_host || rule_path)) AS action
   FROM parsed p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL
 )
 SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])(spam|pills|casino|poker|porn|xxx|viagra|warez|torrent|malware)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN host = '' OR regexp_matches(rest, '^[^/?#]*/(robots\.txt|sitemap\.xml|humans\.txt)$') THEN 'allow'
+         WHEN regexp_matches(host, '(^|[^a-z0-9])(spam|pills|casino|poker|porn|xxx|viagra|warez|torrent|malware)($|[^a-z0-9])')
+           OR regexp_matches(rest, '^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}($|[:/?#])')
+           OR regexp_matches(rest, '^([a-z0-9]+\.)?([a-z0-9]+-){4,}[a-z0-9]+\.')
+           OR regexp_matches(rest, '/(wp-admin|wp-login\.php|xmlrpc\.php|cgi-bin)($|[/?#])')
+           OR regexp_matches(rest, '/(login|signin|signup|register|logout|cart|checkout)($|[/?#.])')
+           OR regexp_matches(rest, '/tag/[^/?#]+/page/[0-9]+')
+           OR regexp_matches(rest, '\.(exe|apk|msi|dmg|iso|zip|rar)($|[?#])')
+           OR regexp_matches(rest, '[?&](sessionid|phpsessid|jsessionid|sid)=') THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
 """
 
@@ -230,7 +242,10 @@ SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0
 FROM docs LEFT JOIN by_row USING (row) LEFT JOIN kept USING (row)
 """
 
+_SHARDED = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS sharded FROM documents"
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_sharding": _SHARDED,
     "op5_line_dedup": _LINES,
     "op2_secret_scan": _SECRETS,
     "op6_url_filter": _PAGES,

@@ -1,10 +1,12 @@
 """Operators 2 and 6 against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 
 from quillon.llm.secret_scan import secret_scan
-from quillon.llm.url_filters import PATTERNS, RULES, Rule, url_filter
+from quillon.llm.url_filters import PATTERNS, RULES, Pattern, Rule, literals, url_filter
 
 from .data import SCHEMA, empty, table
 
@@ -39,9 +41,11 @@ def test_ownership_tells_examples_from_live_values(spark):
 
 
 def test_many_matches_in_one_text(spark):
-    text = "token=abcdef " * 2_000
+    text = "token=abcdef token=ab " * 20_000
+    began = time.time()
     row = secret_scan(spark.createDataFrame([(1, text, None, None, 0, *"abcd")], SCHEMA)).first()
-    assert row.n_assign == 2_000
+    assert row.n_assign == 20_000 and row.spans.endswith(f",assign:{22 * 19_999}:{22 * 19_999 + 12}")
+    assert time.time() - began < 15
 
 
 def judge(url: str | None) -> tuple:
@@ -50,14 +54,15 @@ def judge(url: str | None) -> tuple:
     path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
     fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: len(r.name), default=None)
-    words = {p.literals[0] for p in PATTERNS}
-    other = "block" if words & set(re.findall("[a-z0-9]+", host)) else "allow"
+    low = rest.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    other = next((p.action for p in PATTERNS if host and re.search(p.regex, low)), "allow")
     return host, path, best.name if best else None, best.action if best else other
 
 
 URLS = [
     None, "", "no scheme.org/es/", "http://", "http://example.org", "http://EXAMPLE.ORG/es/x", "https://a.b.example.org/en/15?x#y", "https://example.org/en/2", "https://notexample.org/es/",
-    "http://x.com/fr/1", "http://x.com/de/1", "http://com/de/", "http://x.com/DE/", "http://cheap-pills.example.net/x", "http://spamfarm.net/", "http://x.net#://b.org/", "http://ünï.org/es/", "://org/a", "http://a.org?q=/es/", "http://spam.org/",
+    "http://x.com/fr/1", "http://x.com/de/1", "http://com/de/", "http://x.com/DE/", "http://cheap-pills.example.net/x", "http://spamfarm.net/", "http://x.net#://b.org/", "http://ünï.org/es/", "://org/a", "http://a.org?q=/es/", "http://spam.org/", "http://x.net/robots.txt", "http://spam.net/robots.txt", "http://1.2.3.4/x", "http://a-b-c-d-e.example.net/", "http://x.net/Login?next=1", "http://x.net/logins", "http://x.net/tag/y/page/2",
+    "http://x.net/a.exe#b", "http://x.net/a?PHPSESSID=3", "http://x.net/wp-login.php", "http://x.net/wp-login.phpx", "http://x.net/a.exe.html",
 ]
 
 
@@ -76,9 +81,32 @@ def test_rule_without_tokens(spark):
     assert got == {1: "block", 2: "allow"}
 
 
-def test_repositories_decide_where_asked(spark):
+def test_literals_are_what_fitting_urls_have():
+    said = {r: [set(x) for x in literals(r)] for r in (r"foo", r"^foo$", r"/a[bc]d/", r"/x(1|22)y-", r"/(x-)?b/", r"/(ab|c-d)/", r"a|/b/", r"/a+/", r"/(A|b)c/", r"\bz9\b", r"/(a|b)(c|d)/e", r"^[^/]*/.*$")}
+    assert said == {"foo": [], "^foo$": [{"foo"}], "/a[bc]d/": [{"abd", "acd"}], "/x(1|22)y-": [{"x1y", "x22y"}], "/(x-)?b/": [{"b"}], "/(ab|c-d)/": [{"ab", "d"}], "a|/b/": [], "/a+/": [], "/(A|b)c/": [], r"\bz9\b": [{"z9"}], "/(a|b)(c|d)/e": [{"ac", "ad", "bc", "bd"}], "^[^/]*/.*$": []}
+    assert sum(not p.tokens() for p in PATTERNS) == 2  # some rules have none
+
+
+def test_many_rules_by_both_ways(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc1") for _ in range(rng.randint(1, 3)))
+    shapes = ["/{}/", "^{}\\.", "/({}|{}-{})($|/)", "[?&]{}=", "-{}[.]{}", "{}-.*/{}", "\\.{}$", "^([a-z]+\\.)?{}-{}", "/{}[0-9]*/{}"]
+    rules = tuple(Pattern(f"rule {k}", re.sub(r"\{\}", lambda _: word(), rng.choice(shapes))) for k in range(400))
+    urls = [f"http://{word()}{rng.choice('.-')}{word()}.{word()}/{word()}{rng.choice('/-.1')}{word()}/{word()}{rng.choice(['', '?' + word() + '=1', '.' + word()])}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    want = {k: next((p.action for p in rules if re.search(p.regex, u[7:])), "none") for k, u in enumerate(urls)}
+    assert len(set(want.values())) > 40 and "none" in want.values()
+    for inline in (1_000, 0):
+        got = {r.page_id: r.verdict for r in url_filter(df, rules=(), patterns=rules, default="none", inline_rules=inline).collect()}
+        assert got == want
+
+
+def test_repositories_decide(spark):
     value = "AbCdEfGhIjKlMnOpQrStUvWxYz0123456789"
     df = spark.createDataFrame([(k, value, "one") for k in range(9)] + [(9, value[::-1], "one")], "doc_id bigint, text string, source string")
-    live = lambda **how: [r.doc_id for r in secret_scan(df, **how).where("n_live > 0").orderBy("doc_id").collect()]
-    assert live() == list(range(10))
-    assert live(max_repos=9) == list(range(10)) and live(max_repos=8) == [9]
+    live = lambda docs, **how: [r.doc_id for r in secret_scan(docs, **how).where("n_live > 0").orderBy("doc_id").collect()]
+    assert live(df, repo_col="doc_id", max_repos=9) == list(range(10)) and live(df, repo_col="doc_id", max_repos=8) == [9]
+    # Without a column for it, copies of a text are one repository and other texts are others.
+    assert live(df, max_repos=1) == list(range(10))
+    other = spark.createDataFrame([(k, f"{value} in {k}", "one") for k in range(101)], df.schema)
+    assert live(other) == [] and live(other.where("doc_id > 0")) == list(range(1, 101))

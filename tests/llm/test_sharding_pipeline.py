@@ -23,7 +23,7 @@ def test_round_trip(spark):
     named = {s["path"] for s in shards.manifest()["shards"]}
     assert {r.shard for r in shards.read(shard_col="shard").select("shard").distinct().collect()} <= named
     before = shards.manifest()["version"]
-    assert shards.vacuum() > 0 and shards.versions() == [before]
+    assert shards.vacuum() == 0 < shards.vacuum(0) and shards.versions() == [before]
     assert shards.read().count() == df.count()
 
 
@@ -41,6 +41,22 @@ def test_conflict_leaves_the_version(spark):
         shards.append(spark.range(1).selectExpr("CAST(id AS string) AS id"))
 
 
+def test_vacuum_beside_a_writer(spark):
+    shards = ShardSet(spark, new_path(spark, "test"))
+    shards.append(spark.range(3))
+    new = shards._write(spark.range(5))  # a writer that hasn't committed yet
+    now = shards.manifest()
+    assert shards.vacuum() == 0
+    held = [Shard(**s) for s in now["shards"]]
+    shards._commit(2, spark.range(1).schema, [*held, *new], new)
+    assert shards.read().count() == 8
+    late = shards._write(spark.range(7))
+    assert shards.vacuum(0) > 0
+    with pytest.raises(CommitConflict, match="removed"):
+        shards._commit(3, spark.range(1).schema, [*held, *late], late)
+    assert shards.read().count() == 8
+
+
 def test_tiers(spark):
     shards = ShardSet(spark, new_path(spark, "test"), target_bytes=64 << 20, fan_in=4)
     mb = 1 << 20

@@ -2,6 +2,9 @@
 
 import collections
 import hashlib
+import itertools
+import math
+import pickle
 import random
 import re
 import zlib
@@ -11,9 +14,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate as decon
 from quillon.llm.decontaminate import contamination, decontaminate
-from quillon.llm.language_id import Model, fit, held_out, identify, reject_unknown
+from quillon.llm.bpe_codec import bpe_digests
+from quillon.llm.language_id import Model, _letters, fit, held_out, identify, predict, reject_unknown
 from quillon.llm.line_dedup import line_dedup, line_dedup_report, suffix_ranks
+from quillon.llm.minhash import near_duplicates
 from quillon.llm.quality_rules import quality_rules
+from quillon.llm.token_counts import token_counts
 
 from .data import SCHEMA, documents, empty, table
 
@@ -46,6 +52,43 @@ def test_quality(spark):
     assert quality_rules(empty(spark)).count() == 0
 
 
+def doubled(n: int) -> str:
+    out = "0"
+    while len(out) < n:
+        out += out.translate(str.maketrans("01", "10"))
+    return out[:n]
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = (doubled(2048).translate(str.maketrans("01", x)) for x in ("pq", "qp"))
+    df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a} x {b}"), (3, "y")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules(df).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_shingles for r in near_duplicates(df, 1).collect()} == {1: 2, 2: 3, 3: 1}
+    bench = [("i", a), ("j", b), ("k", "y")]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(df, spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (1, 1)}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61C328FF20') AS string) AS text UNION ALL SELECT 2L, 'a b'")
+    texts = {1: "a\ufffd(\ufffd ", 2: "a b"}
+    assert {r.doc_id: r.n_bytes for r in token_counts(df).collect()} == {k: len(t.encode()) for k, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in bpe_digests(df).collect()} == {r.doc_id: r.n_tokens for r in bpe_digests(spark.createDataFrame(list(texts.items()), df.schema)).collect()}
+    model = fit(table(spark))
+    assert identify(df, model).count() == quality_rules(df).count() == near_duplicates(df).count() == reject_unknown(df, model).count() == line_dedup_report(df).count() == 2
+    cut = decontaminate(df, spark.createDataFrame([(1, "a b")], "item_id int, text string"), mode="span").selectExpr("doc_id", "hex(text) AS h").collect()
+    assert {r.doc_id: r.h for r in cut} == {1: "61C328FF20", 2: ""}
+
+
+def test_operators_leave_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7777")
+    quality_rules(table(spark)).count(), token_counts(table(spark)).count(), near_duplicates(table(spark)).count()
+    assert spark.conf.get(key) == "7777"
+    spark.conf.set(key, before)
+
+
 def test_coverage_rejects_beyond_the_base_rule(spark):
     fresh = lambda a, n: [f"w{k:03}" for k in range(a, a + n)]
     twice = fresh(0, 30)
@@ -84,9 +127,9 @@ def items(spark) -> list[tuple]:
     return [(9, texts[8]), (10, "a B"), (11, None), (12, ""), (13, "..."), (100, " ".join(texts[12].split(" ")[2:14])), (7, "zzz yyy"), (7, "tail")]
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
+@pytest.mark.parametrize("block", [1 << 22, 1])
 def test_contamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decon, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(decon, "BLOCK_BYTES", block)
     df, bench = table(spark), items(spark)
     benchmark = spark.createDataFrame(bench, "item_id bigint, text string")
     got = sorted((key(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(df, benchmark).collect())
@@ -94,8 +137,29 @@ def test_contamination(spark, monkeypatch, block):
     left = decontaminate(df, benchmark)
     assert sorted(key(r.doc_id) for r in left.collect()) == sorted(key(r.doc_id) for r in df.collect() if not leaks(r.text or "", bench)[4])
     assert left.columns == df.columns
-    cut = decontaminate(df, benchmark, mode="span")
-    assert cut.count() == df.count()
+
+
+def test_spans_do_not_depend_on_the_benchmarks_size(spark, monkeypatch):
+    words = [f"w{k}" for k in range(15)]
+    df = spark.createDataFrame([(1, " ".join(["pre", *words, "post"])), (2, "clean"), (3, None), (4, "a w3 w4 b")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(words[:10])), (2, " ".join(words[5:])), (3, "a b")], "item_id bigint, text string")
+    found = []
+    for block in (1 << 22, 1):
+        monkeypatch.setattr(decon, "BLOCK_BYTES", block)
+        found.append({r.doc_id: r.text for r in decontaminate(df, bench, mode="span").collect()})
+    assert found[0] == found[1] == {1: "pre  post", 2: "clean", 3: None, 4: "a w3 w4 b"}
+    one, two = [], []
+    for block, out in ((1 << 22, one), (1, two)):
+        monkeypatch.setattr(decon, "BLOCK_BYTES", block)
+        out += sorted(map(str, decontaminate(table(spark), spark.createDataFrame(items(spark), "item_id bigint, text string"), mode="span").collect()))
+    assert one == two
+
+
+def test_windows_of_a_benchmark_take_little_memory():
+    rng = random.Random(3)
+    texts = [(str(k), " ".join(f"{rng.randrange(10**6)}" for _ in range(500)).encode()) for k in range(1200)]
+    assert sum(len(t) for _, t in texts) > 1 << 21
+    assert len(pickle.dumps(decon.Grams(texts, 10))) < 40 << 20
 
 
 def test_contamination_of_nothing(spark):
@@ -149,6 +213,13 @@ def test_line_dedup(spark, seed):
             assert left.get(k) == ("\n".join(rest) if rest else None)
 
 
+def test_line_dedup_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (1, text), (2, "x\n" + text), (None, text), (None, text)]
+    got = sorted((key(r.doc_id), r.deleted) for r in line_dedup_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == [(-1, "0-0"), (-1, "0-0"), (1, ""), (1, "0-0"), (1, "0-0"), (2, "1-1")]
+
+
 def test_line_dedup_shuffled_join(spark, monkeypatch):
     from quillon.llm import line_dedup as module
 
@@ -205,6 +276,39 @@ def test_mixtures_of_any_size(spark):
     assert rows[2].languages == ["l1"]
 
 
+def mixture(model: Model, text: str) -> tuple[set, list]:
+    """The best set of languages of all there are, by EM in plain Python, and its shares."""
+    h, begins, _ = _letters([text.encode()])
+    ends = [*begins[1:], len(h)]
+    words = [[math.exp(max(x - m, -60)) for x in row] for a, b in zip(begins, ends) for row in [model.log_p[h[a:b]].astype(float).sum(0)] for m in [max(row)]]
+    best = None
+    for size in range(1, len(model.languages) + 1):
+        for some in itertools.combinations(range(len(model.languages)), size):
+            p = {k: 1 / size for k in some}
+            for _ in range(400):
+                new = dict.fromkeys(some, 0.0)
+                for w in words:
+                    total = sum(p[k] * w[k] for k in some)
+                    for k in some:
+                        new[k] += p[k] * w[k] / total / len(words)
+                p = new
+            fits = sum(math.log(sum(p[k] * w[k] for k in some)) for w in words) - (size - 1) * math.log(len(words) + 1)
+            if best is None or fits > best[0] + 1e-6:
+                best = fits, {model.languages[k]: p[k] for k in some}
+    return best[1]
+
+
+def test_mixtures_against_all_sets(spark):
+    df = documents(spark)
+    model = fit(df)
+    by = {lang: [w for r in df.where(F.col("lang") == lang).limit(4).collect() for w in r.text.split()][:60] for lang in model.languages}
+    a, b, c, d = model.languages
+    texts = [" ".join(x) for x in (by[a], by[a] + by[b], by[b][:40] + by[c][:12] + by[d][:25], by[a][:3] + by[d][:3], by[c][:30] + by[a][:2], by[d][:1])]
+    for text, names, shares in zip(texts, *predict(model, [t.encode() for t in texts])[2:], strict=True):
+        want = mixture(model, text)
+        assert set(names) == set(want) and all(abs(want[n] - p) < 0.01 for n, p in zip(names, shares, strict=True)), (text[:40], names, shares, want)
+
+
 def test_more_than_64_languages(spark):
     rows = [(k, " ".join(alphabet_words(k % 70, k, 30)), f"l{k % 70:02}") for k in range(210)]
     model = fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
