@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._base import new_path
+from quillon.llm._base import new_path, small_batches
 from quillon.llm.bpe_codec import bpe_digests
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.language_id import fit, held_out, reject_unknown
@@ -22,27 +22,32 @@ from quillon.llm.minhash import keep_first
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of its input, but for those held out as in operator 3;
     documents without a language go."""
+    small_batches(spark)
     return reject_unknown(docs, fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left; n_chars
     follows the text."""
+    small_batches(spark)
     return line_dedup(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id."""
+    small_batches(spark)
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, encoded and decoded."""
+    small_batches(spark)
     return bpe_digests(docs)
 
 
