@@ -16,7 +16,7 @@ from quillon.llm import decontaminate as decon
 from quillon.llm.decontaminate import contamination, decontaminate
 from quillon.llm.bpe_codec import bpe_digests
 from quillon.llm.language_id import Model, _letters, fit, held_out, identify, predict, reject_unknown
-from quillon.llm.line_dedup import line_dedup, line_dedup_report, suffix_ranks
+from quillon.llm.line_dedup import lcp_array, line_dedup, line_dedup_report
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.token_counts import token_counts
@@ -236,14 +236,22 @@ def test_line_dedup_hostile(spark):
     assert line_dedup(empty(spark)).count() == line_dedup_report(empty(spark)).count() == 0
 
 
-def test_suffix_ranks_follow_prefixes(spark):
-    segments = spark.createDataFrame([(0, [1, 2, 1, 2, 3]), (1, [2, 1, 2, 3])], "seg bigint, ids array<bigint>")
-    ids = {0: [1, 2, 1, 2, 3], 1: [2, 1, 2, 3]}
-    for p, level in enumerate(suffix_ranks(segments, 4)):
-        rows = [(r["rank"], ids[r.seg][r.i : r.i + 2**p]) for r in level.collect()]
-        for a, x in rows:
-            for b, y in rows:
-                assert (a < b) == (x < y) and (a == b) == (x == y)
+@pytest.mark.parametrize("block", [64, 1])
+def test_suffix_and_lcp_arrays(spark, monkeypatch, block):
+    from quillon.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", block)
+    rng = random.Random(6)
+    ids = {k: [rng.randrange(3) for _ in range(rng.randint(1, 12))] for k in range(30)}
+    ids |= {30: [1] * 20, 31: [1] * 13, 32: ids[4], 33: ids[5], 34: [2, *ids[5]]}
+    segments = spark.createDataFrame(list(ids.items()), "seg bigint, ids array<bigint>").repartition(3)
+    want = sorted((x[i:], k, i) for k, x in ids.items() for i in range(len(x)))
+    got = {(r.seg, i): (r["at"][i], r.lcp[i]) for r in lcp_array(segments).collect() for i in range(len(r["at"]))}
+    for at, (text, k, i) in enumerate(want, 1):
+        before = want[at - 2][0] if at > 1 else []
+        shared = next((j for j, (a, b) in enumerate(zip(text, before, strict=False)) if a != b), min(len(text), len(before)))
+        assert got[k, i] == (at, shared)
+    assert len(got) == len(want)
 
 
 # -- 3 ---------------------------------------------------------------------------------------
