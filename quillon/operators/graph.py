@@ -35,7 +35,7 @@ class Graph:
         kind = dict(flat.dtypes)["id"]
         level = flat.where("parent_id IS NULL").withColumns({"depth": F.lit(0), "path": F.array(F.col("ord").cast("bigint")), "ancestors": F.array().cast(f"array<{kind}>"), "top_id": F.when(F.col("__h"), F.col("id")), "stmt_id": F.when(F.col("__s"), F.col("id"))})
         level = materialise(level, "level")
-        out = level
+        out, levels = level, [level.select("id", "parent_id")]
         for _ in range(max_depth):
             above = level.select(F.col("id").alias("__p"), F.col("depth").alias("__depth"), F.col("path").alias("__path"), F.col("ancestors").alias("__a"), F.col("top_id").alias("__top"), F.col("stmt_id").alias("__stmt"))
             below = flat.join(above, F.col("parent_id") == F.col("__p"))
@@ -44,14 +44,15 @@ class Graph:
             if not n:
                 break
             out = out.unionByName(level)
+            levels.append(level.select("id", "parent_id"))
         else:
             raise ValueError(f"deeper than {max_depth}: is the containment a tree?")
-        sizes = out.select(F.explode("ancestors").alias("id")).groupBy("id").agg((F.count("*") + 1).alias("size"))
+        sizes = _sizes(levels)
         ranked = number_rows(out, ["path", "id"], "rank").drop("__part")
         firsts = ranked.where("__e IS NOT NULL").groupBy("__e").agg(F.min_by("id", "rank").alias("__rep"))
         ranked = ranked.join(sizes, "id", "left").join(firsts, "__e", "left")
         ranked = ranked.withColumns({"size": F.coalesce("size", F.lit(1).cast("bigint")), "rep_id": F.coalesce("__rep", "id")}).drop("__h", "__s", "__e", "__rep")
-        return replace(self, nodes=materialise(ranked, "nodes"), indexed=True)
+        return replace(self, nodes=materialise(ranked, "nodes"), edges=materialise(self.edges, "edges"), indexed=True)
 
     # -- integrity and counts --------------------------------------------------------------
 
@@ -144,7 +145,7 @@ class Graph:
         """The view's tree of one root, for display: node, kids, via, link (a node that the tree
         holds already, depth first). Raises if the relation has over `limit` edges to the depth."""
         spark = self.nodes.sparkSession
-        rows = self.levels(spark.createDataFrame([(root,)], f"id {dict(self.nodes.dtypes)['id']}"), steps, 0, stop).limit(limit + 1).collect()
+        rows = self.levels(spark.createDataFrame([(root,)], f"id {dict(self.nodes.dtypes)['id']}"), steps, depth, stop).limit(limit + 1).collect()
         if len(rows) > limit:
             raise ValueError(f"over {limit} edges: use levels()")
         kids: dict = {}
@@ -229,8 +230,8 @@ class Graph:
         """With the nodes added, each at its parent_id and ord: those at or after an ord that new
         nodes take move up. New nodes of a parent have ords of the result."""
         columns = [c for c in ("id", "parent_id", "ord", "head", "atom", "label") if c in self.nodes.columns]
-        taken = nodes.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.col("ord").cast("bigint"))).alias("__new"))
-        old = self.nodes.select(columns).join(taken, "parent_id", "left")
+        taken = nodes.groupBy(F.col("parent_id").alias("__p")).agg(F.array_sort(F.collect_list(F.col("ord").cast("bigint"))).alias("__new"))
+        old = self.nodes.select(columns).join(taken, F.col("parent_id").eqNullSafe(F.col("__p")), "left")
         moved = F.aggregate("__new", F.col("ord").cast("bigint"), lambda at, n: F.when(n <= at, at + 1).otherwise(at))
         old = old.withColumn("ord", F.coalesce(moved, F.col("ord").cast("bigint"))).select(columns)
         return Graph(old.unionByName(nodes.select(columns).withColumn("ord", F.col("ord").cast("bigint"))), self.edges if edges is None else self.edges.unionByName(edges.select(self.edges.columns)))
@@ -273,6 +274,17 @@ class Graph:
         raise ValueError(f"edges still dangle after {most} rounds")
 
 
+def _sizes(levels: list[DataFrame]) -> DataFrame:
+    """id and size of the subtrees with more than one node, level by level from the leaves."""
+    out = below = None
+    for level in reversed(levels[1:]):
+        here = level if below is None else level.join(below, "id", "left")
+        size = F.lit(1).cast("bigint") if below is None else F.coalesce("size", F.lit(1).cast("bigint"))
+        below = here.groupBy(F.col("parent_id").alias("id")).agg((F.sum(size) + 1).alias("size"))
+        out = below if out is None else out.unionByName(below)
+    return levels[0].select("id", F.lit(1).cast("bigint").alias("size")).limit(0) if out is None else out
+
+
 def parse_steps(steps: str) -> list[str]:
     """The steps of a path: refers, typed and contains (each with < for the way back), inside,
     ^fn, ^stmt and call."""
@@ -287,6 +299,8 @@ def parse_steps(steps: str) -> list[str]:
 
 #: Rounds of a closure after which what it has is written as one table.
 ROUNDS = 8
+#: Hops that one round of a closure takes at most, and how many times the edges those may be, about.
+HOPS, GROWTH = 8, 32
 
 # -- closures and fixpoints ----------------------------------------------------------------------
 
@@ -294,8 +308,14 @@ ROUNDS = 8
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """seeds (seed, id) with all that edges (src, dst) reach from them: seed, id. One join and one
     anti-join a round, on the new pairs only, until a round finds none; raises if `most` rounds
-    don't suffice."""
-    steps = materialise(edges.select(F.col("src").alias("id"), "dst").distinct(), "steps")
+    don't suffice. Where nodes have few edges, the edges of several hops are tabled first, and a
+    round goes as far."""
+    steps, n = counted(edges.select(F.col("src").alias("id"), "dst").distinct(), "steps")
+    hops, least = 1, n
+    while hops < HOPS and 0 < n <= GROWTH * least // 4:
+        further = steps.join(steps.select(F.col("id").alias("dst"), F.col("dst").alias("__d")), "dst").select("id", F.col("__d").alias("dst"))
+        steps, n = counted(steps.unionByName(further).distinct(), "steps")
+        hops *= 2
     frontier = materialise(seeds.select("seed", "id").distinct(), "reach")
     seen = frontier
     for k in range(1, most + 1):

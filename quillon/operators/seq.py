@@ -101,6 +101,13 @@ class Seq:
     def take_nth(self, n: int) -> Seq:
         return self._where(self.numbered(), F.pmod(F.col("rn") - 1, F.lit(n)) == 0)
 
+    def nth_rest(self, n: int) -> Seq:
+        return self.drop(n)
+
+    def rand_nth(self, seed: int) -> Seq:
+        """One row of each sequence, each with the same chance, by a hash of seed and place."""
+        return self.min_key(F.xxhash64(F.lit(seed), *self.order))
+
     def split_at(self, n: int) -> tuple[Seq, Seq]:
         return self.take(n), self.drop(n)
 
@@ -160,6 +167,9 @@ class Seq:
         good = F.col(name).isNotNull() & (F.col(name) if dict(rows.dtypes)[name] == "boolean" else F.lit(True))
         return rows.groupBy(*self.by).agg(F.min_by(F.when(good, F.col(name)), F.when(good, F.col("rn"))).alias(name))
 
+    def not_every(self, pred: Column, name: str = "not_every") -> DataFrame:
+        return self.every(pred, name).withColumn(name, ~F.col(name))
+
     def every(self, pred: Column, name: str = "every") -> DataFrame:
         return self.df.groupBy(*self.by).agg(F.coalesce(F.bool_and(F.coalesce(pred, F.lit(False))), F.lit(True)).alias(name))
 
@@ -259,7 +269,10 @@ class Seq:
         """Rows at the same places side by side, up to the shortest."""
         out = self.numbered()
         for s in others:
-            out = out.join(s.numbered(), ["rn", *self.by])
+            names = {b: f"__z{k}" for k, b in enumerate(self.by)}
+            other = s.numbered("__rn").withColumnsRenamed(names)
+            on = [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()]
+            out = out.join(other, reduce(Column.__and__, on, F.col("rn") == F.col("__rn"))).drop("__rn", *names.values())
         return out.drop("rn")
 
     def concat(self, *others: Seq) -> Seq:

@@ -98,9 +98,13 @@ class Plan:
         for k in range(1, len(self.phases) + 1):
             a = self.snapshot(k - 1)
             b = self.snapshot(k)
-            ha = a.select(*key, F.xxhash64(*sorted(a.columns)).alias("__a"))
-            hb = b.select(*key, F.xxhash64(*sorted(b.columns)).alias("__b"))
-            both = ha.join(hb, key, "full")
-            row = both.agg(F.count_if(F.col("__a").isNull()).alias("added"), F.count_if(F.col("__b").isNull()).alias("removed"), F.count_if(F.col("__a") != F.col("__b")).alias("changed")).select(F.lit(k).alias("k"), F.lit(self.phases[k - 1].name).alias("phase"), "added", "removed", "changed")
+            # Structs, so that null values and null keys compare as values.
+            names = sorted(a.columns)
+            ha = a.select(F.struct(*key).alias("__key"), F.struct(*names).alias("__a"))
+            hb = b.select(F.struct(*key).alias("__kb"), F.struct(*sorted(b.columns)).alias("__b"))
+            both = ha.join(hb, F.col("__key").eqNullSafe(F.col("__kb")), "full")
+            changed = ~F.col("__a").eqNullSafe(F.col("__b")) if names == sorted(b.columns) else F.lit(True)
+            held = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+            row = both.agg(F.count_if(F.col("__a").isNull()).alias("added"), F.count_if(F.col("__b").isNull()).alias("removed"), F.count_if(held & changed).alias("changed")).select(F.lit(k).alias("k"), F.lit(self.phases[k - 1].name).alias("phase"), "added", "removed", "changed")
             out = row if out is None else out.unionByName(row)
         return out

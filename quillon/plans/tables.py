@@ -16,10 +16,13 @@ _OWN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local test session) a folder is made and set.
+    Only where that is unset in a session on this machine alone (master local) a folder is made and
+    set; elsewhere that raises, as executors would write to their own disks.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,9 +42,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _OWN:
+    release(0)
+
+
+def mark() -> int:
+    """How many places there are, for release()."""
+    return len(_OWN)
+
+
+def release(since: int) -> None:
+    """Removes the places made since mark(): for a long session, once what was read from them has
+    been written elsewhere."""
+    for spark, path in _OWN[since:]:
         with contextlib.suppress(Exception):  # the session has ended: the folder's owner clears it
             remove(spark, path)
+    del _OWN[since:]
 
 
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import number_rows
@@ -17,7 +17,8 @@ class Conflict(RuntimeError):
 
 
 class UnitStore:
-    """units/ has the texts by hash, manifests/NAME the order, refs/NAME/vN each version's value.
+    """units/ has the texts by hash, lists/ the manifests, refs/NAME/vN each reference's versions, of
+    which refs/manifests/NAME say which list a manifest is.
 
     put() writes new units first and the manifest last, so a manifest never names a missing unit.
     """
@@ -38,20 +39,39 @@ class UnitStore:
         schema = "hash string, data string"
         if not self._exists("units"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/units")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/units").dropDuplicates(["hash"])
 
     def put(self, name: str, units: DataFrame, data: str, order: list[str]) -> int:
-        """Stores the units (column `data`) as manifest `name`; returns how many were new."""
+        """Stores the units (column `data`) as manifest `name`; returns how many were new.
+
+        Two writers may add the same unit: readers take each hash once. A manifest is a new folder
+        that its name is switched to last, by a rename that fails if the version exists, so readers
+        see the old one or the new one.
+        """
         rows = number_rows(units, order, "ord").select("ord", F.sha2(F.col(data).cast("binary"), 256).alias("hash"), F.col(data).alias("data"))
         new = rows.dropDuplicates(["hash"]).select("hash", "data").join(self.units().select("hash"), "hash", "left_anti")
-        before = self.units().count()
-        new.write.mode("append").parquet(f"{self.root}/units")
-        rows.select("ord", "hash").write.mode("overwrite").parquet(f"{self.root}/manifests/{name}")
-        return self.units().count() - before
+        seen = Observation()
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.root}/units")
+        place = f"lists/{uuid.uuid4().hex}"
+        rows.select("ord", "hash").write.parquet(f"{self.root}/{place}")
+        while True:
+            try:
+                self.set_ref(f"manifests/{name}", place, self.ref(f"manifests/{name}")[0])
+                return seen.get["n"]
+            except Conflict:  # another writer was first: the later one stays
+                continue
+
+    def remove(self) -> None:
+        """Removes the store and all it holds."""
+        fs, at = self._fs()
+        fs.delete(at, True)
 
     def get(self, name: str) -> DataFrame:
         """A manifest's units: ord, hash, data. A unit that isn't what its hash says raises."""
-        rows = self.spark.read.parquet(f"{self.root}/manifests/{name}").join(self.units(), "hash", "left")
+        place = self.ref(f"manifests/{name}")[1]
+        if place is None:
+            raise KeyError(name)
+        rows = self.spark.read.parquet(f"{self.root}/{place}").join(self.units(), "hash", "left")
         bad = F.col("data").isNull() | (F.sha2(F.col("data").cast("binary"), 256) != F.col("hash"))
         return rows.select("ord", "hash", F.when(bad, F.raise_error(F.concat(F.lit("damaged unit "), "hash"))).otherwise(F.col("data")).alias("data"))
 

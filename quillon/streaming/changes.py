@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,9 +15,12 @@ from quillon.plans.tables import new_path
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: list[str], order: str, op: str = "op") -> DataFrame:
-    """base with the last change of each key applied: op "put" replaces or adds, "delete" removes."""
+    """base with the last change of each key applied: op "put" replaces or adds, "delete" removes. A
+    null key is a key."""
     last = changes.groupBy(*key).agg(F.max_by(F.struct(*changes.columns), order).alias("c")).select("c.*")
-    kept = base.join(last.select(*key), key, "left_anti")
+    names = {k: f"__k{n}" for n, k in enumerate(key)}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    kept = base.join(last.select(*key).withColumnsRenamed(names), reduce(Column.__and__, on), "left_anti")
     return kept.unionByName(last.where(F.col(op) == "put").select(base.columns))
 
 

@@ -233,11 +233,12 @@ def test_fixpoints(spark):
 
 
 def test_rounds_are_not_cut_silently(spark):
-    chain = spark.range(6).selectExpr("id AS src", "id + 1 AS dst")
+    chain = spark.range(40).selectExpr("id AS src", "id + 1 AS dst")
     seeds = spark.createDataFrame([(0, 0)], "seed bigint, id bigint")
-    assert g.closure(seeds, chain).count() == 7
+    assert g.closure(seeds, chain).count() == 41
     with pytest.raises(ValueError, match="2 rounds"):
         g.closure(seeds, chain, 2)
+    chain = chain.where("src < 6")
     nodes = spark.range(7).selectExpr("'n' || id AS id", "CAST(NULL AS string) AS parent_id", "id AS ord", "'x' AS head", "CAST(NULL AS string) AS atom", "CAST(NULL AS string) AS label")
     graph = Graph(nodes, chain.selectExpr("'n' || src AS src", "'n' || dst AS dst", "'refers' AS kind")).index(holder=F.lit(True), statement=F.lit(False))
     assert g.content_hashes(graph).select("hash").distinct().count() == 7
@@ -316,6 +317,50 @@ def test_store(spark):
         first.commit("n")
 
 
+def test_store_with_two_writers(spark):
+    root = new_path(spark, "store-test")
+    one, two = UnitStore(spark, root), UnitStore(spark, root)
+    units = spark.createDataFrame([(0, "a"), (1, "b")], "o int, t string")
+    one.put("m", units, "t", ["o"])
+    # A second writer that hasn't seen the first one's units adds the same again.
+    units.selectExpr("sha2(CAST(t AS binary), 256) AS hash", "t AS data").write.mode("append").parquet(f"{root}/units")
+    assert two.get("m").count() == 2 and two.size() == 2
+    two.put("m", units.where("o = 1"), "t", ["o"])
+    assert [r.data for r in one.get("m").collect()] == ["b"] and one.ref("manifests/m")[0] == 2
+    one.remove()
+    with pytest.raises(KeyError):
+        two.get("m")
+
+
+def test_shared_folder_off_this_machine(spark):
+    from types import SimpleNamespace
+
+    from quillon.plans import tables
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(unset)
+    since = tables.mark()
+    path = tables.new_path(spark, "released")
+    spark.range(1).write.parquet(path)
+    tables.release(since)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_insert_at_the_top(spark):
+    kind = "id string, parent_id string, ord bigint, head string, atom string, label string"
+    old = spark.createDataFrame([("p", None, 0, "x", None, None), ("q", None, 1, "x", None, None), ("k", "p", 0, "x", None, None)], kind)
+    grown = Graph(old, spark.createDataFrame([], "src string, dst string, kind string")).insert(spark.createDataFrame([("new", None, 0, "x", None, None)], kind))
+    assert {r.id: r.ord for r in grown.nodes.collect()} == {"new": 0, "p": 1, "q": 2, "k": 0}
+
+
+def test_build_to_a_depth(code, spark):
+    root = named(code, spark, "main").first().id
+    tree = code.build(root, "inside call refers", 1, limit=2)
+    assert len(tree["kids"]) == 2 and all(not k["kids"] for k in tree["kids"])
+
+
 def test_csv_and_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1,x\n2,\n")
     assert rows(forms.csv_seq(spark, str(tmp_path / "a.csv"), "n int, s string")) == [(1, "x"), (2, None)]
