@@ -64,6 +64,36 @@ def nth(a: Column, n: int, not_found: Column | None = None) -> Column:
     return F.element_at(a, n + 1) if not_found is None else F.when(F.size(a) > n, F.get(a, F.lit(n))).otherwise(not_found)
 
 
+def ffirst(a: Column) -> Column:
+    """The first of the first; of arrays of arrays."""
+    return first(first(a))
+
+
+def next_(a: Column, n: int = 1) -> Column:
+    """rest, but null where nothing is left."""
+    return not_empty(rest(a, n))
+
+
+def split_at(a: Column, n: int) -> Column:
+    return F.array(take(a, n), rest(a, n))
+
+
+def reverse(a: Column) -> Column:
+    return F.reverse(a)
+
+
+def into(a: Column, b: Column) -> Column:
+    return F.concat(a, b)
+
+
+def not_every(a: Column, pred: Callable[[Column], Column]) -> Column:
+    return ~every(a, pred)
+
+
+def partition_all(a: Column, n: int, step: int | None = None) -> Column:
+    return partition(a, n, step, whole=False)
+
+
 def subvec(a: Column, start: int, end: int) -> Column:
     return F.slice(a, start + 1, end - start)
 

@@ -119,6 +119,65 @@ def type_name(x: Column) -> Column:
     return F.typeof(x)
 
 
+def is_int(kind: str) -> bool:
+    """Of a column's type (as in DataFrame.dtypes), as the other predicates of types."""
+    return kind in ("tinyint", "smallint", "int", "bigint")
+
+
+def is_number(kind: str) -> bool:
+    return is_int(kind) or kind in ("float", "double") or kind.startswith("decimal")
+
+
+def is_double(kind: str) -> bool:
+    return kind in ("float", "double")
+
+
+def is_string(kind: str) -> bool:
+    return kind.startswith(("string", "varchar", "char"))
+
+
+def is_bool(kind: str) -> bool:
+    return kind == "boolean"
+
+
+def is_map(kind: str) -> bool:
+    return kind.startswith(("map<", "struct<"))
+
+
+def is_vector(kind: str) -> bool:
+    return kind.startswith("array<")
+
+
+def is_coll(kind: str) -> bool:
+    return is_map(kind) or is_vector(kind)
+
+
+def is_pos_int(x: Column) -> Column:
+    return F.coalesce(x > 0, F.lit(False))
+
+
+def is_neg_int(x: Column) -> Column:
+    return F.coalesce(x < 0, F.lit(False))
+
+
+def is_nat_int(x: Column) -> Column:
+    return F.coalesce(x >= 0, F.lit(False))
+
+
+def is_keyword(x: Column) -> Column:
+    """Of a text: whether it is a keyword, as keyword() makes them."""
+    return F.coalesce(x.startswith(":"), F.lit(False))
+
+
+def is_qualified(x: Column) -> Column:
+    """Whether an identifier has a namespace."""
+    return F.coalesce(x.rlike(r"^:?[^/]+/[^/]+$"), F.lit(False))
+
+
+def is_simple(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"^:?[^/]+$"), F.lit(False))
+
+
 # -- arithmetic ------------------------------------------------------------------------------
 
 
@@ -197,6 +256,39 @@ def denominator(r: Column) -> Column:
     return r["den"]
 
 
+def divide(n: Column, d: Column) -> Column:
+    """The quotient as a double; zero for d raises."""
+    return n.cast("double") / F.when(d == 0, F.raise_error(F.lit("division by zero")).cast("double")).otherwise(d.cast("double"))
+
+
+def bit_and(*xs: Column) -> Column:
+    return reduce(Column.bitwiseAND, xs)
+
+
+def bit_or(*xs: Column) -> Column:
+    return reduce(Column.bitwiseOR, xs)
+
+
+def bit_xor(*xs: Column) -> Column:
+    return reduce(Column.bitwiseXOR, xs)
+
+
+def bit_not(x: Column) -> Column:
+    return F.bitwise_not(x)
+
+
+def rand(n: float = 1.0, seed: int | None = None) -> Column:
+    return (F.rand() if seed is None else F.rand(seed)) * n
+
+
+def rand_int(n: int, seed: int | None = None) -> Column:
+    return F.floor(rand(n, seed)).cast("bigint")
+
+
+def hash_(x: Column) -> Column:
+    return F.xxhash64(x)
+
+
 def bit_and_not(a: Column, b: Column) -> Column:
     return a.bitwiseAND(F.bitwise_not(b))
 
@@ -305,6 +397,19 @@ def namespace(keyword: Column) -> Column:
     return F.when(keyword.contains("/"), F.split_part(F.regexp_replace(keyword, "^:", ""), F.lit("/"), F.lit(1)))
 
 
+def keyword(*parts: Column) -> Column:
+    """:name, or :namespace/name."""
+    return F.concat(F.lit(":"), F.concat_ws("/", *parts))
+
+
+def symbol(*parts: Column) -> Column:
+    return F.concat_ws("/", *parts)
+
+
+def format_(pattern: str, *xs: Column) -> Column:
+    return F.format_string(pattern, *xs)
+
+
 def re_seq(pattern: str, s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
 

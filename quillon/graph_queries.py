@@ -3,6 +3,8 @@ the relational tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from quillon.operators import graph as g
 from quillon.operators import text as tx
 from quillon.operators.graph import Graph
 from quillon.plans.jobs import Phase, Plan
-from quillon.plans.tables import new_path
+from quillon.plans.tables import materialise, new_path
 from quillon.sources.forms import read_edn, read_forms, write_forms
-from quillon.sources.store import UnitStore
-from quillon.streaming.changes import Versions, apply_changes, maintain
+from quillon.sources.store import Conflict, UnitStore, new_units
+from quillon.streaming.changes import Channel, Versions, apply_changes, maintain, running_state
 
 from .queries import query
 
@@ -43,7 +45,21 @@ def tables_graph(t, deep: bool = False) -> Graph:
     return Graph(nodes.unionByName(types), edges.unionByName(uses))
 
 
+#: Indexed graphs by session, tables and depth: an index is built once and read by every view.
+_INDEXED: dict[tuple, Graph] = {}
+
+
 def indexed(t, deep: bool = False) -> Graph:
+    orders = t("orders")
+    spark = orders.sparkSession
+    stamps = orders.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, *sorted(map(str, stamps)), deep)
+    if key not in _INDEXED:
+        _INDEXED[key] = _index(t, deep)
+    return _INDEXED[key]
+
+
+def _index(t, deep: bool) -> Graph:
     graph = tables_graph(t, deep)
     return graph.index(holder=F.col("head").isin("customer", "supplier"), statement=F.col("head") == "orders", call=(F.col("head") == "orders") & (F.col("ord") % 3 == 0))
 
@@ -67,13 +83,6 @@ def graph_refers_in(t):
     return found.select("root", "node", F.size("via").cast("bigint").alias("uses"))
 
 
-@query("SELECT 1 AS depth, 's' || o_orderkey % 10 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 < 5 GROUP BY ALL")
-def graph_callers_d2(t):
-    graph = indexed(t)
-    roots = graph.nodes.where("head = 'supplier' AND ord < 5").select("id")
-    return graph.callers(roots, 2).select("depth", "root", "node", F.size("via").cast("bigint").alias("uses"))
-
-
 @query("SELECT 'c' || o_custkey AS root, 's' || o_orderkey % 10 AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
 def graph_callees(t):
     graph = indexed(t)
@@ -93,20 +102,14 @@ def graph_type_view(t):
     return graph.type_view(graph.nodes.where("head = 'type'").select("id"))
 
 
-@query("SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS form FROM orders WHERE o_orderkey < 500")
-def graph_contexts(t):
-    graph = indexed(t)
-    return graph.contexts(graph.nodes.where("head = 'orders' AND ord < 500").select("id"), "fn").select(F.explode("uses").alias("id"), "form")
-
-
 @query("SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS form FROM orders")
-def graph_contexts_whole(t):
+def graph_contexts(t):
     graph = indexed(t)
     return graph.contexts(graph.nodes.where("head = 'orders'").select("id"), "fn").select(F.explode("uses").alias("id"), "form")
 
 
 @query("SELECT 1 AS depth, 's' || o_orderkey % 10 AS root, 'c' || o_custkey AS node, count(*) AS uses FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
-def graph_callers_d2_whole(t):
+def graph_callers_d2(t):
     graph = indexed(t)
     roots = graph.nodes.where("head = 'supplier'").select("id")
     return graph.callers(roots, 2).select("depth", "root", "node", F.size("via").cast("bigint").alias("uses"))
@@ -121,14 +124,8 @@ def _steps(t) -> DataFrame:
     return rows.unionByName(s.where("k % 4 = 0").select(F.col("k").alias("src"), ((F.col("k") * 3 + 1) % F.col("n")).alias("dst")))
 
 
-@query(f"WITH RECURSIVE e AS ({_STEPS}), r(seed, id) AS (SELECT a, a FROM e WHERE a < 10 UNION SELECT seed, b FROM r JOIN e ON a = id) SELECT seed, id FROM r")
-def graph_closure(t):
-    seeds = t("supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("id"))
-    return g.closure(seeds, _steps(t))
-
-
 @query(f"WITH RECURSIVE e AS ({_STEPS}), r(seed, id) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT seed, b FROM r JOIN e ON a = id) SELECT seed, id FROM r")
-def graph_closure_whole(t):
+def graph_closure(t):
     seeds = t("supplier").select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("id"))
     return g.closure(seeds, _steps(t))
 
@@ -181,6 +178,116 @@ def graph_hash(t):
     return rows.groupBy(F.substring("parent_id", 2, 10).cast("int").alias("nation")).agg(F.count_distinct("hash").alias("shapes"))
 
 
+_HEADS = "SELECT 'r' || r_regionkey AS id, 'region' AS head, NULL AS up FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer', 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'orders', 'c' || o_custkey FROM orders UNION ALL SELECT 's' || s_suppkey, 'supplier', NULL FROM supplier"
+
+
+@query(f"SELECT step, root, node FROM (SELECT 'typed' AS step, id AS root, 't:' || head AS node FROM ({_HEADS}) UNION ALL SELECT 'typed<', 't:' || head, id FROM ({_HEADS}) UNION ALL SELECT 'contains<', id, up FROM ({_HEADS}) WHERE up IS NOT NULL UNION ALL SELECT '^stmt', 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION ALL SELECT '^fn', 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'refers', 'o' || o_orderkey, 's' || o_orderkey % 10 FROM orders)")
+def graph_steps(t):
+    graph = indexed(t)
+    nodes, orders = graph.nodes.select("id"), graph.nodes.where("head = 'orders'").select("id")
+    roots = {"typed": nodes, "typed<": nodes, "contains<": nodes, "^stmt": orders, "^fn": orders, "refers": orders}
+    rows = [graph.follow(r, step).select(F.lit(step).alias("step"), "root", "node") for step, r in roots.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("SELECT 'n1' AS id, 1 + count(DISTINCT c_custkey) + count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 1 UNION ALL SELECT 'c' || c_custkey, 1 FROM customer WHERE c_name = (SELECT min(c_name) FROM customer) UNION ALL SELECT 'o' || min(o_orderkey), 1 FROM orders UNION ALL SELECT 'c' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_name = (SELECT min(c_name) FROM customer)")
+def graph_find(t):
+    """definition() of a node, find() by label, by #id and by a member's path."""
+    graph = indexed(t)
+    least = graph.nodes.where("head = 'customer'").agg(F.min("label")).first()[0]
+    inside = graph.nodes.where(F.col("label") == least).select(F.col("parent_id").alias("id")).join(graph.nodes, "id").first().label
+    order = graph.nodes.where("head = 'orders'").agg(F.min("ord")).first()[0]
+    rows = [graph.definition("n1").agg(F.lit("n1").alias("id"), F.count("*").alias("n"))]
+    rows += [graph.find(what).select("id", F.lit(n).cast("bigint").alias("n")) for what, n in ((least, 1), (f"#o{order}", 1), (f"{inside}.{least}", 2))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("SELECT 'r' || r_regionkey AS id, r_regionkey::BIGINT + 1 AS ord FROM region UNION ALL SELECT 'new', 0")
+def graph_insert(t):
+    graph = tables_graph(t)
+    new = graph.nodes.sparkSession.createDataFrame([("new", None, 0, "region", None, "new")], "id string, parent_id string, ord bigint, head string, atom string, label string")
+    return graph.insert(new).nodes.where("head = 'region'").select("id", "ord")
+
+
+@query("SELECT c_mktsegment || '!' AS atom, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1")
+def graph_replace(t):
+    graph = tables_graph(t)
+    names = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    marked = Graph(graph.nodes.join(names, "id", "left"), graph.edges)
+    done = marked.replace(marked.nodes.where("head = 'customer' AND ord % 2 = 0").select("id"), F.concat("segment", F.lit("!")))
+    return done.nodes.where("atom IS NOT NULL").groupBy("atom").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 's' || CASE WHEN o_orderkey % 10 < 3 THEN 9 ELSE o_orderkey % 10 END AS dst, count(*) AS n FROM orders GROUP BY 1")
+def graph_retarget(t):
+    graph = tables_graph(t)
+    moves = graph.nodes.sparkSession.createDataFrame([("s0", "s9"), ("s1", "s9"), ("s2", "s9")], "old string, new string")
+    return graph.retarget(moves).edges.where("kind = 'refers'").groupBy("dst").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'n' || CASE WHEN c_nationkey % 2 = 1 THEN 0 ELSE c_nationkey END AS parent_id, count(*) AS n, sum(CASE WHEN c_nationkey % 2 = 1 THEN c_custkey + 1000000 ELSE c_custkey END)::BIGINT AS ords FROM customer GROUP BY 1")
+def graph_move(t):
+    graph = tables_graph(t)
+    odd = graph.nodes.where("head = 'customer' AND CAST(substring(parent_id, 2) AS INT) % 2 = 1")
+    moved = graph.move(odd.select("id", F.lit("n0").alias("new_parent"), (F.col("ord") + 1_000_000).alias("new_ord")))
+    return moved.nodes.where("head = 'customer'").groupBy("parent_id").agg(F.count("*").alias("n"), F.sum("ord").alias("ords"))
+
+
+@query("WITH o AS (SELECT o_orderkey, o_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0) SELECT 'region' AS head, 1 AS n UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'supplier', count(DISTINCT o_orderkey % 10) FROM o UNION ALL SELECT 'type', 5")
+def graph_collect(t):
+    graph = indexed(t)
+    return g.collect(graph, graph.nodes.where("id = 'r0'").select("id")).nodes.groupBy("head").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE e AS ({_STEPS}), bad(id) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 11 = 5 UNION SELECT a FROM e JOIN bad ON b = id) SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM bad)")
+def graph_greatest_fixpoint(t):
+    """The largest set of suppliers, without every eleventh, whose steps all stay in it."""
+    steps = _steps(t).select(F.col("src").alias("id"), "dst")
+    candidates = t("supplier").where("s_suppkey % 11 <> 5").select(F.col("s_suppkey").alias("id"))
+    return g.greatest_fixpoint(candidates, lambda now: steps.join(now, "id").join(now.select(F.col("id").alias("dst")), "dst", "left_anti"))
+
+
+@query(f"WITH RECURSIVE e AS ({_STEPS}), r(id, d) AS (SELECT 0::BIGINT, 0 UNION SELECT b, d + 1 FROM r JOIN e ON a = id WHERE d < 200) SELECT id, min(d) AS depth FROM r GROUP BY 1")
+def graph_reachable(t):
+    return g.reachable(t("supplier").where("s_suppkey = 0").select(F.col("s_suppkey").alias("id")), _steps(t)).select("id", "depth")
+
+
+@query("SELECT c_nationkey AS nation, count(DISTINCT n) AS shapes FROM (SELECT c_nationkey, c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) GROUP BY 1")
+def graph_content_hashes(t):
+    graph = indexed(t)
+    rows = graph.nodes.where("head = 'customer'").join(g.content_hashes(graph), "id")
+    return rows.groupBy(F.substring("parent_id", 2, 10).cast("int").alias("nation")).agg(F.count_distinct("hash").alias("shapes"))
+
+
+@query("SELECT true AS same, true AS differs, (SELECT count(*) FROM orders)::BIGINT AS fresh")
+def graph_same(t):
+    graph = tables_graph(t)
+    cut = Graph(graph.nodes.where("head <> 'region'"), graph.edges)
+    most = graph.nodes.where("head = 'orders'").select(F.col("ord").alias("id"))
+    numbered = Graph(most, graph.edges).fresh_ids(most.withColumnRenamed("id", "old"), ["old"])
+    fresh = numbered.join(most, "id", "left_anti").select("id").distinct().count()
+    return graph.nodes.sparkSession.createDataFrame([(graph.same(graph), not graph.same(cut), fresh)], "same boolean, differs boolean, fresh bigint")
+
+
+_CALLS = "WITH e AS (SELECT p_partkey AS a, p_partkey * 7 % (SELECT count(*) FROM part) AS b FROM part), roots AS (SELECT p_partkey AS id FROM part WHERE p_size = 1), d1 AS (SELECT 1 AS depth, b AS root, a AS node FROM e WHERE b IN (SELECT id FROM roots)), d2 AS (SELECT 2, b, a FROM e WHERE b IN (SELECT node FROM d1) AND b NOT IN (SELECT id FROM roots)) "
+
+
+@query(_CALLS + "SELECT depth, 'p' || root AS root, 'p' || node AS node FROM (FROM d1 UNION ALL FROM d2) WHERE root IN (SELECT p_partkey FROM part)")
+def graph_callers_code(t):
+    """Functions that call one another, read from their text: callers of the smallest parts to a depth
+    of two."""
+    p = t("part").crossJoin(F.broadcast(t("part").agg(F.count("*").alias("n"))))
+    text = F.format_string("(defn p%d (body (call @p%d)))", "p_partkey", F.col("p_partkey") * 7 % F.col("n"))
+    graph = read_forms(p.select(F.col("p_partkey").alias("unit"), text.alias("text")))
+    calls = graph.nodes.where("atom LIKE '@%'").select("id", F.lit(True).alias("is_call"))
+    code = Graph(graph.nodes.join(calls, "id", "left"), graph.edges).index(holder=F.col("parent_id").isNull(), statement=F.col("head") == "call", call=F.col("is_call"))
+    small = t("part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("label"))
+    rows = code.callers(code.nodes.where("parent_id IS NULL").join(small, "label").select("id"), 2)
+    names = code.nodes.where("parent_id IS NULL").select("id", "label")
+    rows = rows.select("depth", F.col("root").alias("id"), "node").join(names, "id").select("depth", F.col("label").alias("root"), F.col("node").alias("id"))
+    return rows.join(names, "id").select("depth", "root", F.col("label").alias("node"))
+
+
 def _forms(t) -> DataFrame:
     p = t("part")
     text = F.format_string('(def p%d (size %d) (brand "%s") (next @p%d))', "p_partkey", "p_size", "p_brand", F.col("p_partkey") + 1)
@@ -270,6 +377,60 @@ def text_yank_put(t):
     return tx.put(buffer, tx.yank(buffer, (1, 2)), 3)
 
 
+@query(_LINES + "SELECT buf, row_number() OVER (PARTITION BY buf ORDER BY ln, k) AS ln, line FROM (SELECT *, 1 AS k FROM lines WHERE ln <> 2 UNION ALL SELECT DISTINCT buf, 2, 'new', 0 FROM lines)")
+def text_change(t):
+    return tx.change(_buffers(t), 2, 2, ["new"])
+
+
+@query(_LINES + "SELECT buf, row_number() OVER (PARTITION BY buf ORDER BY ln, k) AS ln, line FROM (SELECT *, 1 AS k FROM lines UNION ALL SELECT DISTINCT buf, 1, 'top', 0 FROM lines)")
+def text_insert(t):
+    return tx.insert(_buffers(t), 1, ["top"])
+
+
+@query(_LINES + "SELECT buf, ln, CASE WHEN ln > 3 THEN line WHEN line = '' THEN '' ELSE '    ' || line END AS right_, CASE WHEN ln > 3 THEN line WHEN line = '' THEN '' ELSE '  ' || line END AS left_, CASE WHEN ln > 3 THEN line ELSE upper(replace(line, 'ß', 'ss')) END AS up, CASE WHEN ln > 3 THEN line ELSE lower(line) END AS low FROM lines")
+def text_shift(t):
+    b = _buffers(t)
+    right = tx.shift(b, (1, 3), 4)
+    # One level back of what has been shifted.
+    parts = {"right_": right, "left_": tx.shift(right, (1, 3), 2, left=True), "up": tx.upper(b, (1, 3)), "low": tx.lower(b, (1, 3))}
+    return reduce(lambda x, y: x.join(y, ["buf", "ln"]), [p.withColumnRenamed("line", n) for n, p in parts.items()])
+
+
+@query(_LINES + "SELECT buf, ln, lpad(ln::VARCHAR, greatest(3, length(ln::VARCHAR))::INT, ' ') || ' ' || line AS shown FROM lines WHERE ln <= 3")
+def text_print(t):
+    return tx.print_(_buffers(t), (1, 3), numbers=True)
+
+
+@query(_LINES + "SELECT buf, max(ln) AS n, count(*) FILTER (contains(line, 'the')) AS hits FROM lines GROUP BY 1")
+def text_last_line(t):
+    b = _buffers(t)
+    hits = tx.matching(b, "the").groupBy("buf").agg(F.count("*").alias("hits"))
+    return tx.last_line(b).join(hits, "buf", "left").select("buf", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@query(_LINES + "SELECT step, buf, count(*) AS n FROM lines, (VALUES ('start', 0), ('undo', 0), ('redo', 1), ('put', 1)) v(step, least) WHERE ln > least OR step = 'put' AND ln = 1 GROUP BY ALL")
+def text_history(t):
+    """Lines of each buffer as opened, after deleting the first and undoing, redoing, and putting it
+    back from a register at the end; marks and the list of versions are checked beside."""
+    h = tx.History(_buffers(t))
+    start = h.now
+    h.yank("a", (1, 1))
+    h.edit(lambda b: tx.delete(b, (1, 1)))
+    undone, redone = h.undo(), h.redo()
+    put = h.put("a", 1_000_000)
+    h.mark("m", 3)
+    h.delmarks("m")
+    if h.marks or h.undolist() != [(0, False), (1, False), (2, True)]:
+        raise AssertionError("the history isn't what was done")
+    steps = {"start": start, "undo": undone, "redo": redone, "put": put}
+    return reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("step"), "buf") for s, d in steps.items()]).groupBy("step", "buf").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS buf, text FROM documents WHERE text IS NOT NULL")
+def text_round_trip(t):
+    return tx.close_buffers(_buffers(t))
+
+
 # -- store, jobs, streams --------------------------------------------------------------------
 
 
@@ -291,6 +452,71 @@ def job_changes(t):
     return _plan(t).changes(["c_custkey"])
 
 
+@query("SELECT sha256(c_mktsegment) AS hash, count(*) AS n, 2 AS version, 'b' AS value, true AS refused, true AS gone FROM customer GROUP BY c_mktsegment")
+def store_references(t):
+    """Units, a reference set twice by transactions, a refused third commit, and the store's removal."""
+    rows = t("customer").select("c_custkey", "c_mktsegment")
+    store = UnitStore(rows.sparkSession, _root(rows, "store"))
+    store.put("all", rows, "c_mktsegment", ["c_custkey"])
+    late, refused = store.transaction("head"), False
+    store.transaction("head").commit("a")
+    store.set_ref("head", "b", 1)
+    store.transaction("head").abort()
+    try:
+        late.commit("c")
+    except Conflict:
+        refused = True
+    version, value = store.ref("head")
+    held = materialise(store.get("all").groupBy("hash").agg(F.count("*").alias("n")), "held")
+    if store.size() != held.count() or not new_units(rows, store.units(), F.col("c_mktsegment")).isEmpty():
+        raise AssertionError("the store has other units than the table")
+    store.remove()
+    return held.select("hash", "n", F.lit(version).alias("version"), F.lit(value).alias("value"), F.lit(refused).alias("refused"), F.lit(store.ref("head") == (0, None)).alias("gone"))
+
+
+@query("SELECT c_custkey, c_mktsegment || '+' AS c_mktsegment FROM customer WHERE c_acctbal > 0")
+def job_advance(t):
+    return _plan(t).advance(2).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT * FROM (VALUES (1, 'nulls', 0, 0, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING'))) v(k, phase, added, removed, changed)")
+def job_changes_null_values(t):
+    """Values that become null are changes; so is that of a null key."""
+    customers = t("customer").withColumn("c_custkey", F.nullif("c_custkey", F.lit(7)))
+    nulls = Phase("nulls", (lambda df: df.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING"))),))
+    plan = Plan(customers.sparkSession, _root(customers, "jobs"), [nulls])
+    plan.seed(customers)
+    plan.run()
+    return plan.changes(["c_custkey"])
+
+
+@query("WITH b AS (SELECT nullif(o_custkey % 7, 0) AS k, max(o_orderkey) AS v FROM orders GROUP BY 1), c AS (SELECT nullif(c_custkey % 7, 0) AS k, max(c_custkey) AS v FROM customer WHERE coalesce(nullif(c_custkey % 7, 0), 0) < 4 GROUP BY 1) SELECT b.k AS k, CASE WHEN coalesce(b.k, 0) < 4 THEN c.v ELSE b.v END AS v FROM b LEFT JOIN c ON b.k IS NOT DISTINCT FROM c.k WHERE coalesce(b.k, 0) <> 3")
+def stream_changes_null_keys(t):
+    base = t("orders").groupBy(F.nullif(F.col("o_custkey") % 7, F.lit(0)).alias("k")).agg(F.max("o_orderkey").alias("v"))
+    changes = t("customer").select(F.nullif(F.col("c_custkey") % 7, F.lit(0)).alias("k"), F.col("c_custkey").alias("v")).where("coalesce(k, 0) < 4")
+    return apply_changes(base, changes.withColumn("op", F.when(F.col("k") == 3, "delete").otherwise("put")), ["k"], "v")
+
+
+@query("SELECT user_id, round(sum(value), 2) AS state FROM events GROUP BY 1")
+def stream_running_state(t):
+    """A sum for each user, kept over the micro-batches of a channel that takes one batch more at a
+    time."""
+    events = t("events").select("user_id", "value", "event_id")
+    spark, root = events.sparkSession, _root(events, "stream")
+    channel = Channel(spark, f"{root}/channel", "user_id bigint, value double", size=3)
+    for k in range(3):
+        if not channel.offer(events.where(F.pmod("event_id", F.lit(3)) == k).select("user_id", "value")):
+            raise AssertionError("the channel is full too soon")
+    if channel.offer(events.select("user_id", "value")):
+        raise AssertionError("the channel takes more than its size")
+    channel.close()
+    state = running_state(channel.take(), "user_id", "value", lambda now, values: now + values.sum(), 0.0)
+    writer = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")).start().awaitTermination()
+    held = spark.read.schema("user_id bigint, state double, batch bigint").parquet(f"{root}/state")
+    return held.groupBy("user_id").agg(F.round(F.max_by("state", "batch"), 2).alias("state"))
+
+
 @query("SELECT * FROM (VALUES ('drop', true), ('tag', true), ('control', true)) v(phase, ok)")
 def job_check(t):
     plan = _plan(t)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import codecs, collections, core, maths, strings, times
+from quillon.functions.walk import for_
 from quillon.operators import rel
-from quillon.operators.seq import Seq, merge_with, tree_seq
+from quillon.operators.seq import Seq, cycle, iterate, merge, merge_with, range_, repeat, tree_seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -257,15 +259,8 @@ def seq_map_indexed(t):
     return _events(t).map_indexed(lambda i, v: i + v, F.col("event_id")).select("event_id", "mapped")
 
 
-@query("WITH s AS (SELECT s_suppkey AS k, 0 AS q, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier), n AS (SELECT n_nationkey AS k, 1 AS q, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT k::BIGINT AS k, q AS __seq, p AS __place FROM (FROM s UNION ALL FROM n) WHERE p <= 10")
-def seq_interleave(t):
-    a = Seq(t("supplier").select(F.col("s_suppkey").alias("k")), ("k",))
-    b = Seq(t("nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("bigint").alias("k")), ("k",))
-    return a.interleave(b).select("k", "__seq", "__place")
-
-
 @query("WITH s AS (SELECT s_suppkey AS k, 0 AS q, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier), n AS (SELECT n_nationkey AS k, 1 AS q, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT k::BIGINT AS k, q AS __seq, p AS __place FROM (FROM s UNION ALL FROM n) WHERE p <= least((SELECT count(*) FROM supplier), (SELECT count(*) FROM nation))")
-def seq_interleave_whole(t):
+def seq_interleave(t):
     a = Seq(t("supplier").select(F.col("s_suppkey").alias("k")), ("k",))
     b = Seq(t("nation").select(F.col("n_nationkey").cast("bigint").alias("k")), ("k",))
     return a.interleave(b).select("k", "__seq", "__place")
@@ -282,9 +277,93 @@ def seq_zip(t):
     return a.zip(Seq(t("orders").select(F.col("o_orderkey").alias("b"), "o_orderdate"), ("o_orderdate", "b"))).select("a", "b")
 
 
-@query("SELECT user_id, sum(event_id * 1.0)::BIGINT AS reduced FROM events GROUP BY 1")
+@query("SELECT user_id, list_reduce([0] || list(event_id ORDER BY ts, event_id), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS reduced FROM events GROUP BY 1")
 def seq_reduce(t):
-    return _events(t).reduce(F.lit(0).cast("bigint"), lambda a, x: a + x, F.col("event_id"))
+    return _events(t).reduce(F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x) % 1000003, F.col("event_id"))
+
+
+_PLACES = "WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) "
+
+
+@query(_PLACES + "SELECT what, user_id, event_id FROM n, (VALUES ('first'), ('second'), ('rest'), ('last'), ('butlast'), ('subvec'), ('nth_rest'), ('left'), ('right')) v(what) WHERE CASE what WHEN 'first' THEN rn = 1 WHEN 'second' THEN rn = 2 WHEN 'rest' THEN rn > 1 WHEN 'last' THEN rn = n WHEN 'butlast' THEN rn < n WHEN 'subvec' THEN rn IN (2, 3) WHEN 'nth_rest' THEN rn > 3 WHEN 'left' THEN rn <= 4 ELSE rn > 4 END")
+def seq_positions(t):
+    s = _events(t)
+    left, right = s.split_at(4)
+    parts = {"first": s.first(), "second": s.second(), "rest": s.rest(), "last": s.last(), "butlast": s.butlast(), "subvec": s.subvec(1, 3), "nth_rest": s.nth_rest(3), "left": left, "right": right}
+    rows = [p.df.select(F.lit(what).alias("what"), "user_id", "event_id") for what, p in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("SELECT event_id, 'keep' AS what, nullif(event_type, 'click') AS kept FROM events WHERE event_type <> 'click' UNION ALL SELECT event_id, 'indexed', (rn * 2)::VARCHAR FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events) WHERE rn % 2 = 1 UNION ALL SELECT event_id, 'filter', event_type FROM events WHERE value > 50")
+def seq_keep(t):
+    s = _events(t)
+    rows = [s.keep(F.nullif(F.col("event_type"), F.lit("click"))), s.keep_indexed(lambda i, _: F.when(i % 2 == 1, (i * 2).cast("string")), F.col("event_type")), s.filter(F.col("value") > 50).df.withColumn("kept", F.col("event_type"))]
+    return reduce(DataFrame.unionByName, [r.select("event_id", F.lit(what).alias("what"), "kept") for r, what in zip(rows, ("keep", "indexed", "filter"), strict=True)])
+
+
+@query("WITH c AS (SELECT 0 AS q, s_suppkey AS k FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation) SELECT q AS __seq, k, row_number() OVER (ORDER BY q, k) AS rn FROM c")
+def seq_concat(t):
+    a = Seq(t("supplier").select(F.col("s_suppkey").alias("k")), ("k",))
+    return a.concat(Seq(t("nation").select(F.col("n_nationkey").cast("bigint").alias("k")), ("k",))).numbered()
+
+
+@query("SELECT n_nationkey AS k, r AS __round FROM nation, range(1, 4) t(r)")
+def seq_cycle(t):
+    return cycle(t("nation").select(F.col("n_nationkey").alias("k")), ["k"], 3)
+
+
+@query("SELECT 'iterate' AS what, i AS place, (3 ** i)::BIGINT AS value FROM range(12) t(i) UNION ALL SELECT 'repeat', i, 7 FROM range(5) t(i) UNION ALL SELECT 'range', NULL, i FROM range(2, 40, 5) t(i)")
+def seq_generators(t):
+    spark = t("region").sparkSession
+    rows = iterate(spark, lambda x: x * 3, F.lit(1).cast("bigint"), 12).select(F.lit("iterate").alias("what"), F.col("place").cast("bigint").alias("place"), "value")
+    rows = rows.unionByName(repeat(spark, 5, F.lit(7).cast("bigint")).select(F.lit("repeat").alias("what"), "place", "value"))
+    return rows.unionByName(range_(spark, 2, 40, 5).select(F.lit("range").alias("what"), F.lit(None).cast("bigint").alias("place"), "value"))
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS key, CASE WHEN c_custkey IS NOT NULL THEN nullif(c_nationkey, 3) ELSE s_nationkey END AS value FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def seq_merge(t):
+    return merge(t("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("value")), t("customer").select(F.col("c_custkey").alias("key"), F.nullif(F.col("c_nationkey"), F.lit(3)).alias("value")))
+
+
+@query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events), w AS (SELECT user_id, rn // 4 AS w, list(event_id ORDER BY rn) AS l FROM n GROUP BY ALL) SELECT user_id, w AS \"window\", '[' || array_to_string((l || [-1, -2])[:4], ',') || ']' AS items FROM w")
+def seq_partition_pad(t):
+    return _listed(_events(t).partition(4, F.col("event_id"), pad=F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))), "user_id", "window")
+
+
+@query("SELECT user_id, NOT bool_and(value < 90) AS not_every FROM events GROUP BY 1")
+def seq_not_every(t):
+    return _events(t).not_every(F.col("value") < 90)
+
+
+@query("SELECT count(DISTINCT user_id) AS n, true AS held FROM events")
+def seq_random(t):
+    """Samples are checked by what they can't be: no row twice, one row a sequence."""
+    s = _events(t)
+    one = s.rand_nth(3).df
+    some = s.random_sample(0.5, 1)
+    held = (some.distinct().count() <= s.df.count()) & (s.shuffle(2).count() == s.df.count()) & (s.bounded_count(7) == 7)
+    return one.agg(F.count_distinct("user_id").alias("n"), (F.count("*") == F.count_distinct("user_id")).alias("h")).select("n", (F.col("h") & F.lit(bool(held))).alias("held"))
+
+
+_NULL_KEYS = "WITH a AS (SELECT nullif(o_custkey % 5, 0) AS k, o_orderkey AS v, row_number() OVER (PARTITION BY nullif(o_custkey % 5, 0) ORDER BY o_orderkey) AS rn FROM orders), b AS (SELECT nullif(c_custkey % 5, 0) AS k, c_custkey AS w, row_number() OVER (PARTITION BY nullif(c_custkey % 5, 0) ORDER BY c_custkey) AS rn FROM customer) "
+
+
+@query(_NULL_KEYS + "SELECT a.k AS k, v, w FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.rn = b.rn")
+def seq_zip_null_keys(t):
+    a = Seq(t("orders").select(F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("k"), F.col("o_orderkey").alias("v")), ("v",), ("k",))
+    return a.zip(Seq(t("customer").select(F.nullif(F.col("c_custkey") % 5, F.lit(0)).alias("k"), F.col("c_custkey").alias("w")), ("w",), ("k",))).select("k", "v", "w")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation)) = 0 AS superset, (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)) = 0 AS subset")
+def rel_superset(t):
+    supplier, _, nation = _keys(t)
+    return supplier.sparkSession.createDataFrame([(rel.is_superset(nation, supplier), rel.is_subset(nation, supplier))], "superset boolean, subset boolean")
+
+
+@query("SELECT n_nationkey AS x, y, x * 100 + y AS z FROM nation, unnest(range(0, n_nationkey)) t(y) WHERE y % 2 = 1".replace("x * 100", "n_nationkey * 100"))
+def core_for(t):
+    source = t("nation").select(F.col("n_nationkey").cast("bigint").alias("x"))
+    return for_([("x", source), ("y", F.when(F.col("x") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("x") - 1)))], when=F.col("y") % 2 == 1, let={"z": F.col("x") * 100 + F.col("y")})
 
 
 @query("SELECT user_id, bool_and(value < 90) AS every FROM events GROUP BY 1")

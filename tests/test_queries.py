@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
 from quillon.queries import ORACLE_SQL, QUERIES
 
