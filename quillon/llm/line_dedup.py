@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import number_rows, running_sum
@@ -83,11 +83,34 @@ def _refined(suffixes: DataFrame) -> tuple[DataFrame, int]:
     """The suffixes (seg, i, before, rank, next) with new ranks, by (rank, next), `ended` (no line
     was left to compare) and `open`; and how many are open: not told apart, with lines left."""
     pairs = suffixes.groupBy("rank", "next").agg(F.count("*").alias("n"))
-    placed = table(pairs.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").withColumn("__part", F.spark_partition_id()), "pairs")
-    summed = running_sum(placed.withColumn("rn", F.struct("rank", "next")), F.col("n"), "sum").select("rank", "next", "n", (F.col("sum") - F.col("n")).alias("before_"))
-    summed = table(summed, "sums")
-    bases = summed.groupBy("rank").agg(F.min("before_").alias("base"))
-    new = summed.join(apart(bases, "rank"), "rank").select("rank", "next", (F.col("rank") + F.col("before_") - F.col("base")).alias("new"), "n")
+    placed = pairs.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").select(F.spark_partition_id().alias("part"), "rank", "next", "n")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last, base = 0, None, 0  # of the rows so far; the last rank and the sum at its first row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank, n = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            before = total + np.cumsum(n) - n
+            first = np.append(rank[0] != last, rank[1:] != rank[:-1])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(rank)), -1))
+            bases = np.where(at >= 0, before[at], base)
+            total, last, base = int(before[-1] + n[-1]), rank[-1], int(bases[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(bases)], ["part", "rank", "next", "n", "before", "base"])
+
+    summed = table(placed.mapInArrow(sums, "part int, rank bigint, next bigint, n bigint, before bigint, base bigint"), "sums")
+    # One row a partition: where it begins in the order, and where its first rank does, which may be
+    # in partitions before it.
+    ends = summed.groupBy("part").agg(F.sum("n").alias("n"), F.min("rank").alias("first"), F.max(F.struct("rank", "base")).alias("last")).orderBy("part").collect()
+    offset, rank, base, begins = 0, None, 0, []
+    for e in ends:
+        first = base if e["first"] == rank else offset
+        begins.append((e["part"], offset, e["first"], first))
+        base = first if e["last"]["rank"] == e["first"] else offset + e["last"]["base"]
+        rank, offset = e["last"]["rank"], offset + e["n"]
+    parts = suffixes.sparkSession.createDataFrame(begins, "part int, offset bigint, first bigint, begin bigint")
+    sum_ = F.col("offset") + F.col("before")
+    new = summed.join(F.broadcast(parts), "part").select("rank", "next", (F.col("rank") + sum_ - F.when(F.col("rank") == F.col("first"), F.col("begin")).otherwise(F.col("offset") + F.col("base"))).alias("new"), "n")
     out = suffixes.join(apart(new, "rank", "next"), ["rank", "next"])
     out = out.select("seg", "i", "before", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open"))
     seen = Observation()
