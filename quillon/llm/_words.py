@@ -59,11 +59,12 @@ class Texts:
         """The eight bytes from each place on, as a number."""
         return np.ndarray((len(self.bytes) + 1,), "<u8", self.lowered, strides=(1,))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """A hash of each span's bytes: a chain of bijections, eight bytes at a time, so that no two
-        spans share a hash but by chance."""
+        spans share a hash but by chance. Other seeds give other hashes."""
         sizes = ends - starts
-        out = mix(sizes.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+        salt = mix(np.full(1, seed, np.uint64))[0]
+        out = mix(sizes.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93) + salt)
         live, at = np.flatnonzero((sizes > 0) & (sizes <= SHORT)), 0
         while len(live):
             word = self.chunks[starts[live] + at] & _MASKS[np.minimum(sizes[live] - at, 8)]
@@ -71,7 +72,7 @@ class Texts:
             at += 8
             live = live[sizes[live] > at]
         for k in np.flatnonzero(sizes > SHORT).tolist():
-            out[k] = int.from_bytes(hashlib.blake2b(self.lowered[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+            out[k] = int.from_bytes(hashlib.blake2b(self.lowered[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(16)).digest(), "little")
         return out
 
     def words(self, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

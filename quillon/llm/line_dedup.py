@@ -3,8 +3,8 @@ longest-common-prefix intervals reveal repeated line runs, whose later copies ar
 
 Lines are numbered by two 64-bit hashes. Only lines that occur twice or more can lie in a repeated
 run, so the sequences are the rows' maximal stretches of such lines with enough words. A suffix's
-rank is the number of suffixes that are smaller by their first h lines; each round doubles h: the
-pairs (rank, rank of the suffix h lines on) of the suffixes that aren't told apart yet are counted
+rank is the number of suffixes that are smaller by their first h lines, FIRST of them to begin with;
+each round doubles h: the pairs (rank, rank of the suffix h lines on) of the suffixes that aren't told apart yet are counted
 and sorted by range, and running sums of the counts are the new ranks. The rounds end when nothing
 is left but suffixes that are the same to their ends.
 
@@ -25,26 +25,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import number_rows, running_sum
 
-from ._base import apart, table
-from ._words import covered
+from ._base import apart, table, text_chunks
+from ._words import Texts, covered
 
 #: Words that a repeated run has at least for its later copies to go.
 MIN_WORDS = 50
 #: Rows with deletions up to which they are broadcast to the documents; above, both are shuffled.
 BROADCAST_DOCS = 100_000
+#: Lines by which the first round ranks suffixes, before doubling.
+FIRST = 8
 #: Lines of the first block that two suffixes are compared by.
 BLOCK = 64
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    each = rows.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return each.select("row", "doc", "pos", F.xxhash64(F.lit("line"), "line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words"))
+    """row, doc, pos, h1, h2 and words of every line of the rows that have a text."""
+    source = rows.select("row", "doc", "text").where("text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches):
+            t = Texts(texts, lower=False)
+            first, last, per = t.lines()
+            starts = t.words("space")[0]
+            owner = pa.array(np.repeat(np.arange(len(texts)), per))
+            pos = np.arange(len(first)) - np.repeat(np.cumsum(per) - per, per)
+            words = np.searchsorted(starts, last) - np.searchsorted(starts, first)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(pos, pa.int32()), *(pa.array(t.hashes(first, last, seed).view(np.int64)) for seed in (0, 1)), pa.array(words, pa.int32())], ["row", "doc", "pos", "h1", "h2", "words"])
+
+    return source.mapInArrow(run, f"row bigint, doc {dict(source.dtypes)['doc']}, pos int, h1 bigint, h2 bigint, words int")
 
 
 def _segments(lines: DataFrame, min_words: int) -> DataFrame:
@@ -79,9 +92,9 @@ def _segments(lines: DataFrame, min_words: int) -> DataFrame:
     return table(ordered.select(F.monotonically_increasing_id().alias("seg"), "row", "begin", "ids", "words"), "segments")
 
 
-def _refined(suffixes: DataFrame) -> tuple[DataFrame, int]:
-    """The suffixes (seg, i, before, rank, next) with new ranks, by (rank, next), `ended` (no line
-    was left to compare) and `open`; and how many are open: not told apart, with lines left."""
+def _refined(suffixes: DataFrame, more: Column) -> tuple[DataFrame, int]:
+    """The suffixes (seg, i, before, rank, next) with new ranks, by (rank, next), and `open`: not told
+    apart, with lines left, as `more` says of next; and how many are open."""
     pairs = suffixes.groupBy("rank", "next").agg(F.count("*").alias("n"))
     placed = pairs.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").select(F.spark_partition_id().alias("part"), "rank", "next", "n")
 
@@ -98,7 +111,7 @@ def _refined(suffixes: DataFrame) -> tuple[DataFrame, int]:
             total, last, base = int(before[-1] + n[-1]), rank[-1], int(bases[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(bases)], ["part", "rank", "next", "n", "before", "base"])
 
-    summed = table(placed.mapInArrow(sums, "part int, rank bigint, next bigint, n bigint, before bigint, base bigint"), "sums")
+    summed = table(placed.mapInArrow(sums, f"part int, rank bigint, next {dict(placed.dtypes)['next']}, n bigint, before bigint, base bigint"), "sums")
     # One row a partition: where it begins in the order, and where its first rank does, which may be
     # in partitions before it.
     ends = summed.groupBy("part").agg(F.sum("n").alias("n"), F.min("rank").alias("first"), F.max(F.struct("rank", "base")).alias("last")).orderBy("part").collect()
@@ -112,7 +125,7 @@ def _refined(suffixes: DataFrame) -> tuple[DataFrame, int]:
     sum_ = F.col("offset") + F.col("before")
     new = summed.join(F.broadcast(parts), "part").select("rank", "next", (F.col("rank") + sum_ - F.when(F.col("rank") == F.col("first"), F.col("begin")).otherwise(F.col("offset") + F.col("base"))).alias("new"), "n")
     out = suffixes.join(apart(new, "rank", "next"), ["rank", "next"])
-    out = out.select("seg", "i", "before", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open"))
+    out = out.select("seg", "i", "before", F.col("new").alias("rank"), ((F.col("n") > 1) & more).alias("open"))
     seen = Observation()
     held = table(out.observe(seen, F.count_if("open").alias("open")), "ranks")
     return held, seen.get["open"]
@@ -121,18 +134,18 @@ def _refined(suffixes: DataFrame) -> tuple[DataFrame, int]:
 def suffix_array(segments: DataFrame) -> DataFrame:
     """seg, i, before (the id of the line above, -1 at the top) and at: the suffixes' places, from 1,
     in the order of their lines' ids, then of seg and i."""
-    each = segments.select("seg", "ids", F.posexplode("ids").alias("i", "next"))
+    each = segments.select("seg", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("i"))
     before = F.when(F.col("i") == 0, F.lit(-1)).otherwise(F.get("ids", F.col("i") - 1))
-    each = each.select("seg", "i", before.cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("rank"), "next")
-    now, n = _refined(each)
-    closed, h = None, 1
+    each = each.select("seg", "i", before.cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("rank"), F.slice("ids", F.col("i") + 1, FIRST).alias("next"))
+    now, n = _refined(each, F.size("next") == FIRST)
+    closed, h = None, FIRST
     while n:
         ranked = now if closed is None else closed.unionByName(now)
         ahead = ranked.select("seg", (F.col("i") - h).alias("i"), F.col("rank").alias("next"))
         done = now.where("NOT open")
         closed = done if closed is None else closed.unionByName(done)
         pairs = now.where("open").drop("open").join(ahead, ["seg", "i"], "left").withColumn("next", F.coalesce("next", F.lit(-1).cast("bigint")))
-        now, n = _refined(pairs)
+        now, n = _refined(pairs, F.col("next") >= 0)
         h *= 2
     every = now if closed is None else closed.unionByName(now)
     return number_rows(every.select("seg", "i", "before", "rank"), ["rank", "seg", "i"], "at").select("seg", "i", "before", "at")

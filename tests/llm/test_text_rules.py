@@ -242,6 +242,7 @@ def test_suffix_and_lcp_arrays(spark, monkeypatch):
     from quillon.llm import line_dedup as module
 
     monkeypatch.setattr(module, "BLOCK", 4)
+    monkeypatch.setattr(module, "FIRST", 2)
     rng = random.Random(6)
     ids = {k: [rng.randrange(3) for _ in range(rng.randint(1, 12))] for k in range(30)}
     ids |= {30: [1] * 20, 31: [1] * 13, 32: ids[4], 33: ids[5], 34: [2, *ids[5]]}
