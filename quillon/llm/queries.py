@@ -55,8 +55,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    # The limits that the SQL states.
-    return quality_rules(_read(spark, sf_dir, "documents"), {5: 0.5, 10: 0.45}, 0.5).select(columns)
+    return quality_rules(_read(spark, sf_dir, "documents")).select(columns)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +193,7 @@ counts AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR s_line > 0.5 OR s5 > 0.5 OR s10 > 0.45) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR s_line > 0.3 OR s5 > 0.2 OR s10 > 0.15) AS kept
 FROM counts
 """
 
