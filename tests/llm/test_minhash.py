@@ -79,6 +79,12 @@ def test_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents(spark), 5).collect()} == truth(rows, 5)
 
 
+def test_all_pairs_of_a_thousand_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 2).collect()} == truth(rows, 2)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(5, 5), (500, 400), (500, 400)] + [(300, k) for k in range(301, 340)]
