@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import graph as g
 from quillon.operators import text as tx
+from quillon.operators import views
 from quillon.operators.graph import Graph
 from quillon.plans.jobs import Phase, Plan
 from quillon.plans.tables import materialise, new_path
@@ -45,20 +46,24 @@ def tables_graph(t, deep: bool = False) -> Graph:
     return Graph(nodes.unionByName(types), edges.unionByName(uses))
 
 
-#: Indexed graphs by session, tables and depth: an index is built once and read by every view.
+#: Indexed graphs by session, tables and kind: an index is built once and read by every view.
 _INDEXED: dict[tuple, Graph] = {}
 
 
-def indexed(t, deep: bool = False) -> Graph:
+def _once(t, kind: str, build) -> Graph:
     orders = t("orders")
     spark = orders.sparkSession
     stamps = orders.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
-    key = (spark.sparkContext.applicationId, *sorted(map(str, stamps)), deep)
+    key = (spark.sparkContext.applicationId, *sorted(map(str, stamps)), kind)
     if key not in _INDEXED:
-        _INDEXED[key] = _index(t, deep)
+        _INDEXED[key] = build(t)
     return _INDEXED[key]
 
 
+def indexed(t, deep: bool = False) -> Graph:
+    return _once(t, "deep" if deep else "flat", lambda t: _index(t, deep))
+
+
 def _index(t, deep: bool) -> Graph:
     graph = tables_graph(t, deep)
     return graph.index(holder=F.col("head").isin("customer", "supplier"), statement=F.col("head") == "orders", call=(F.col("head") == "orders") & (F.col("ord") % 3 == 0))
@@ -288,6 +293,76 @@ def graph_callers_code(t):
     return rows.join(names, "id").select("depth", "root", F.col("label").alias("node"))
 
 
+# -- views of code -------------------------------------------------------------------------------
+
+#: What the function of an order does with the object of its last digit, and what that is.
+_USES = (
+    ("(= {0} 1)", "write", "atom"), ("(= x {0})", "read", "atom"), ("(+= {0} 1)", "update", "atom"), ("(post++ {0})", "update", "atom"), ("(addr (paren {0}))", "addr", "atom"), ("(sizeof {0})", "unevaluated", "atom"),
+    ("(= (paren {0}) 1)", "write", "atom"), ("(addr (-> p {0}))", "addr", "->"), ("(= (-> {0} m) 1)", "read", "atom"), ("(at {0} 3)", "init", "at"), ("(= (index {0} 1) 2)", "write", "atom"), ("(call {0} 1)", "call", "call"), ("(= (. {0} m) 2)", "write", "atom"),
+)
+
+
+def _cases(column: int) -> str:
+    return " ".join(f"WHEN {k} THEN '{use[column]}'" for k, use in enumerate(_USES))
+
+
+def _uses_graph(t) -> Graph:
+    """A function for each order and ten objects, of which the first five are arrays."""
+    order = F.col("o_orderkey")
+    name = F.concat(F.lit("@s"), (order % 10).cast("string"))
+    form = reduce(lambda acc, k: F.when(order % len(_USES) == k, F.concat(*(F.lit(x) if x else name for x in _USES[k][0].replace("{0}", "|{0}|").replace("{0}", "").split("|")))).otherwise(acc), range(len(_USES)), F.lit(None).cast("string"))
+    functions = t("orders").select((order.cast("bigint") + 100).alias("unit"), F.concat(F.lit("(defn f"), order.cast("string"), F.lit(" "), form, F.lit(")")).alias("text"))
+    spark = functions.sparkSession
+    objects = spark.range(10).select(F.col("id").alias("unit"), F.format_string("(def s%d)", "id").alias("text"))
+    graph = read_forms(functions.unionByName(objects).unionByName(objects.limit(1).select(F.lit(50).cast("bigint").alias("unit"), F.lit("(array 10)").alias("text"))))
+    typed = spark.range(5).select(F.concat("id", F.lit(".0")).alias("src"), F.lit("50.0").alias("dst"), F.lit("typed").alias("kind"))
+    calls = graph.nodes.where("head = 'call'").select(F.concat("id", F.lit(".1")).alias("id"), F.lit(True).alias("called"))
+    code = Graph(graph.nodes.join(calls, "id", "left"), graph.edges.unionByName(typed))
+    return code.index(holder=F.col("parent_id").isNull(), statement=F.col("parent_id").isNull(), call=F.col("called"))
+
+
+@query(f"SELECT 's' || k % 10 AS root, CASE WHEN k % {len(_USES)} = 10 AND k % 10 >= 5 THEN 'read' ELSE CASE k % {len(_USES)} {_cases(1)} END END AS access, count(*) AS n, count(*) AS forms FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2")
+def graph_access(t):
+    code = _once(t, "uses", _uses_graph)
+    objects = code.nodes.where("head = 'def'").select("id", "label")
+    rows = views.tally(code, objects.select("id")).withColumnRenamed("root", "id").join(objects, "id")
+    return rows.select(F.col("label").alias("root"), "access", "n", "forms")
+
+
+@query(f"SELECT CASE o_orderkey % {len(_USES)} {_cases(2)} END AS form, count(*) AS n FROM orders GROUP BY 1")
+def graph_use_forms(t):
+    code = _once(t, "uses", _uses_graph)
+    found = views.use_forms(code, code.nodes.where("atom LIKE '@s%'").select("id"))
+    forms = code.nodes.select(F.col("id").alias("form"), "head")
+    return found.join(forms, "form").groupBy(F.coalesce("head", F.lit("atom")).alias("form")).agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT p_partkey AS k, count(*) OVER () AS n FROM part) SELECT k || '.0' AS type, 'members' AS section, k || '.0.2' AS node, 'write' AS access, 1 AS n FROM p UNION ALL SELECT k || '.0', 'members', k || '.0.3.0.1', NULL, 0 FROM p UNION ALL SELECT k || '.0', 'taking', (n + k) || '.0', NULL, 1 FROM p UNION ALL SELECT k * 7 % n || '.0', 'returning', (n + k) || '.0', NULL, 1 FROM p WHERE k * 7 % n IN (SELECT k FROM p) UNION ALL SELECT (k + 1) % n || '.0', 'held-in', k || '.0.3.0.1', NULL, 1 FROM p WHERE (k + 1) % n IN (SELECT k FROM p) UNION ALL SELECT k || '.0', 'objects', (3 * n + k) || '.0', NULL, 1 FROM p WHERE k % 2 = 0")
+def graph_type_report(t):
+    """Every part a struct with a member and one of an unnamed struct within; a function takes a pointer
+    to it, returns another and writes the member; every second has an object."""
+    p = t("part").crossJoin(F.broadcast(t("part").agg(F.count("*").alias("n")))).select(F.col("p_partkey").cast("bigint").alias("k"), "n")
+    structs = p.select(F.col("k").alias("unit"), F.format_string("(struct p%d (member size) ((struct (member other))))", "k").alias("text"))
+    functions = p.select((F.col("n") + F.col("k")).alias("unit"), F.format_string("(defn f%d (param a) (result r) (= (-> x size) 1))", "k").alias("text"))
+    pointers = p.select((F.col("n") * 2 + F.col("k")).alias("unit"), F.lit("(pointer)").alias("text"))
+    objects = p.where("k % 2 = 0").select((F.col("n") * 3 + F.col("k")).alias("unit"), F.format_string("(def d%d)", "k").alias("text"))
+    graph = read_forms(reduce(DataFrame.unionByName, [structs, functions, pointers, objects]))
+
+    def edge(kind: str, src: str, dst: str, where: str = "true") -> DataFrame:
+        return p.where(where).select(F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.lit(kind).alias("kind"))
+
+    edges = [
+        edge("refers", "concat(n + k, '.0.4.1.2')", "concat(k, '.0.2')"),
+        edge("typed", "concat(n + k, '.0.2')", "concat(2 * n + k, '.0')"),
+        edge("typed", "concat(2 * n + k, '.0')", "concat(k, '.0')"),
+        edge("typed", "concat(n + k, '.0.3')", "concat(k * 7 % n, '.0')"),
+        edge("typed", "concat(k, '.0.3.0.1')", "concat((k + 1) % n, '.0')"),
+        edge("typed", "concat(3 * n + k, '.0')", "concat(k, '.0')", "k % 2 = 0"),
+    ]
+    code = Graph(graph.nodes, reduce(DataFrame.unionByName, edges)).index(holder=F.col("parent_id").isNull(), statement=F.lit(False))
+    return views.type_report(code, code.nodes.where("head = 'struct' AND parent_id IS NULL").select("id"))
+
+
 def _forms(t) -> DataFrame:
     p = t("part")
     text = F.format_string('(def p%d (size %d) (brand "%s") (next @p%d))', "p_partkey", "p_size", "p_brand", F.col("p_partkey") + 1)
