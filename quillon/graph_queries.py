@@ -13,6 +13,7 @@ from quillon.operators import text as tx
 from quillon.operators import views
 from quillon.operators.graph import Graph
 from quillon.plans.jobs import Phase, Plan
+from quillon.plans.ordering import number_rows
 from quillon.plans.tables import materialise, new_path
 from quillon.sources.forms import read_edn, read_forms, write_forms
 from quillon.sources.store import Conflict, UnitStore, new_units
@@ -501,6 +502,32 @@ def text_history(t):
     return reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("step"), "buf") for s, d in steps.items()]).groupBy("step", "buf").agg(F.count("*").alias("n"))
 
 
+@query(_LINES + "SELECT buf, ln, regexp_replace(line, '([a-z])([a-z])', '<\\0:\\2>1') AS line FROM lines")
+def text_first_whole(t):
+    """The first match of each line within brackets; a digit follows a group."""
+    return tx.substitute(_buffers(t), r"\([a-z]\)\([a-z]\)", r"<&:\2>1", every=False)
+
+
+@query(_LINES + ", i AS (SELECT buf, max(length(line) - length(ltrim(line, ' ' || chr(9)))) FILTER (ln = 2) AS w, max(length(line) - length(ltrim(line, ' ' || chr(9)))) FILTER (ln = 1) AS f FROM lines GROUP BY 1) SELECT buf, row_number() OVER (PARTITION BY buf ORDER BY ln, k) AS ln, line FROM (SELECT *, 0 AS k FROM lines UNION ALL SELECT buf, 2, CASE WHEN line = '' THEN '' WHEN coalesce(w, 0) >= f THEN repeat(' ', (coalesce(w, 0) - f)::INT) || line ELSE line[(f - coalesce(w, 0) + 1):] END, 1 FROM lines JOIN i USING (buf) WHERE ln = 1)")
+def text_put_indented(t):
+    h = tx.History(_buffers(t))
+    h.yank("a", (1, 1))
+    return h.put("a", 2, indented=True)
+
+
+@query(_LINES + "SELECT buf, ln, lpad(ln::VARCHAR, greatest(3, length(ln::VARCHAR))::INT, ' ') || ' ' || line AS shown FROM lines WHERE ln BETWEEN 2 AND 6")
+def text_window(t):
+    return tx.window(_buffers(t), 4, 5, ".")
+
+
+@query("WITH b AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_returnflag) AS ln, l_orderkey || ' ' || l_returnflag AS line FROM lineitem) SELECT row_number() OVER (ORDER BY ln) + 1 AS ln, line FROM b WHERE NOT contains(line, 'R') UNION ALL SELECT 1, 'top'")
+def text_one_buffer(t):
+    """All lines in one buffer: those with R go, and one comes before the rest."""
+    rows = number_rows(t("lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"], "ln")
+    buffer = rows.select(F.lit(0).alias("buf"), F.col("ln").cast("bigint").alias("ln"), F.concat_ws(" ", "l_orderkey", "l_returnflag").alias("line"))
+    return tx.insert(tx.global_(buffer, "R", tx.delete), 1, ["top"]).select("ln", "line")
+
+
 @query("SELECT doc_id AS buf, text FROM documents WHERE text IS NOT NULL")
 def text_round_trip(t):
     return tx.close_buffers(_buffers(t))
