@@ -54,14 +54,15 @@ def map_invert(m: Column) -> Column:
 
 def join(x: DataFrame, y: DataFrame) -> DataFrame:
     """The natural join: rows that agree in all shared columns, nulls with nulls. Without shared
-    columns it is the product, as the algebra has it; either side empty gives an empty result."""
+    columns it is the product, as the algebra has it; either side empty gives an empty result. Rows are
+    told apart before they are joined, as the result has all columns of both."""
     shared = [c for c in x.columns if c in y.columns]
     if not shared:
-        return x.crossJoin(y).distinct()
-    a, b = x.alias("x"), y.alias("y")
+        return x.distinct().crossJoin(y.distinct())
+    a, b = x.distinct().alias("x"), y.distinct().alias("y")
     on = reduce(Column.__and__, [F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in shared])
     columns = [F.col(f"x.`{c}`") for c in x.columns] + [F.col(f"y.`{c}`") for c in y.columns if c not in shared]
-    return a.join(b, on).select(columns).distinct()
+    return a.join(b, on).select(columns)
 
 
 def join_on(x: DataFrame, y: DataFrame, keys: dict[str, str], winner: str | None = None) -> DataFrame:
@@ -73,10 +74,12 @@ def join_on(x: DataFrame, y: DataFrame, keys: dict[str, str], winner: str | None
     both = [c for c in x.columns if c in y.columns]
     if both and winner is None:
         winner = "x" if x.distinct().count() > y.distinct().count() else "y"
-    a, b = x.alias("x"), y.alias("y")
+    a, b = (x, y) if both else (x.distinct(), y.distinct())
+    a, b = a.alias("x"), b.alias("y")
     on = reduce(Column.__and__, [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{v}`")) for k, v in keys.items()])
     columns = [F.col(f"{'y' if c in both and winner == 'y' else 'x'}.`{c}`").alias(c) for c in x.columns] + [F.col(f"y.`{c}`") for c in y.columns if c not in both]
-    return a.join(b, on).select(columns).distinct()
+    joined = a.join(b, on).select(columns)
+    return joined.distinct() if both else joined
 
 
 def union(*rels: DataFrame) -> DataFrame:

@@ -186,8 +186,8 @@ class Seq:
         out = rows.groupBy(*self.by, "__w").agg(F.array_sort(F.collect_list(F.struct("rn", "__v"))).alias("__l"), F.min("rn").alias("__first"))
         out = out.where(F.col("__first") == F.col("__w") * step + 1).withColumn(name, F.col("__l.__v"))
         if pad is not None:
-            short = Window.partitionBy(*self.by, F.size(name) < n).orderBy("__w")
-            out = out.withColumn("__short", F.row_number().over(short)).where((F.size(name) == n) | (F.col("__short") == 1)).drop("__short")
+            # A short window ends with its sequence, so its size tells whether the one before is whole.
+            out = out.where((F.size(name) >= n - step) | (F.col("__w") == 0))
             out = out.withColumn(name, F.slice(F.concat(name, pad), 1, n))
         elif whole:
             out = out.where(F.size(name) == n)

@@ -115,6 +115,30 @@ def test_skewed_sequences_give_the_same(spark):
         assert rows(a) == rows(f(skewed).select(a.columns))
 
 
+@pytest.mark.parametrize("n", range(6))
+@pytest.mark.parametrize(("size", "step"), [(2, 2), (3, 1), (3, 2), (4, 3), (2, 3)])
+def test_padded_partitions(spark, n, size, step):
+    df = spark.createDataFrame([(k,) for k in range(n)], "v int")
+    got = Seq(df, ("v",)).partition(size, F.col("v"), step, pad=F.array(F.lit(9)))
+    expected = []
+    for a in range(0, n, step):
+        part = list(range(n))[a : a + size]
+        expected.append((part + [9])[:size] if len(part) < size else part)
+        if len(part) < size:
+            break
+    assert [r["items"] for r in got.orderBy("window").collect()] == expected
+
+
+def test_joins_of_repeated_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (None, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (None, 7)], "k int, w int")
+    expected = [(1, "x", 5), (1, "x", 6), (None, "y", 7)]
+    assert sorted(map(tuple, rel.join(a, b).collect()), key=str) == sorted(expected, key=str)
+    assert rel.join(a, b.select("w")).count() == 6
+    assert rel.join_on(a, b.withColumnRenamed("k", "j"), {"k": "j"}).count() == 3
+    assert rel.join_on(a, b, {"k": "k"}, "x").count() == 3
+
+
 def test_generators(spark):
     assert [r.value for r in iterate(spark, lambda x: x * 2, F.lit(1), 5).orderBy("place").collect()] == [1, 2, 4, 8, 16]
     assert [r.value for r in range_(spark, 1, 7, 2).collect()] == [1, 3, 5]
