@@ -1,9 +1,10 @@
 """Line-oriented text operators on buffers: frames of (buf, ln, line), ln from 1 in each buffer.
 
-Many buffers are worked on at once, and one may hold most of the lines: no edit brings a buffer
-into one task. A range is a Column predicate over ln and line, or a pair of line numbers. An edit by
+Many buffers are worked on at once, and one may hold most of the lines: no edit has a window over a
+whole buffer. A range is a Column predicate over ln and line, or a pair of line numbers. An edit by
 line numbers computes the new ones from the old; one by a predicate numbers blocks of lines and adds
-the counts of the blocks before. Null is a buffer like any other.
+the counts of the blocks before. Moves, copies and puts join one row a buffer to its lines, which
+leaves a large buffer to a broadcast or AQE's skew join. Null is a buffer like any other.
 """
 
 from __future__ import annotations
