@@ -270,6 +270,10 @@ class JsonVocabulary:
         a, b, c = (np.array([vocab[x] for x in xs]) for xs in ([m[0] for m in merges], [m[1] for m in merges], [m[0] + m[1] for m in merges]))
         self.pairs = Pairs(a, b, np.arange(len(merges)), c)
         self.added = [t["content"].encode() for t in said["added_tokens"]]
+        self.added_ids = [t["id"] for t in said["added_tokens"]]
+        named = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t.encode() not in self.added}
+        named |= dict(zip(self.added_ids, self.added, strict=True))
+        self.tokens = [named.get(i, b"") for i in range(max(named) + 1)]
 
 
 class RankVocabulary:

@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .sharding import shard_documents
 from .token_counts import token_counts
+from .token_files import TokenFiles
 from .url_filters import url_filter
 
 
@@ -73,7 +74,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = TokenFiles(spark, new_path(spark, "tokens"))
+    files.write(_read(spark, sf_dir, "documents"))
+    return files.checksums()
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate, op13_token_files)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
