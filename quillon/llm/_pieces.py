@@ -112,6 +112,7 @@ class ByteVocabulary:
         if len(added) > 1 and special:
             raise ValueError("more than one added token: their order of precedence isn't defined here")
         self.added, self.added_id = (added[0], v.added_ids[0]) if special and added else (None, -1)
+        self.tokens = v.tokens
         self.widths = np.array([len(t) for t in v.tokens], np.int64)
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

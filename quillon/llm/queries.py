@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import new_path, small_batches
+from .alignment import alignment
 from .bpe_codec import bpe_digests
 from .decontaminate import contamination
 from .language_id import fit, held_out, identify
@@ -74,13 +75,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_read(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = TokenFiles(spark, new_path(spark, "tokens"))
     files.write(_read(spark, sf_dir, "documents"))
     return files.checksums()
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate, op11_alignment, op13_token_files)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
