@@ -18,6 +18,7 @@ from .sharding import shard_documents
 from .token_counts import token_counts
 from .token_files import TokenFiles
 from .url_filters import url_filter
+from .variants import spelling_variants
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,13 +80,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = TokenFiles(spark, new_path(spark, "tokens"))
     files.write(_read(spark, sf_dir, "documents"))
     return files.checksums()
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate, op11_alignment, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_language_id, op4_bpe_codec, op5_line_dedup, op6_url_filter, op7_minhash, op8_quality_rules, op9_sharding, op10_decontaminate, op11_alignment, op12_spelling_variants, op13_token_files)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
