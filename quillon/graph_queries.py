@@ -14,7 +14,7 @@ from quillon.operators import views
 from quillon.operators.graph import Graph
 from quillon.plans.jobs import Phase, Plan
 from quillon.plans.ordering import number_rows
-from quillon.plans.tables import materialise, new_path
+from quillon.plans.tables import materialise, new_path, released, stamps
 from quillon.sources.forms import read_edn, read_forms, write_forms
 from quillon.sources.store import Conflict, UnitStore, new_units
 from quillon.streaming.changes import Channel, Versions, apply_changes, maintain, running_state
@@ -47,16 +47,18 @@ def tables_graph(t, deep: bool = False) -> Graph:
     return Graph(nodes.unionByName(types), edges.unionByName(uses))
 
 
-#: Indexed graphs by session, tables and kind: an index is built once and read by every view.
+#: Indexed graphs by session, the files of their tables, and kind: an index is built once and read by every
+#: view, until release() removes it or a table changes.
 _INDEXED: dict[tuple, Graph] = {}
+_TABLES = ("region", "nation", "customer", "orders", "supplier", "lineitem")
 
 
 def _once(t, kind: str, build) -> Graph:
-    orders = t("orders")
-    spark = orders.sparkSession
-    stamps = orders.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
-    key = (spark.sparkContext.applicationId, *sorted(map(str, stamps)), kind)
+    frames = [t(name) for name in _TABLES]
+    key = (frames[0].sparkSession.sparkContext.applicationId, released(), stamps(frames), kind)
     if key not in _INDEXED:
+        for old in [k for k in _INDEXED if k[:2] != key[:2]]:
+            del _INDEXED[old]
         _INDEXED[key] = build(t)
     return _INDEXED[key]
 

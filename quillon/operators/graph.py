@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,42 +18,97 @@ from pyspark.sql import functions as F
 from quillon.plans.ordering import number_rows
 from quillon.plans.tables import counted, materialise
 
+from .components import HOPS, content_hashes, several_hops, strong_components  # noqa: F401
+from .ranges import ROUNDS, below, ranks, tree_levels, within
+
 KINDS = ("refers", "typed", "contains", "inside")
 
 
+@dataclass(frozen=True)
+class How:
+    """What a graph was indexed by, for the trees that an edit touches."""
+
+    columns: list[str]
+    holder: Column
+    statement: Column
+    call: Column | None
+    entity: Column | None
+    max_depth: int
+    slack: float
+
+
+#: Updates of an index after which its nodes are written as one table.
+LAYERS = 16
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
     edges: DataFrame
     indexed: bool = field(default=False)
-
-    def index(self, holder: Column, statement: Column, call: Column | None = None, entity: Column | None = None, max_depth: int = 1_000) -> Graph:
-        """The graph with, for each node: depth, path (places from the root down, the source's
-        order), ancestors, rank (from 1), size (of its subtree), top_id and stmt_id (the nearest
-        node at or above it that `holder` and `statement` hold for), rep_id (the first node of
-        its `entity`; itself without one) and in_call. One join a level."""
-        flat = self.nodes.withColumns({"__h": F.coalesce(holder, F.lit(False)), "__s": F.coalesce(statement, F.lit(False)), "in_call": F.coalesce(call, F.lit(False)) if call is not None else F.lit(False), "__e": entity if entity is not None else F.lit(None).cast("string")})
-        kind = dict(flat.dtypes)["id"]
-        level = flat.where("parent_id IS NULL").withColumns({"depth": F.lit(0), "path": F.array(F.col("ord").cast("bigint")), "ancestors": F.array().cast(f"array<{kind}>"), "top_id": F.when(F.col("__h"), F.col("id")), "stmt_id": F.when(F.col("__s"), F.col("id"))})
-        level = materialise(level, "level")
-        out, levels = level, [level.select("id", "parent_id")]
-        for _ in range(max_depth):
-            above = level.select(F.col("id").alias("__p"), F.col("depth").alias("__depth"), F.col("path").alias("__path"), F.col("ancestors").alias("__a"), F.col("top_id").alias("__top"), F.col("stmt_id").alias("__stmt"))
-            below = flat.join(above, F.col("parent_id") == F.col("__p"))
-            below = below.withColumns({"depth": F.col("__depth") + 1, "path": F.array_append("__path", F.col("ord").cast("bigint")), "ancestors": F.array_append("__a", F.col("__p")), "top_id": F.when(F.col("__h"), F.col("id")).otherwise(F.col("__top")), "stmt_id": F.when(F.col("__s"), F.col("id")).otherwise(F.col("__stmt"))})
-            level, n = counted(below.select(out.columns), "level")
-            if not n:
-                break
-            out = out.unionByName(level)
-            levels.append(level.select("id", "parent_id"))
+    how: How | None = field(default=None)
+    #: Rows that the last update() wrote, and updates since all nodes were.
+    written: int = field(default=0)
+    layers: int = field(default=0)
+
+    def index(self, holder: Column, statement: Column, call: Column | None = None, entity: Column | None = None, max_depth: int = 1_000, slack: float = 0.0) -> Graph:
+        """The graph with, for each node: depth, root_id, rank (its place in the source's order), size
+        (of its subtree, whose ranks are rank to rank + size - 1), top_id and stmt_id (the nearest
+        node at or above it that `holder` and `statement` hold for), rep_id (the first node of its
+        `entity`; itself without one) and in_call. Ranks are 1, 2, 3 ... or, with `slack`, leave
+        each tree room to grow by that share, which update() uses."""
+        how = How(self.columns, holder, statement, call, entity, max_depth, slack)
+        nodes = _ranked(self.nodes.select(how.columns), how)
+        if entity is None:
+            nodes = nodes.withColumn("rep_id", F.col("id"))
         else:
-            raise ValueError(f"deeper than {max_depth}: is the containment a tree?")
-        sizes = _sizes(levels)
-        ranked = number_rows(out, ["path", "id"], "rank").drop("__part")
-        firsts = ranked.where("__e IS NOT NULL").groupBy("__e").agg(F.min_by("id", "rank").alias("__rep"))
-        ranked = ranked.join(sizes, "id", "left").join(firsts, "__e", "left")
-        ranked = ranked.withColumns({"size": F.coalesce("size", F.lit(1).cast("bigint")), "rep_id": F.coalesce("__rep", "id")}).drop("__h", "__s", "__e", "__rep")
-        return replace(self, nodes=materialise(ranked, "nodes"), edges=materialise(self.edges, "edges"), indexed=True)
+            firsts = nodes.where("__e IS NOT NULL").groupBy("__e").agg(F.min_by("id", "rank").alias("__rep"))
+            nodes = nodes.join(firsts, "__e", "left").withColumn("rep_id", F.coalesce("__rep", "id")).drop("__rep")
+        return replace(self, nodes=materialise(nodes.drop("__e"), "nodes"), edges=materialise(self.edges, "edges"), indexed=True, how=how)
+
+    @property
+    def columns(self) -> list[str]:
+        """The nodes' columns without those of the index."""
+        return self.how.columns if self.how else self.nodes.columns
+
+    def update(self, insert: DataFrame | None = None, delete: DataFrame | None = None, move: DataFrame | None = None, edges: DataFrame | None = None) -> Graph:
+        """The indexed graph after delete(), move() and insert(), in that order, indexed again: only the
+        trees that these touch are read, ranked and written (`written` rows), the others' rows stay.
+
+        All is indexed anew where a tree outgrows the room that index(slack=...) left it, or a new
+        tree doesn't come after all others. Graphs with entities can't be updated: index() them.
+        """
+        if not self.indexed or self.how is None or self.how.entity is not None:
+            raise ValueError("index() the graph first, without entities")
+        of = self.nodes.select(F.col("id").alias("__i"), "root_id")
+        asked = [d.select(F.col(c).alias("__i")) for d, cs in ((insert, ["parent_id"]), (delete, ["id"]), (move, ["id", "new_parent"])) if d is not None for c in cs]
+        touched = materialise(reduce(DataFrame.unionByName, asked).distinct().join(of, "__i").select("root_id").distinct(), "touched")
+        part = replace(self, nodes=self.nodes.join(touched, "root_id", "left_semi").select(self.nodes.columns))
+        for edit, rows in ((Graph.delete, delete), (Graph.move, move)):
+            part = part if rows is None else edit(part, rows)
+        part = part if insert is None else part.insert(insert, edges)
+        flat = materialise(part.nodes.select(self.how.columns), "touched")
+        whole = lambda: Graph(self.nodes.join(touched, "root_id", "left_anti").select(self.how.columns).unionByName(flat), part.edges).index(self.how.holder, self.how.statement, self.how.call, None, self.how.max_depth, self.how.slack)
+        roots = flat.where("parent_id IS NULL").select("id", "ord")
+        old = self.nodes.where("parent_id IS NULL")
+        new, n = counted(roots.join(old.select("id"), "id", "left_anti"), "roots")
+        last = old.agg(F.max(F.struct("ord", "id")).alias("o"), F.max(F.col("rank") + F.col("room") - 1).alias("end")).first()
+        moved_up = roots.join(old.select("id", F.col("ord").alias("__o")), "id").where("ord <> __o")
+        if n and (last["o"] is None or not new.where(F.struct("ord", "id") <= F.struct(F.lit(last["o"]["ord"]).cast("bigint"), F.lit(last["o"]["id"]))).isEmpty()) or not moved_up.isEmpty():
+            return whole()
+        starts = old.join(touched.select(F.col("root_id").alias("id")), "id", "left_semi").select("id", "rank", "room")
+        if n:
+            slots = number_rows(new.select("id", "ord"), ["ord", "id"], "__k")
+            room = 1 << 20
+            starts = starts.unionByName(slots.select("id", (F.lit(last["end"] + 1) + (F.col("__k") - 1) * room).alias("rank"), F.lit(room).cast("bigint").alias("room")))
+        ranked, written = counted(_ranked(flat, self.how, materialise(starts, "starts")).drop("__e").withColumn("rep_id", F.col("id")), "nodes")
+        if not ranked.where("parent_id IS NULL AND size > room").isEmpty():
+            return whole()
+        nodes = self.nodes.join(touched, "root_id", "left_anti").select(self.nodes.columns).unionByName(ranked)
+        layers = self.layers + 1
+        if layers >= LAYERS:
+            nodes, layers = materialise(nodes, "nodes"), 0
+        return replace(self, nodes=nodes, edges=materialise(part.edges, "edges"), written=written, layers=layers)
 
     # -- integrity and counts --------------------------------------------------------------
 
@@ -100,8 +156,8 @@ class Graph:
         elif step == "contains":
             out = cur.join(n.select(F.col("parent_id").alias("node"), F.col("id").alias("k")), "node").select("root", F.col("k").alias("node"), "via")
         elif step == "inside":
-            below = n.select(F.explode("ancestors").alias("node"), F.col("id").alias("k"))
-            out = cur.join(below, "node").select("root", F.col("k").alias("node"), "via")
+            pairs = below(n, cur.select(F.col("node").alias("id")))
+            out = cur.join(pairs.select(F.col("anc").alias("node"), F.col("id").alias("k")), "node").select("root", F.col("k").alias("node"), "via")
         elif step == "call":
             out = cur.join(n.where("in_call").select(F.col("id").alias("node")), "node").select("root", "node", "via")
         else:
@@ -190,7 +246,8 @@ class Graph:
 
     def definition(self, root) -> DataFrame:
         """The root and all it contains, in the source's order."""
-        return self.nodes.where((F.col("id") == F.lit(root)) | F.array_contains("ancestors", F.lit(root))).orderBy("rank")
+        at = self.nodes.where(F.col("id") == F.lit(root)).select("rank", "size").first()
+        return self.nodes.where(F.lit(False) if at is None else F.col("rank").between(at["rank"], at["rank"] + at["size"] - 1)).orderBy("rank")
 
     def type_view(self, types: DataFrame) -> DataFrame:
         """For each type (column id): how many nodes have it, directly or through pointers and
@@ -209,32 +266,32 @@ class Graph:
         if "." not in text:
             return exact
         outer, inner = text.rsplit(".", 1)
-        above = self.nodes.where(F.col("label") == outer).select(F.col("id").alias("__o"))
-        member = self.nodes.where(F.col("label") == inner).withColumn("__o", F.explode("ancestors")).join(above, "__o").drop("__o")
+        above = self.nodes.where(F.col("label") == outer).where("size > 1").select((F.col("rank") + 1).alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
+        member = self.nodes.where(F.col("label") == inner)
+        member = member.join(within(above, member.select("id", "rank")).select("id"), "id", "left_semi")
         return exact.unionByName(member.join(exact.select("label").distinct(), "label", "left_anti").select(exact.columns))
 
     # -- edits -----------------------------------------------------------------------------
 
     def _subtree(self, ids: DataFrame) -> DataFrame:
         """The ids with all they contain."""
-        below = self.nodes.select(F.explode("ancestors").alias("__a"), "id").join(ids.select(F.col("id").alias("__a")), "__a").select("id")
-        return ids.select("id").unionByName(below).distinct()
+        return ids.select("id").unionByName(below(self.nodes, ids).select("id")).distinct()
 
     def delete(self, ids: DataFrame) -> Graph:
         """Without the nodes (column id) and what they contain; edges out of them go, edges into
         them dangle until retargeted or discharged."""
         gone = materialise(self._subtree(ids), "gone")
-        return Graph(self.nodes.join(gone, "id", "left_anti").select(self.nodes.columns), self.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(self.edges.columns))
+        return replace(self, nodes=self.nodes.join(gone, "id", "left_anti").select(self.nodes.columns), edges=self.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(self.edges.columns), indexed=False)
 
     def insert(self, nodes: DataFrame, edges: DataFrame | None = None) -> Graph:
         """With the nodes added, each at its parent_id and ord: those at or after an ord that new
         nodes take move up. New nodes of a parent have ords of the result."""
-        columns = [c for c in ("id", "parent_id", "ord", "head", "atom", "label") if c in self.nodes.columns]
+        columns = self.columns
         taken = nodes.groupBy(F.col("parent_id").alias("__p")).agg(F.array_sort(F.collect_list(F.col("ord").cast("bigint"))).alias("__new"))
         old = self.nodes.select(columns).join(taken, F.col("parent_id").eqNullSafe(F.col("__p")), "left")
         moved = F.aggregate("__new", F.col("ord").cast("bigint"), lambda at, n: F.when(n <= at, at + 1).otherwise(at))
         old = old.withColumn("ord", F.coalesce(moved, F.col("ord").cast("bigint"))).select(columns)
-        return Graph(old.unionByName(nodes.select(columns).withColumn("ord", F.col("ord").cast("bigint"))), self.edges if edges is None else self.edges.unionByName(edges.select(self.edges.columns)))
+        return Graph(old.unionByName(nodes.select([c for c in columns if c in nodes.columns]).withColumn("ord", F.col("ord").cast("bigint")), allowMissingColumns=True), self.edges if edges is None else self.edges.unionByName(edges.select(self.edges.columns)))
 
     def replace(self, ids: DataFrame, atom: Column) -> Graph:
         """Atoms (column id) with a new text, an expression over the node."""
@@ -251,7 +308,7 @@ class Graph:
         """Nodes (column id) put below another parent (new_parent, new_ord)."""
         rows = self.nodes.join(moves.select("id", "new_parent", "new_ord"), "id", "left")
         rows = rows.withColumns({"parent_id": F.when(F.col("new_ord").isNotNull(), F.col("new_parent")).otherwise(F.col("parent_id")), "ord": F.coalesce(F.col("new_ord").cast("bigint"), F.col("ord").cast("bigint"))})
-        return Graph(rows.select([c for c in ("id", "parent_id", "ord", "head", "atom", "label") if c in rows.columns]), self.edges)
+        return Graph(rows.select(self.columns), self.edges)
 
     def fresh_ids(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """rows with new ids above all that are held, in the given order (integer ids)."""
@@ -270,19 +327,16 @@ class Graph:
             if not n:
                 raise ValueError(f"unhandled dangling edges, such as {bad.first()}")
             now = now.delete(ids)
-            now = Graph(materialise(now.nodes, "nodes"), materialise(now.edges, "edges"))
+            now = replace(now, nodes=materialise(now.nodes, "nodes"), edges=materialise(now.edges, "edges"))
         raise ValueError(f"edges still dangle after {most} rounds")
 
 
-def _sizes(levels: list[DataFrame]) -> DataFrame:
-    """id and size of the subtrees with more than one node, level by level from the leaves."""
-    out = below = None
-    for level in reversed(levels[1:]):
-        here = level if below is None else level.join(below, "id", "left")
-        size = F.lit(1).cast("bigint") if below is None else F.coalesce("size", F.lit(1).cast("bigint"))
-        below = here.groupBy(F.col("parent_id").alias("id")).agg((F.sum(size) + 1).alias("size"))
-        out = below if out is None else out.unionByName(below)
-    return levels[0].select("id", F.lit(1).cast("bigint").alias("size")).limit(0) if out is None else out
+def _ranked(nodes: DataFrame, how: How, starts: DataFrame | None = None) -> DataFrame:
+    """The nodes with all columns of the index but rep_id, and __e, the entity."""
+    call = F.lit(False) if how.call is None else F.coalesce(how.call, F.lit(False))
+    entity = F.lit(None).cast("string") if how.entity is None else how.entity
+    levels = tree_levels(nodes.withColumns({"__h": F.coalesce(how.holder, F.lit(False)), "__s": F.coalesce(how.statement, F.lit(False)), "in_call": call, "__e": entity}), how.max_depth)
+    return reduce(DataFrame.unionByName, levels).join(ranks(levels, starts, how.slack), "id").drop("__h", "__s")
 
 
 def parse_steps(steps: str) -> list[str]:
@@ -297,11 +351,6 @@ def parse_steps(steps: str) -> list[str]:
     return out
 
 
-#: Rounds of a closure after which what it has is written as one table.
-ROUNDS = 8
-#: Hops that one round of a closure takes at most, and how many times the edges those may be, about.
-HOPS, GROWTH = 8, 32
-
 # -- closures and fixpoints ----------------------------------------------------------------------
 
 
@@ -310,12 +359,7 @@ def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFr
     anti-join a round, on the new pairs only, until a round finds none; raises if `most` rounds
     don't suffice. Where nodes have few edges, the edges of several hops are tabled first, and a
     round goes as far."""
-    steps, n = counted(edges.select(F.col("src").alias("id"), "dst").distinct(), "steps")
-    hops, least = 1, n
-    while hops < HOPS and 0 < n <= GROWTH * least // 4:
-        further = steps.join(steps.select(F.col("id").alias("dst"), F.col("dst").alias("__d")), "dst").select("id", F.col("__d").alias("dst"))
-        steps, n = counted(steps.unionByName(further).distinct(), "steps")
-        hops *= 2
+    steps = several_hops(edges).select(F.col("src").alias("id"), "dst")
     frontier = materialise(seeds.select("seed", "id").distinct(), "reach")
     seen = frontier
     for k in range(1, most + 1):
@@ -398,26 +442,6 @@ def form_hashes(graph: Graph) -> DataFrame:
     return done.select("id", "hash") if done is not None else graph.nodes.select("id", F.lit("").alias("hash"))
 
 
-def content_hashes(graph: Graph, most: int = 1_000_000) -> DataFrame:
-    """id and hash of each node with what its edges lead to: colour refinement from form hashes,
-    each round taking in the targets' hashes, until the number of classes stands still. Cycles
-    need no order; nodes that no round tells apart have equal hashes. Raises if `most` rounds
-    don't suffice."""
-    now = materialise(form_hashes(graph), "colours")
-    classes = now.agg(F.count_distinct("hash")).first()[0]
-    edges = graph.edges.select(F.col("src").alias("id"), "dst", "kind")
-    for _ in range(most):
-        targets = edges.join(now.select(F.col("id").alias("dst"), F.col("hash").alias("__t")), "dst", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.coalesce("__t", F.lit("?"))))).alias("__e"))
-        inner = graph.nodes.select("id", F.explode_outer("ancestors").alias("__a")).join(targets, "id").where("__a IS NOT NULL").groupBy(F.col("__a").alias("id")).agg(F.array_sort(F.flatten(F.collect_list("__e"))).alias("__in"))
-        new = now.join(targets, "id", "left").join(inner, "id", "left").select("id", F.sha2(F.concat_ws("\x1c", "hash", F.array_join(F.coalesce("__e", F.array().cast("array<string>")), ","), F.array_join(F.coalesce("__in", F.array().cast("array<string>")), ",")).cast("binary"), 256).alias("hash"))
-        now = materialise(new, "colours")
-        n = now.agg(F.count_distinct("hash")).first()[0]
-        if n == classes:
-            return now
-        classes = n
-    raise ValueError(f"classes still split after {most} rounds")
-
-
 def compare_units(a: DataFrame, b: DataFrame) -> DataFrame:
     """What changed from units a to units b (id, label, hash, ord): change (added, removed, changed
     or kept), label, before and after (ids). A unit is the same if id and label are; of those

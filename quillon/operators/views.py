@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph, closure
+from .ranges import around
 
 # The labels of an access in the order they are told, and the heads that decide one.
 LABELS = ("call", "read", "write", "update", "addr", "init", "type", "unevaluated", "label")
@@ -59,10 +60,10 @@ def access(graph: Graph, uses: DataFrame) -> DataFrame:
     named = targets.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("head").isin(*TYPES)).alias("__type"), F.bool_or(F.col("head") == "label").alias("__label"))
     rows = mine.join(named, "id", "left")
     plain = F.when(F.col("__type"), "type").when(F.col("__label"), "label").when(F.col("in_call"), "call")
-    rows = rows.select("id", "parent_id", "depth", "path", F.concat("ancestors", F.array("id")).alias("__up"), plain.alias("__plain"))
+    rows = rows.select("id", "parent_id", "depth", "rank", plain.alias("__plain"))
     open_ = rows.where("__plain IS NULL")
-    steps = F.transform(F.sequence(F.lit(0), "depth"), lambda d: F.struct((F.col("depth") - d).alias("k"), F.get("__up", d).alias("child"), F.get("__up", d - 1).alias("parent"), F.get("path", d).alias("ord")))
-    chain = open_.select("id", F.explode(steps).alias("s")).select("id", "s.*")
+    chain = around(nodes, open_, ["id", "parent_id", "ord", "depth"]).join(open_.select("id", "depth"), "id")
+    chain = chain.select("id", (F.col("depth") - F.col("node_depth")).alias("k"), F.col("node_id").alias("child"), F.col("node_parent_id").alias("parent"), F.col("node_ord").alias("ord"))
     chain = chain.join(nodes.where("head IS NOT NULL").select(F.col("id").alias("parent"), "head"), "parent", "left")
     arrays = _edges(graph, "typed").join(nodes.where("head = 'array'").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("child"))
     through = _edges(graph, "refers").join(arrays.select(F.col("child").alias("dst")), "dst", "left_semi").select(F.col("src").alias("child"))

@@ -45,6 +45,14 @@ def _clean() -> None:
     release(0)
 
 
+_RELEASED = [0]
+
+
+def released() -> int:
+    """How often release() has removed places: what was kept before may be gone."""
+    return _RELEASED[0]
+
+
 def mark() -> int:
     """How many places there are, for release()."""
     return len(_OWN)
@@ -57,6 +65,7 @@ def release(since: int) -> None:
         with contextlib.suppress(Exception):  # the session has ended: the folder's owner clears it
             remove(spark, path)
     del _OWN[since:]
+    _RELEASED[0] += 1
 
 
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
@@ -67,6 +76,18 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stamps(frames: list[DataFrame]) -> tuple[str, ...]:
+    """The files that the frames read, each with its size and time of change, as the driver sees them."""
+    found = set()
+    for df in frames:
+        spark = df.sparkSession
+        for name in df.inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            found.add(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return tuple(sorted(found))
+
+
 def counted(df: DataFrame, what: str = "table") -> tuple[DataFrame, int]:
     """materialise(), and the number of rows as the write saw them (after a lost task perhaps more,
     never 0 for some), which saves the job that would count them."""
