@@ -45,12 +45,33 @@ class Pattern:
     action: str
     regex: str
 
+    def __post_init__(self):
+        """Java's matcher calls itself once a repetition of a group, so that one long URL would end the
+        JVM; a possessive repetition, as {4,}+, is a loop."""
+        if _repeats_group(_parser.parse(self.regex)):
+            raise ValueError(f"{self.regex}: repeat characters or sets, or a group possessively")
+
     def tokens(self) -> list[frozenset[str]]:
         """Sets of literal tokens, derived from the expression, of each of which every fitting URL has
         at least one whole. None for an expression that implies none."""
         return literals(self.regex)
 
 
+def _repeats_group(parsed: list) -> bool:
+    """Whether more than a character is repeated, over MOST times, other than possessively."""
+    for op, arg in parsed:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+            inner = list(arg[2])
+            one = len(inner) == 1 and inner[0][0] in (C.LITERAL, C.NOT_LITERAL, C.IN, C.ANY)
+            if op is not C.POSSESSIVE_REPEAT and arg[1] > MOST and not one or _repeats_group(inner):
+                return True
+        elif op is C.SUBPATTERN and _repeats_group(arg[3]) or op is C.ATOMIC_GROUP and _repeats_group(arg) or op is C.BRANCH and any(map(_repeats_group, arg[1])) or op in (C.ASSERT, C.ASSERT_NOT) and _repeats_group(arg[1]):
+            return True
+    return False
+
+
+#: Repetitions of a group that an expression may ask for without a possessive quantifier.
+MOST = 100
 #: Ways of an expression, and expansions of a stretch of literals, beyond which they aren't used.
 EXPANSIONS = 64
 _TOKEN = re.compile(r"[a-z0-9]+\Z")
@@ -105,7 +126,7 @@ def _rows(parsed: list) -> list[list]:
                 ways = [[EDGE]]
             elif all(all(isinstance(p, list) for p in w) for w in ways):
                 ways = [[["".join(x) for w in ways for x in itertools.islice(itertools.product(*w), EXPANSIONS + 1)]]]
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
             inner = _rows(arg[2])
             if arg[:2] == (1, 1):
                 ways = inner
@@ -149,7 +170,7 @@ PATTERNS = (
     Pattern("allow", r"^[^/?#]*/(robots\.txt|sitemap\.xml|humans\.txt)$"),
     Pattern("block", r"^([^/?#]*[^a-z0-9/?#])?(spam|pills|casino|poker|porn|xxx|viagra|warez|torrent|malware)($|[^a-z0-9])"),
     Pattern("block", r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}($|[:/?#])"),
-    Pattern("block", r"^([a-z0-9]+\.)?([a-z0-9]+-){4,}[a-z0-9]+\."),
+    Pattern("block", r"^([a-z0-9]+\.)?([a-z0-9]+-){4,}+[a-z0-9]+\."),
     Pattern("block", r"/(wp-admin|wp-login\.php|xmlrpc\.php|cgi-bin)($|[/?#])"),
     Pattern("block", r"/(login|signin|signup|register|logout|cart|checkout)($|[/?#.])"),
     Pattern("block", r"/tag/[^/?#]+/page/[0-9]+"),

@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import pytest
+
 from quillon.llm.secret_scan import secret_scan
 from quillon.llm.url_filters import PATTERNS, RULES, Pattern, Rule, literals, url_filter
 
@@ -110,3 +112,28 @@ def test_repositories_decide(spark):
     assert live(df, max_repos=1) == list(range(10))
     other = spark.createDataFrame([(k, f"{value} in {k}", "one") for k in range(101)], df.schema)
     assert live(other) == [] and live(other.where("doc_id > 0")) == list(range(1, 101))
+
+
+LONG_URLS = ["a-" * 100_000 + "a.com/x", "a-" * 100_000 + "a/x", "a." + "b-" * 500_000 + "c.org/", "-" * 1_000_000, "." * 1_000_000, "a" * 1_000_000 + ".com/", "a.com/" + "tag/x/page/" * 90_000, "a.com/?" + "sid&" * 250_000, "1." * 500_000, "a.com" + "/login.x" * 120_000, "x_" * 500_000 + "spam", "a.com/" + ".exe?" * 200_000, "a.com" + "/wp-admin1" * 100_000, "é-" * 300_000]
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+def test_very_long_urls(spark, inline):
+    df = spark.createDataFrame([(k, "http://" + u) for k, u in enumerate(LONG_URLS)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter(df, inline_rules=inline).select("page_id", "verdict").collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "block", 11: "block", 12: "allow", 13: "allow"}
+
+
+def test_hyphens_as_before(spark):
+    hosts = ["a-b-c-d-e.com", "w.a-b-c-d-e.com", "a-b-c-d.com", "a-b--c-d-e-f.com", "-a-b-c-d-e.com", "a-b-c-d-e-.com", "v.w.a-b-c-d-e.com", "a-b-c-d-e-f-g.h"]
+    df = spark.createDataFrame([(k, f"https://{h}/") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    want = {k: "block" if re.search(r"^([a-z0-9]+\.)?([a-z0-9]+-){4,}[a-z0-9]+\.", h) else "allow" for k, h in enumerate(hosts)}
+    assert {r.page_id: r.verdict for r in url_filter(df).collect()} == want
+
+
+def test_groups_arent_repeated():
+    for bad in ("(a-){4,}b", "((x|y)z)*", "(?:ab)+?", "a(b(cd)+)?", "(?=(ab)*)"):
+        with pytest.raises(ValueError, match="possessively"):
+            Pattern("block", bad)
+    for good in ("(ab){2}", "[ab]{4,}x*", "(a-){4,}+b", "(a|b)?"):
+        assert Pattern("block", good).regex == good
