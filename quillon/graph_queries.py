@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import graph as g
@@ -657,3 +657,40 @@ def stream_changes(t):
     maintain(stream, refresh, f"{root}/checkpoint").awaitTermination()
     last = seen.read()
     return apply_changes(last.limit(0).drop("op"), last, ["user_id"], "event_id").select("user_id", "event_type", "event_id")
+
+
+# -- updates of an index, hashes of cycles ----------------------------------------------------------
+
+
+@query("WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey = 2 THEN 0 ELSE n_regionkey END AS r FROM nation), under AS (SELECT c_nationkey AS n FROM customer WHERE c_nationkey <> 1 UNION ALL SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 1 UNION ALL SELECT s_nationkey FROM supplier) SELECT r AS region, (1 + count(DISTINCT n.k) + count(under.n))::BIGINT AS size FROM n LEFT JOIN under ON under.n = n.k GROUP BY r")
+def graph_update(t):
+    """Customers of nation 1 go, nation 2 moves to region 0, and each nation gets its suppliers' names:
+    the sizes of the regions, of an index of which only touched trees were ranked again."""
+    flat = tables_graph(t)
+    graph = flat.index(holder=F.col("head").isin("customer", "supplier"), statement=F.col("head") == "orders", slack=0.5)
+    new = t("supplier").select(F.concat(F.lit("new"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("bigint").alias("ord"), F.lit("name").alias("head"), F.lit(None).cast("string").alias("atom"), F.col("s_name").alias("label"))
+    gone = graph.nodes.where("head = 'customer' AND parent_id = 'n1'").select("id")
+    moved = graph.nodes.where("id = 'n2'").select("id", F.lit("r0").alias("new_parent"), F.lit(1_000).cast("bigint").alias("new_ord"))
+    done = graph.update(insert=new, delete=gone, move=moved)
+    return done.nodes.where("head = 'region'").select(F.substring("id", 2, 10).cast("int").alias("region"), "size")
+
+
+_RINGS = "WITH s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS ring, s_nationkey % 2 AS said, count(*) OVER (PARTITION BY s_suppkey // 5) AS n FROM supplier), w AS (SELECT a.k, string_agg(b.said::VARCHAR, '' ORDER BY (b.k - a.k + a.n) % a.n) AS word FROM s a JOIN s b USING (ring) GROUP BY a.k), "
+
+
+@query(_RINGS + "u AS (SELECT o_orderkey AS k, word FROM orders JOIN w ON w.k = (o_orderkey * 7) % (SELECT count(*) FROM supplier)) SELECT 'supplier' AS head, k, count(*) OVER (PARTITION BY word) AS same FROM w UNION ALL SELECT 'orders', k, count(*) OVER (PARTITION BY word) FROM u")
+def graph_cycle_hashes(t):
+    """Suppliers name one another in rings of five, and orders name suppliers: how many say the same of
+    the same. Of a ring, what its members say from one on decides."""
+    s = t("supplier").crossJoin(F.broadcast(t("supplier").agg(F.count("*").alias("n"))))
+    none = F.lit(None).cast("string")
+    k = F.col("s_suppkey")
+    nodes = s.select(F.concat(F.lit("s"), k).alias("id"), none.alias("parent_id"), k.alias("ord"), F.lit("supplier").alias("head"), (F.col("s_nationkey") % 2).cast("string").alias("atom"), none.alias("label"))
+    ring = F.floor(k / 5) * 5
+    edges = s.select(F.concat(F.lit("s"), k).alias("src"), F.concat(F.lit("s"), F.when(k == F.least(ring + 4, F.col("n") - 1), ring).otherwise(k + 1).cast("bigint")).alias("dst"), F.lit("refers").alias("kind"))
+    o = t("orders").crossJoin(F.broadcast(t("supplier").agg(F.count("*").alias("n"))))
+    nodes = nodes.unionByName(o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), none.alias("parent_id"), F.col("o_orderkey").alias("ord"), F.lit("orders").alias("head"), none.alias("atom"), none.alias("label")))
+    edges = edges.unionByName(o.select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("s"), (F.col("o_orderkey") * 7 % F.col("n")).cast("bigint")).alias("dst"), F.lit("refers").alias("kind")))
+    found = nodes.select("id", "head", F.col("ord").alias("k")).join(g.content_hashes(Graph(nodes, edges)), "id")
+    same = found.groupBy("hash").agg(F.count("*").alias("same"))
+    return found.join(same, "hash").select("head", "k", "same")

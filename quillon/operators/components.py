@@ -182,18 +182,23 @@ def _units(open_: DataFrame, deps: DataFrame, waiting: DataFrame, done: DataFram
 
 def _refined(now: DataFrame, inner: DataFrame) -> DataFrame:
     """id and hash of the nodes (id, unit, colour) whose links among themselves are `inner`: a node
-    without any keeps its colour; the others' colours are refined by their links' colours until no
-    round tells more apart."""
+    without any keeps its colour; the others' colours are refined by their links' colours until a
+    round tells no more of their unit apart, whatever other units need."""
     alone = now.join(inner.select("id"), "id", "left_anti").select("id", F.col("colour").alias("hash"))
-    now = materialise(now.join(inner.select("id").distinct(), "id", "left_semi"), "colours")
-    classes = now.select("unit", "colour").distinct().count()
-    while classes:
+    now = now.join(inner.select("id").distinct(), "id", "left_semi")
+    count = lambda colours: colours.groupBy("unit").agg(F.count_distinct("colour").alias("classes"))
+    now, n = counted(now.join(count(now), "unit"), "colours")
+    held = None
+    while n:
         seen = inner.join(now.select(F.col("id").alias("dep"), "colour"), "dep").groupBy("id").agg(F.count("*").alias("n"), *_sums(F.col("role"), F.col("colour")))
-        now = materialise(now.join(seen, "id").select("id", "unit", _sha(F.col("colour"), *(F.col(c).cast("string") for c in ("n", "s1", "s2"))).alias("colour")), "colours")
-        n = now.select("unit", "colour").distinct().count()
-        if n == classes:
-            break
-        classes = n
+        new = materialise(now.join(seen, "id").select("id", "unit", _sha(F.col("colour"), *(F.col(c).cast("string") for c in ("n", "s1", "s2"))).alias("colour"), F.col("classes").alias("was")), "colours")
+        new = new.join(count(new), "unit")
+        still = new.where("classes = was").select("id", "unit", "colour")
+        held = still if held is None else held.unionByName(still)
+        now, n = counted(new.where("classes <> was").select("id", "unit", "colour", "classes"), "colours")
+    if held is None:
+        return alone
+    now = materialise(held, "colours")
     digest = now.select("unit", "colour").distinct().groupBy("unit").agg(F.count("*").alias("n"), *_sums(F.col("colour")))
     whole = digest.select("unit", _sha(*(F.col(c).cast("string") for c in ("n", "s1", "s2"))).alias("__u"))
     return alone.unionByName(now.join(whole, "unit").select("id", _sha(F.col("__u"), F.col("colour")).alias("hash")))
