@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import fixpoints
 from quillon.operators import graph as g
 from quillon.operators import text as tx
 from quillon.operators import views
 from quillon.operators.graph import Graph
+from quillon.operators.seq import Seq
 from quillon.plans.jobs import Phase, Plan
+from quillon.plans.journal import Journal
 from quillon.plans.ordering import number_rows
 from quillon.plans.tables import materialise, new_path, released, stamps
 from quillon.sources.forms import read_edn, read_forms, write_forms
@@ -694,3 +697,83 @@ def graph_cycle_hashes(t):
     found = nodes.select("id", "head", F.col("ord").alias("k")).join(g.content_hashes(Graph(nodes, edges)), "id")
     same = found.groupBy("hash").agg(F.count("*").alias("same"))
     return found.join(same, "hash").select("head", "k", "same")
+
+
+# -- scans, fixpoints, journals ----------------------------------------------------------------------
+
+
+@query("WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS rn, p_partkey, p_size, p_brand, (p_size % 7 + 1)::BIGINT AS a, (p_partkey % 1009)::BIGINT AS b FROM part), r(rn, a, b) AS (SELECT rn, a, b FROM p WHERE rn = 1 UNION ALL SELECT p.rn, p.a * r.a % 1009, (p.a * r.b + p.b) % 1009 FROM r JOIN p ON p.rn = r.rn + 1) SELECT p_partkey, max(p_size) OVER (ORDER BY p.rn) AS most, right(string_agg(p_brand, '') OVER (ORDER BY p.rn), 12) AS said, r.a AS a, r.b AS b FROM p JOIN r USING (rn)")
+def seq_scans(t):
+    """Along all parts: the largest size so far, the last twelve characters of all brands so far, and the
+    composition of a map x -> ax + b a part, modulo 1009."""
+    p = t("part").select("p_partkey", "p_size", "p_brand")
+    rows = Seq(p, ("p_partkey",)).scan(lambda x, y: F.greatest(x, y), F.col("p_size"), "most")
+    rows = Seq(rows, ("p_partkey",)).scan(lambda x, y: F.right(F.concat(x, y), F.lit(12)), F.col("p_brand"), "said")
+    one = F.struct((F.col("p_size") % 7 + 1).cast("bigint").alias("a"), (F.col("p_partkey") % 1009).cast("bigint").alias("b"))
+    then = lambda x, y: F.struct((y["a"] * x["a"] % 1009).alias("a"), ((y["a"] * x["b"] + y["b"]) % 1009).alias("b"))
+    rows = Seq(rows, ("p_partkey",)).scan(then, one, "m")
+    return rows.select("p_partkey", "most", "said", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+
+
+@query("SELECT user_id, event_id, string_agg(event_type[1], '') OVER (PARTITION BY user_id ORDER BY event_id) AS path FROM events")
+def seq_scan_by(t):
+    """Each user's events so far, by their first letters."""
+    events = t("events").select("user_id", "event_id", "event_type")
+    rows = Seq(events, ("event_id",), ("user_id",)).scan(lambda x, y: F.concat(x, y), F.substring("event_type", 1, 1), "path")
+    return rows.select("user_id", "event_id", "path")
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 10 AS od, (o_orderkey // 7) % 10 AS nd, o_custkey % 10 AS cd, o_custkey % 50 = 0 AS c0 FROM orders), r(k, mask) AS (SELECT 0, 1::BIGINT UNION ALL SELECT k + 1, mask | (SELECT coalesce(bit_or(1::BIGINT << nd::INT), 0) FROM e WHERE (mask >> od::INT) & 1 = 1 AND (c0 OR (mask >> cd::INT) & 1 = 1)) FROM r WHERE k < 10), d AS (SELECT max(mask) AS m FROM r) SELECT 'supplier' AS head, (SELECT count(*) FROM range(10) t(x) WHERE (m >> x::INT) & 1 = 1) AS n FROM d UNION ALL SELECT 'customer', (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0 OR (m >> (c_custkey % 10)::INT) & 1 = 1) FROM d UNION ALL SELECT 'orders', (SELECT count(*) FROM orders WHERE (m >> (o_orderkey % 10)::INT) & 1 = 1 AND (o_custkey % 50 = 0 OR (m >> (o_custkey % 10)::INT) & 1 = 1)) FROM d")
+def graph_derive(t):
+    """Two rules that feed each other: an order is kept once its customer and its supplier are; an order
+    keeps a further supplier, and a supplier the customers of its last digit."""
+    o, c = t("orders"), t("customer")
+    order, supplier = F.concat(F.lit("o"), "o_orderkey"), lambda x: F.concat(F.lit("s"), x)
+    pairs = o.select(order.alias("id"), F.concat(F.lit("c"), "o_custkey").alias("first"), supplier(F.col("o_orderkey") % 10).alias("second"))
+    further = o.select(order.alias("src"), supplier(F.floor(F.col("o_orderkey") / 7) % 10).alias("dst"))
+    served = c.select(supplier(F.col("c_custkey") % 10).alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    roots = c.where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id")).unionByName(c.limit(1).select(F.lit("s0").alias("id")))
+    found = fixpoints.derive(roots, [fixpoints.both(pairs), fixpoints.follows(further), fixpoints.follows(served)])
+    heads = F.create_map(*(F.lit(x) for x in ("o", "orders", "s", "supplier", "c", "customer")))
+    return found.groupBy(F.element_at(heads, F.substring("id", 1, 1)).alias("head")).agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 7 % (SELECT count(*) FROM part) AS b FROM part), r(id) AS (SELECT p_partkey FROM part WHERE p_size <= 2 UNION SELECT b FROM r JOIN e ON a = id), held AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 97 = 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer) UNION SELECT c_custkey FROM customer WHERE (c_custkey - 1) % 97 = 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer)), said AS (SELECT 'F' AS kind, CASE WHEN p_size = 1 THEN 'external' WHEN p_size = 2 THEN 'asserted' WHEN p_partkey IN (SELECT id FROM r) THEN 'reachable' END AS class, 'unreachable' AS why FROM part UNION ALL SELECT 'M', CASE WHEN o_custkey IN (SELECT k FROM held) AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = (CASE WHEN o.o_custkey % 97 = 0 THEN o.o_custkey + 1 ELSE o.o_custkey - 1 END)) THEN 'held' END, CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 5 < 3 THEN 'unreachable, but initialised by position' ELSE 'unreachable' END FROM orders o) SELECT kind, class, CASE WHEN class IS NULL THEN why END AS why, count(*) AS n FROM said GROUP BY ALL")
+def graph_partition(t):
+    """Parts that call one another, and orders as members of their customers, some of which are cast to
+    the next: every entity in one class, and why the rest isn't reached."""
+    none = F.lit(None)
+    p = t("part").crossJoin(F.broadcast(t("part").agg(F.count("*").alias("n"))))
+    part = lambda x: F.concat(F.lit("p"), x)
+    customer = lambda x: F.concat(F.lit("c"), x)
+    parts = t("part").select(part("p_partkey").alias("id"), F.lit("F").alias("kind"), none.cast("string").alias("owner"), none.cast("bigint").alias("ord"), none.cast("boolean").alias("explicit"))
+    orders = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit("M").alias("kind"), customer("o_custkey").alias("owner"), (F.col("o_orderkey") % 5).cast("bigint").alias("ord"), none.cast("boolean").alias("explicit"))
+    edges = p.select(part("p_partkey").alias("src"), part((F.col("p_partkey") * 7 % F.col("n")).cast("bigint")).alias("dst"))
+    roots = [(name, t("part").where(where).select(part("p_partkey").alias("id"))) for name, where in (("external", "p_size = 1"), ("asserted", "p_size <= 2"))]
+    casts = t("customer").where("c_custkey % 97 = 0").select(customer("c_custkey").alias("a"), customer(F.col("c_custkey") + 1).alias("b"))
+    placed = t("customer").where("c_custkey % 10 = 0").select(customer("c_custkey").alias("owner"), F.lit(3).alias("n"))
+    found = fixpoints.partition(parts.unionByName(orders), edges, roots, casts, placed)
+    kinds = F.when(F.col("id").startswith("p"), "F").otherwise("M")
+    return found.groupBy(kinds.alias("kind"), "class", "why").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE e AS ({_STEPS}), r(id, v) AS (SELECT s_suppkey, s_suppkey % 20 FROM supplier WHERE s_suppkey % 10 = 3 UNION SELECT b, v FROM r JOIN e ON a = id) SELECT id, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS value, count(DISTINCT v) > 1 AS conflict FROM r GROUP BY 1")
+def graph_constants(t):
+    """Values of some suppliers along their steps, and where different ones meet."""
+    values = t("supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 20).alias("value"))
+    return fixpoints.spread_values(values, _steps(t))
+
+
+@query("WITH v1 AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 1 THEN 'one' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 17 <> 1), v2 AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 2 THEN 'two' ELSE s END AS s FROM v1 WHERE c_custkey % 17 <> 2 UNION ALL SELECT c_custkey, 'two' FROM customer WHERE c_custkey % 17 = 1 AND c_custkey % 13 = 2), v3 AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 3 THEN 'three' ELSE s END AS s FROM v2) SELECT 0 AS version, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 1, s, count(*) FROM v1 GROUP BY 2 UNION ALL SELECT 2, s, count(*) FROM v2 GROUP BY 2 UNION ALL SELECT 3, s, count(*) FROM v3 GROUP BY 2 UNION ALL SELECT 4, s, count(*) FROM v2 GROUP BY 2")
+def journal_versions(t):
+    """Two commits of changed and deleted customers, a third, and its undoing: every version."""
+    c = t("customer").select("c_custkey", "c_mktsegment")
+    journal = Journal(c.sparkSession, _root(c, "journal"), ["c_custkey"])
+    journal.open(c)
+    for k, name in ((1, "one"), (2, "two")):
+        journal.commit(c.where(F.col("c_custkey") % 13 == k).where(F.col("c_custkey") % 17 != k).withColumn("c_mktsegment", F.lit(name)), c.where(F.col("c_custkey") % 17 == k))
+    now = journal.read()
+    journal.commit(now.where("c_custkey % 13 = 3").withColumn("c_mktsegment", F.lit("three")))
+    journal.undo()
+    versions = [journal.read(v).select(F.lit(v).alias("version"), F.col("c_mktsegment").alias("segment")) for v in range(5)]
+    return reduce(DataFrame.unionByName, versions).groupBy("version", "segment").agg(F.count("*").alias("n"))

@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import ascending, number_rows, running_sum
-from quillon.plans.tables import counted
+from quillon.plans.tables import counted, materialise
+
+
+#: Rows that a top-k over all rows may bring into one task.
+TOP = 10_000
+#: Rows that a scan folds at a time.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -66,7 +72,8 @@ class Seq:
     # -- position and limit ----------------------------------------------------------------
 
     def take(self, n: int) -> Seq:
-        if not self.by:
+        """The first n rows of each sequence; without `by` up to TOP of them by a top-k, more by place."""
+        if not self.by and n <= TOP:
             return self._with(self.df.orderBy(*ascending(list(self.order))).limit(max(n, 0)))
         return self._where(self.numbered(), F.col("rn") <= n)
 
@@ -196,20 +203,26 @@ class Seq:
     def partition_all(self, n: int, value: Column, step: int | None = None, name: str = "items") -> DataFrame:
         return self.partition(n, value, step, whole=False, name=name)
 
+    def _changes(self, key: Column) -> DataFrame:
+        """The rows with __change: 1 where a run of equal keys begins (null equals null), else 0; where
+        rows are numbered over range partitions, with rn and __part."""
+        if self.by and not self.skewed:
+            here = F.struct(key.alias("k"))
+            return self.df.withColumn("__change", F.when(F.lag(here).over(self._window()).eqNullSafe(here), 0).otherwise(1))
+        rows = number_rows(self.df, [*self.by, *self.order]).withColumn("__k", F.struct(*self.by, key.alias("__key")))
+        before = rows.select((F.col("rn") + 1).alias("rn"), F.col("__k").alias("__before"))
+        return rows.join(before, "rn", "left").withColumn("__change", F.when(F.col("__before").eqNullSafe(F.col("__k")), 0).otherwise(1)).drop("__before", "__k")
+
     def runs(self, key: Column, name: str = "run") -> DataFrame:
         """The rows with the number, from 1, of the run of equal keys (null equals null)."""
-        if self.by and self.skewed:
-            rows = Seq(self.df, (*self.by, *self.order)).runs(F.struct(*self.by, key.alias("__key")), "__run")
-            rows = self._beside(rows, F.min("__run").alias("__first"))
-            return rows.withColumn(name, F.col("__run") - F.col("__first") + 1).drop("__run", "__first")
-        if self.by:
-            change = F.when(F.lag(F.struct(key.alias("k"))).over(self._window()).eqNullSafe(F.struct(key.alias("k"))), 0).otherwise(1)
-            rows = self.df.withColumn("__change", change)
+        rows = self._changes(key)
+        if self.by and not self.skewed:
             return rows.withColumn(name, F.sum("__change").over(self._window().rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
-        rows = number_rows(self.df, list(self.order)).withColumn("__k", F.struct(key.alias("k")))
-        before = rows.select((F.col("rn") + 1).alias("rn"), F.col("__k").alias("__before"))
-        rows = rows.join(before, "rn", "left").withColumn("__change", F.when(F.col("__before").eqNullSafe(F.col("__k")), 0).otherwise(1))
-        return running_sum(rows, F.col("__change"), name).drop("__change", "__before", "__k", "__part", "rn")
+        if not self.by:
+            return running_sum(rows, F.col("__change"), name).drop("__change", "__part", "rn")
+        rows = running_sum(rows, F.col("__change"), "__run").drop("__change", "__part", "rn")
+        rows = self._beside(rows, F.min("__run").alias("__first"))
+        return rows.withColumn(name, F.col("__run") - F.col("__first") + 1).drop("__run", "__first")
 
     def partition_by(self, key: Column, value: Column, name: str = "items") -> DataFrame:
         """Each run of equal keys as one row: run, key and the values in order."""
@@ -219,9 +232,26 @@ class Seq:
 
     def dedupe(self, key: Column) -> Seq:
         """The first row of each run of equal keys."""
-        rows = replace(self, df=self.runs(key))
-        first = replace(rows, by=(*self.by, "run")).take(1)
-        return self._with(first.df.drop("run"))
+        return self._with(self._changes(key).where("__change = 1").drop("__change", "__part", "rn"))
+
+    def scan(self, combine: Callable[[Column, Column], Column], value: Column, name: str = "scan") -> DataFrame:
+        """The rows with the fold of all values up to theirs by an associative function of two values,
+        which need not commute: running maxima, texts, compositions of maps.
+
+        Rows are numbered over range partitions and folded BLOCK at a time; the blocks' totals are
+        scanned the same way until one block holds them, and each block then takes in what comes
+        before it. With `by` the fold begins anew with each sequence; none of them is held by one
+        task, however long.
+        """
+        columns = self.df.columns
+        rows = number_rows(self.df.withColumn("__v", value), [*self.by, *self.order], "__rn").drop("__part")
+        start = F.col("__rn") == 1
+        if self.by:
+            rows = self._beside(rows, F.min("__rn").alias("__first"))
+            start = F.col("__rn") == F.col("__first")
+        rows = rows.withColumn("__s", start).drop("__first")
+        done = _scanned(materialise(rows, "scan"), combine, columns)
+        return done.select(*columns, F.col("__v").alias(name))
 
     def reductions(self, fold: Callable[[Column], Column], value: Column, name: str = "reduction") -> DataFrame:
         """Running folds by an aggregate function such as F.sum, F.min or F.max. Needs `by`."""
@@ -253,7 +283,7 @@ class Seq:
         where a row comes from. Sequences without `by`, of the same columns."""
         every = [self, *others]
         shortest = min(s.df.count() for s in every)
-        parts = [s.take(shortest).numbered("__place").withColumn("__seq", F.lit(k)) for k, s in enumerate(every)]
+        parts = [s.numbered("__place").where(F.col("__place") <= shortest).withColumn("__seq", F.lit(k)) for k, s in enumerate(every)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -286,8 +316,10 @@ class Seq:
     # -- groups ----------------------------------------------------------------------------
 
     def distinct(self, *keys: str) -> Seq:
-        """The first row of each value of the keys; null is a value."""
-        return self._with(replace(self, by=(*self.by, *keys)).take(1).df)
+        """The first row of each value of the keys; null is a value. Rows of a value meet after each task
+        has picked its own first."""
+        row = F.min_by(F.struct(*self.df.columns), F.struct(*self.order)).alias("__r")
+        return self._with(self.df.groupBy(*dict.fromkeys((*self.by, *keys))).agg(row).select("__r.*"))
 
     def group_by(self, key: Column, value: Column, name: str = "items") -> DataFrame:
         """One row for each key (null is one), with its values in order."""
@@ -299,17 +331,50 @@ class Seq:
 
     def max_key(self, key: Column) -> Seq:
         """The row of the greatest key; of equal ones the last."""
-        return self._pick(key, [F.col(o).desc_nulls_last() for o in self.order], True)
+        return self._pick(key, True)
 
     def min_key(self, key: Column) -> Seq:
         """The row of the least key; of equal ones the last."""
-        return self._pick(key, [F.col(o).desc_nulls_last() for o in self.order], False)
-
-    def _pick(self, key: Column, ties: list[Column], greatest: bool) -> Seq:
-        keys = [key.desc_nulls_last() if greatest else key.asc_nulls_last(), *ties]
-        if not self.by:
-            return self._with(self.df.orderBy(*keys).limit(1))
-        return self._where(self.df.withColumn("rn", F.row_number().over(Window.partitionBy(*self.by).orderBy(*keys))), F.col("rn") == 1)
+        return self._pick(key, False)
+
+    def _pick(self, key: Column, greatest: bool) -> Seq:
+        """The last row of the greatest or least key that isn't null, by aggregates: of the key, then
+        of the place among rows that have it."""
+        columns = self.df.columns
+        rank = F.struct(key.isNotNull().alias("held"), key.alias("key")) if greatest else F.struct(key.isNull().alias("held"), key.alias("key"))
+        rows = self.df.withColumn("__key", rank)
+        best = (F.max if greatest else F.min)("__key").alias("__best")
+        if self.by:
+            rows = self._beside(rows, best)
+        else:
+            rows = rows.join(F.broadcast(rows.agg(best)))
+        last = F.max_by(F.struct(*columns), F.struct(*self.order)).alias("__r")
+        found = rows.where(F.col("__key").eqNullSafe(F.col("__best"))).groupBy(*self.by).agg(last).where("__r IS NOT NULL")
+        return self._with(found.select("__r.*"))
+
+
+def _scanned(rows: DataFrame, combine: Callable[[Column, Column], Column], keep: list[str]) -> DataFrame:
+    """rows (__rn from 1, __s: a sequence begins, __v) with __v folded from the last beginning on."""
+    kind = rows.schema["__v"].dataType.simpleString()
+
+    def joined(first: Column, second: Column) -> Column:
+        """Of two rows' (s, v), those of what stands from the first to the second."""
+        value = F.when(second["s"], second["v"]).otherwise(combine(first["v"], second["v"]))
+        return F.struct((first["s"] | second["s"]).alias("s"), value.cast(kind).alias("v"))
+
+    row = F.struct(F.col("__rn").alias("rn"), F.struct(F.col("__s").alias("s"), F.col("__v").alias("v")).alias("x"), F.struct(*(keep or ["__rn"])).alias("row"))
+    blocks = rows.groupBy(F.expr(f"(__rn - 1) div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["rn"] < b["rn"], -1).otherwise(1)).alias("l"))
+    pair = f"struct<s:boolean,v:{kind}>"
+    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["x"]).otherwise(joined(F.element_at(acc, -1), x["x"])).cast(pair)))
+    blocks = blocks.withColumn("x", F.aggregate("l", F.array().cast(f"array<{pair}>"), step))
+    blocks, n = counted(blocks, "blocks")
+    if n > 1:
+        totals = blocks.select((F.col("block") + 2).alias("__rn"), F.element_at("x", -1).alias("t"))  # a block's total is for the next one
+        before = _scanned(materialise(totals.select((F.col("__rn") - 1).alias("__rn"), F.col("t.s").alias("__s"), F.col("t.v").alias("__v")), "scan"), combine, [])
+        blocks = blocks.join(before.select(F.col("__rn").alias("block"), F.struct(F.lit(True).alias("s"), F.col("__v").alias("v")).alias("b")), "block", "left")
+        blocks = blocks.withColumn("x", F.when(F.col("b").isNull(), F.col("x")).otherwise(F.transform("x", lambda x: joined(F.col("b"), x).cast(pair))))
+    out = blocks.select(F.explode(F.arrays_zip("l", "x")).alias("z"))
+    return out.select(F.col("z.l.rn").alias("__rn"), *(F.col(f"z.l.row.{c}").alias(c) for c in keep), F.col("z.x.v").alias("__v"))
 
 
 def merge_with(agg: Callable[[Column], Column], *maps: DataFrame) -> DataFrame:
