@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from quillon.plans.ordering import number_rows
 
 
+#: Hexadecimal digits of a unit's hash that name its folder.
+PREFIX = 2
+
+
 class Conflict(RuntimeError):
     """A reference or transaction that isn't what it was when it was read."""
 
 
 class UnitStore:
-    """units/ has the texts by hash, lists/ the manifests, refs/NAME/vN each reference's versions, of
+    """units/ has the texts by hash, in folders by its first digits, lists/ the manifests, refs/NAME/vN each reference's versions, of
     which refs/manifests/NAME say which list a manifest is.
 
     put() writes new units first and the manifest last, so a manifest never names a missing unit.
@@ -35,23 +39,38 @@ class UnitStore:
         fs, at = self._fs(name)
         return fs.exists(at)
 
-    def units(self) -> DataFrame:
-        schema = "hash string, data string"
+    def _held(self, buckets: list[str] | None = None) -> DataFrame:
+        """hash and data as written, of some buckets only; other buckets' files aren't opened. Two writers
+        may have written one unit twice."""
+        schema = "hash string, data string, bucket string"
         if not self._exists("units"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/units").dropDuplicates(["hash"])
+            return self.spark.createDataFrame([], schema).drop("bucket")
+        held = self.spark.read.schema(schema).parquet(f"{self.root}/units")
+        return (held if buckets is None else held.where(F.col("bucket").isin(buckets))).drop("bucket")
+
+    @staticmethod
+    def _buckets(hashes: DataFrame) -> list[str]:
+        """The buckets that the hashes fall in, 16 ** PREFIX of them at most."""
+        return [r.b for r in hashes.select(F.substring("hash", 1, PREFIX).alias("b")).distinct().collect()]
+
+    def units(self) -> DataFrame:
+        """All units, each once: hash and data."""
+        return self._held().dropDuplicates(["hash"])
 
     def put(self, name: str, units: DataFrame, data: str, order: list[str]) -> int:
         """Stores the units (column `data`) as manifest `name`; returns how many were new.
 
-        Two writers may add the same unit: readers take each hash once. A manifest is a new folder
-        that its name is switched to last, by a rename that fails if the version exists, so readers
-        see the old one or the new one.
+        Units lie in folders by the first digits of their hash, sorted by it within a file that has
+        a Bloom filter of its hashes: what a put compares its units with is the hashes in the
+        folders that they fall in. Two writers may add the same unit: readers take each hash once.
+        A manifest is a new folder that its name is switched to last, by a rename that fails if the
+        version exists, so readers see the old one or the new one.
         """
         rows = number_rows(units, order, "ord").select("ord", F.sha2(F.col(data).cast("binary"), 256).alias("hash"), F.col(data).alias("data"))
-        new = rows.dropDuplicates(["hash"]).select("hash", "data").join(self.units().select("hash"), "hash", "left_anti")
+        new = rows.dropDuplicates(["hash"]).select("hash", "data").join(self._held(self._buckets(rows)).select("hash"), "hash", "left_anti")
         seen = Observation()
-        new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.root}/units")
+        new = new.withColumn("bucket", F.substring("hash", 1, PREFIX)).repartition("bucket").sortWithinPartitions("bucket", "hash")
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("bucket").option("parquet.bloom.filter.enabled#hash", "true").mode("append").parquet(f"{self.root}/units")
         place = f"lists/{uuid.uuid4().hex}"
         rows.select("ord", "hash").write.parquet(f"{self.root}/{place}")
         while True:
@@ -71,7 +90,9 @@ class UnitStore:
         place = self.ref(f"manifests/{name}")[1]
         if place is None:
             raise KeyError(name)
-        rows = self.spark.read.parquet(f"{self.root}/{place}").join(self.units(), "hash", "left")
+        listed = self.spark.read.parquet(f"{self.root}/{place}")
+        held = self._held(self._buckets(listed)).join(listed.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+        rows = listed.join(held, "hash", "left")
         bad = F.col("data").isNull() | (F.sha2(F.col("data").cast("binary"), 256) != F.col("hash"))
         return rows.select("ord", "hash", F.when(bad, F.raise_error(F.concat(F.lit("damaged unit "), "hash"))).otherwise(F.col("data")).alias("data"))
 

@@ -1,5 +1,6 @@
 """Scans, picks, rules, classes, values and journals on small known answers and against plain Python."""
 
+import datetime
 import random
 
 import pytest
@@ -7,8 +8,11 @@ from pyspark.sql import functions as F
 
 from quillon.operators import fixpoints as fx
 from quillon.operators.seq import TOP, Seq
+from quillon.plans import jobs
+from quillon.plans.jobs import differences
 from quillon.plans.journal import Journal
 from quillon.plans.tables import new_path
+from quillon.sources.store import UnitStore
 
 
 def plan(df):
@@ -158,3 +162,30 @@ def test_a_journal_writes_whole_tables_seldom(spark):
     assert {r.k: r.v for r in journal.read(2).collect()} == {1: "x1", 2: "b"}
     with pytest.raises(ValueError, match="changed later"):
         journal.undo(2)
+
+
+def test_a_put_reads_only_the_folders_it_hits(spark):
+    store = UnitStore(spark, new_path(spark, "store"))
+    many = spark.range(3000).selectExpr("id", "concat('unit ', id) AS data")
+    assert store.put("many", many, "data", ["id"]) == 3000 and store.size() == 3000
+    one = spark.createDataFrame([(0, "unit 7"), (1, "a new unit"), (2, "a new unit")], "id int, data string")
+    buckets = store._buckets(one.select(F.sha2(F.col("data").cast("binary"), 256).alias("hash")))
+    held = store._held(buckets).select("hash")
+    assert len(buckets) <= 2 and "PartitionFilters: [bucket" in plan(held) and 0 < held.count() < 60
+    assert store.put("one", one, "data", ["id"]) == 1 and store.size() == 3001
+    assert [r.data for r in store.get("one").orderBy("ord").collect()] == ["unit 7", "a new unit", "a new unit"]
+    assert store.get("many").where("data = concat('unit ', ord - 1)").count() == 3000
+
+
+def test_differences_by_digests(spark, monkeypatch):
+    kind = "a int, b string, c array<int>, d struct<x: int, y: int>, t timestamp_ntz"
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0, 5)
+    rows = [(1, None, [None, 1], (None, 1), at), (None, "1", [1, None], (1, None), at), (1, None, [None, 1], (None, 1), at), (2, "", None, None, None), (3, "x", [], (1, 1), at)]
+    df = lambda r: spark.createDataFrame(r, kind)
+    for other, want in ((rows[::-1], (0, 0)), (rows[1:], (1, 0)), ([*rows, rows[3]], (0, 1)), ([(1, None, [1, None], (None, 1), at), *rows[1:]], (1, 1)), ([(1, None, [None, 1], (1, None), at), *rows[1:]], (1, 1)), ([*rows[:4], (3, "x", [], (1, 1), at.replace(microsecond=6))], (1, 1)), ([], (5, 0))):
+        assert differences(df(rows), df(other)) == want
+    many = spark.range(2000).selectExpr("id", "id % 7 AS v")
+    seen = []
+    monkeypatch.setattr(jobs, "_hashed", lambda x, f=jobs._hashed: seen.append(1) or f(x))
+    assert differences(many, many.repartition(3)) == (0, 0) and len(seen) == 2
+    assert differences(many, many.withColumn("v", F.when(F.col("id") == 9, 0).otherwise(F.col("v")))) == (1, 1)
