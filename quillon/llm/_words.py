@@ -107,6 +107,27 @@ def windows(values: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return at, mix(out[at])
 
 
+#: Base of rolling hashes: odd, so that its powers have inverses modulo 2^64; their differences have few factors of two.
+BASE = 0x9E3779B97F4A7C15
+
+
+class Rolling:
+    """Hashes of all runs of any length over a row of values, modulo 2^64: one running sum of values times
+    powers, of which a run's hash is a difference, brought back by the inverse power of its place."""
+
+    def __init__(self, values: np.ndarray):
+        powers = np.ones((2, len(values) + 1), np.uint64)
+        powers[0, 1:], powers[1, 1:] = BASE, pow(BASE, -1, 1 << 64)
+        np.multiply.accumulate(powers, axis=1, out=powers)
+        self.sums, self.back = np.append(np.uint64(0), np.cumsum(values * powers[0, :-1], dtype=np.uint64)), powers[1]
+
+    def windows(self, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """As windows(), by these hashes."""
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(self.sums) - 1)
+        at = np.flatnonzero(left >= n)
+        return at, mix((self.sums[at + n] - self.sums[at]) * self.back[at])
+
+
 def covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
     """Which of size places lie in at least one of the runs of n from the places at."""
     edge = np.zeros(size + n + 1, np.int32)

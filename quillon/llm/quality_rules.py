@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._base import text_chunks
-from ._words import Texts, covered, mix, sums_by, windows
+from ._words import Rolling, Texts, covered, mix, sums_by
 
 #: Lengths of the n-grams beyond the base rule's three words, and the share of word characters
 #: inside n-grams of that length which occur again earlier, above which a text fails. First copies
@@ -47,8 +47,8 @@ def measure(texts: list[bytes], coverage: tuple[int, ...] = tuple(COVERAGE)) ->
     symbols[list(SYMBOLS)] = True
     sizes = np.diff(t.ends, prepend=0)
     out = {"n_words": counts, "word_chars": sums_by(chars, counts), "n_symbols": sums_by(symbols[t.bytes], sizes)}
-    hashes = t.hashes(starts, ends)
-    at, keys = windows(hashes, counts, BASE_N)
+    rolling = Rolling(t.hashes(starts, ends))
+    at, keys = rolling.windows(counts, BASE_N)
     twice, _ = _repeats(keys, owner[at])
     out["n_repeat_words"] = sums_by(covered(at[twice], BASE_N, len(starts)), counts)
     first, last, per = t.lines()
@@ -63,7 +63,7 @@ def measure(texts: list[bytes], coverage: tuple[int, ...] = tuple(COVERAGE)) ->
     a, b = np.searchsorted(starts, first), np.searchsorted(starts, last)
     out["line_chars"] = sums_by(np.where(again, char_sums[b] - char_sums[a], 0), per)
     for n in coverage:
-        at, keys = windows(hashes, counts, n)
+        at, keys = rolling.windows(counts, n)
         _, earlier = _repeats(keys, owner[at])
         out[f"chars_{n}"] = sums_by(np.where(covered(at[earlier], n, len(starts)), chars, 0), counts)
     return out

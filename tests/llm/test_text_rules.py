@@ -9,11 +9,13 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate as decon
 from quillon.llm.decontaminate import contamination, decontaminate
+from quillon.llm._words import Rolling, mix, windows
 from quillon.llm.bpe_codec import bpe_digests
 from quillon.llm.language_id import Model, _letters, fit, held_out, identify, predict, reject_unknown
 from quillon.llm.line_dedup import lcp_array, line_dedup, line_dedup_report
@@ -349,3 +351,18 @@ def test_language_hostile(spark):
     assert isinstance(model, Model)
     assert {r.h for r in spark.createDataFrame([(None,), (5,)], "doc_id bigint").select(held_out(F.col("doc_id")).alias("h")).collect()} <= {True, False}
     assert SCHEMA
+
+
+def test_rolling_hashes_tell_runs_apart():
+    rng = np.random.default_rng(3)
+    values = mix(rng.integers(0, 4, 5000).astype(np.uint64))
+    counts = np.array([0, 3, 2990, 7, 0, 2000])
+    rolled = Rolling(values)
+    for n in (1, 2, 3, 5, 10):
+        at, keys = rolled.windows(counts, n)
+        assert np.array_equal(at, windows(values, counts, n)[0])
+        runs = {}
+        for place, key in zip(at.tolist(), keys.tolist(), strict=True):
+            runs.setdefault(key, set()).add(tuple(values[place : place + n].tolist()))
+        assert all(len(r) == 1 for r in runs.values()) and len(runs) == len({tuple(values[a : a + n].tolist()) for a in at.tolist()})
+    assert len(Rolling(values[:0]).windows(np.zeros(2, np.int64), 3)[0]) == 0
