@@ -20,7 +20,7 @@ from quillon.plans.ordering import number_rows
 from quillon.plans.tables import materialise, new_path, released, stamps
 from quillon.sources.forms import read_edn, read_forms, write_forms
 from quillon.sources.store import Conflict, UnitStore, new_units
-from quillon.streaming.changes import Channel, Versions, apply_changes, maintain, running_state
+from quillon.streaming.changes import Channel, Versions, apply_changes, current, maintain, running_state
 
 from .queries import query
 
@@ -653,13 +653,11 @@ def stream_changes(t):
 
     def refresh(batch: DataFrame, version: int) -> None:
         base = seen.read(version - 1) if version else empty
-        both = base.unionByName(batch.select(base.columns))
-        seen.write(both.groupBy("user_id").agg(F.max_by(F.struct(*base.columns), "event_id").alias("c")).select("c.*"), version)
+        seen.write(apply_changes(base, batch, ["user_id"], "event_id", late=True), version)
 
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     maintain(stream, refresh, f"{root}/checkpoint").awaitTermination()
-    last = seen.read()
-    return apply_changes(last.limit(0).drop("op"), last, ["user_id"], "event_id").select("user_id", "event_type", "event_id")
+    return current(seen.read()).select("user_id", "event_type", "event_id")
 
 
 # -- updates of an index, hashes of cycles ----------------------------------------------------------

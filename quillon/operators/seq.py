@@ -322,10 +322,16 @@ class Seq:
         return self._with(self.df.groupBy(*dict.fromkeys((*self.by, *keys))).agg(row).select("__r.*"))
 
     def group_by(self, key: Column, value: Column, name: str = "items") -> DataFrame:
-        """One row for each key (null is one), with its values in order."""
+        """One row for each key (null is one), with its values in order: an array, so grouped() where a
+        key may have very many."""
         out = self.df.groupBy(*self.by, key.alias("key")).agg(F.array_sort(F.collect_list(F.struct(*self.order, value.alias("__v")))).alias("__l"))
         return out.select(*self.by, "key", F.col("__l.__v").alias(name))
 
+    def grouped(self, key: Column, value: Column, name: str = "item") -> DataFrame:
+        """group_by() in rows, for groups of any size: key, place (from 1 in its group) and the value."""
+        rows = self.df.select("*", key.alias("key"), value.alias(name))
+        return Seq(rows, self.order, (*self.by, "key"), True).numbered("place").select(*self.by, "key", "place", name)
+
     def frequencies(self, key: Column) -> DataFrame:
         return self.df.groupBy(*self.by, key.alias("key")).agg(F.count("*").alias("n"))
 

@@ -119,6 +119,11 @@ def seq_group_by(t):
     return out.select("key", F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("ids"), F.size("items").cast("bigint").alias("n"))
 
 
+@query("SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place, value AS item FROM events")
+def seq_grouped(t):
+    return _events(t, False).grouped(F.col("event_type"), F.col("value"))
+
+
 @query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
 def seq_frequencies(t):
     return _events(t, False).frequencies(F.col("event_type"))

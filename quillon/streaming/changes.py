@@ -14,9 +14,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillon.plans.tables import new_path
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, key: list[str], order: str, op: str = "op") -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, key: list[str], order: str, op: str = "op", late: bool = False) -> DataFrame:
     """base with the last change of each key applied: op "put" replaces or adds, "delete" removes. A
-    null key is a key."""
+    null key is a key.
+
+    With `late`, changes may come after later ones: base has their columns, its rows compete with them
+    by `order`, and a deleted key stays as a row that says so; current() leaves those out."""
+    if late:
+        changes = base.unionByName(changes.select(base.columns))
+        return changes.groupBy(*key).agg(F.max_by(F.struct(*base.columns), order).alias("c")).select("c.*")
     last = changes.groupBy(*key).agg(F.max_by(F.struct(*changes.columns), order).alias("c")).select("c.*")
     names = {k: f"__k{n}" for n, k in enumerate(key)}
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
@@ -24,6 +30,11 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: list[str], order: st
     return kept.unionByName(last.where(F.col(op) == "put").select(base.columns))
 
 
+def current(base: DataFrame, op: str = "op") -> DataFrame:
+    """What apply_changes(late=True) holds, without its deleted keys."""
+    return base.where(F.col(op) == "put").drop(op)
+
+
 def maintain(stream: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Runs `refresh(changes, batch)` for every micro-batch, as for an index of which only touched
     keys are computed anew. A batch may come again after a failure: refresh must not mind."""
