@@ -18,6 +18,7 @@ from quillon.plans.jobs import Phase, Plan
 from quillon.plans.journal import Journal
 from quillon.plans.ordering import number_rows
 from quillon.plans.tables import materialise, new_path, released, stamps
+from quillon.sources import forms
 from quillon.sources.forms import read_edn, read_forms, write_forms
 from quillon.sources.store import Conflict, UnitStore, new_units
 from quillon.streaming.changes import Channel, Versions, apply_changes, current, maintain, running_state
@@ -775,3 +776,24 @@ def journal_versions(t):
     journal.undo()
     versions = [journal.read(v).select(F.lit(v).alias("version"), F.col("c_mktsegment").alias("segment")) for v in range(5)]
     return reduce(DataFrame.unionByName, versions).groupBy("version", "segment").agg(F.count("*").alias("n"))
+
+
+# -- readers and writers of files --------------------------------------------------------------------
+
+
+@query("SELECT kind, c_custkey AS k, CASE kind WHEN 'line' THEN c_custkey || ' ' || c_name WHEN 'slurp' THEN c_custkey || ' ' || c_name ELSE c_name END AS said FROM customer, (VALUES ('csv'), ('json'), ('xml'), ('line'), ('slurp')) v(kind)")
+def file_readers(t):
+    """Customers written as CSV, JSON, XML and lines of text, and read back as records, lines and whole files."""
+    c = t("customer").select("c_custkey", "c_name")
+    spark, root, kind = c.sparkSession, _root(c, "files"), "c_custkey bigint, c_name string"
+    forms.csv_write(c, f"{root}/csv", separator=";", header=True)
+    c.write.json(f"{root}/json")
+    c.write.format("xml").option("rowTag", "customer").save(f"{root}/xml")
+    lines = c.select(F.concat_ws(" ", "c_custkey", "c_name").alias("value"))
+    forms.spit(lines.where("length(value) % 2 = 0"), f"{root}/text")
+    forms.spit(lines.where("length(value) % 2 = 1"), f"{root}/text", append=True)
+    records = {"csv": forms.csv_seq(spark, f"{root}/csv", kind, separator=";", header=True), "json": forms.json_seq(spark, f"{root}/json", kind), "xml": forms.xml_seq(spark, f"{root}/xml", "customer", kind)}
+    out = [df.select(F.lit(k).alias("kind"), F.col("c_custkey").alias("k"), F.col("c_name").alias("said")) for k, df in records.items()]
+    texts = {"line": forms.line_seq(spark, f"{root}/text").select("line"), "slurp": forms.slurp(spark, f"{root}/text").select(F.explode(F.split("value", "\n")).alias("line"))}
+    out += [df.where("line <> ''").select(F.lit(k).alias("kind"), F.split("line", " ")[0].cast("bigint").alias("k"), F.col("line").alias("said")) for k, df in texts.items()]
+    return reduce(DataFrame.unionByName, out)
