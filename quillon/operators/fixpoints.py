@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.ordering import number_rows, running_sum
 from quillon.plans.tables import counted, materialise
 
 from .components import several_hops
@@ -103,10 +104,9 @@ def partition(entities: DataFrame, edges: DataFrame, roots: list[tuple[str, Data
         longest = placed.groupBy("owner").agg(F.max("n").alias("__n"))
         rows = rows.join(longest, "owner", "left")
         why = F.when((F.col("kind") == "M") & (F.col("ord") < F.col("__n")), POSITIONAL).otherwise(why)
-    # Enumerators in runs: each that says its value begins one.
+    # Enumerators in runs: each that says its value begins one, and each enum (runs are told by both).
     enums = rows.where("kind = 'N'").select("id", "owner", "ord", F.coalesce("explicit", F.lit(False)).alias("__x"), (~dead).alias("__live"))
-    run = F.sum(F.col("__x").cast("int")).over(Window.partitionBy("owner").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    enums = enums.withColumn("__run", run)
+    enums = running_sum(number_rows(enums, ["owner", "ord", "id"], "__rn"), F.col("__x").cast("bigint"), "__run", "__rn")
     last = enums.where("__live AND NOT __x").groupBy(F.col("owner").alias("__o"), F.col("__run").alias("__r")).agg(F.max("ord").alias("__last"))
     moves = enums.join(last, F.col("owner").eqNullSafe(F.col("__o")) & (F.col("__run") == F.col("__r"))).where("__last > ord").select("id", F.lit(True).alias("__moves"))
     rows = rows.join(moves, "id", "left")
