@@ -201,11 +201,12 @@ family("time_layouts", lambda: [(n.lower(), times.format_(_TIME(), getattr(times
 
 _STAMP = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
 _NANOS = lambda: F.col("k") * 1_234_567_890
+_WIDE = lambda: F.col("k").cast("decimal(19,0)")  # noqa: E731  (hours of a large k are more than 64 bits of nanoseconds)
 family(
     "time_more",
     lambda: [
         ("parsed", _STAMP(times.parse(times.format_(_TIME(), times.RFC3339), times.RFC3339))), ("unparsed", times.parse(L("x"), times.RFC3339).isNull()), ("in_zone", _STAMP(times.parse_in_timezone(_STAMP(_TIME()), "2006-01-02 15:04:05", "+02:00"))), ("zoned", _STAMP(times.in_timezone(_TIME(), "+05:30"))),
-        ("unix", times.unix(times.from_unix(times.unix(_TIME())))), ("nanos", times.sub(times.from_unix(F.col("k"), L(5_000)), times.from_unix(F.col("k")))), ("sub", times.sub(_TIME(), times.add(_TIME(), L(-3 * times.SECOND)))), ("hours", times.hours(F.col("k") * times.HOUR)), ("minutes", times.minutes(F.col("k") * times.MINUTE)), ("seconds", times.seconds(F.col("k") * times.SECOND)),
+        ("unix", times.unix(times.from_unix(times.unix(_TIME())))), ("nanos", times.sub(times.from_unix(F.col("k"), L(5_000)), times.from_unix(F.col("k")))), ("sub", times.sub(_TIME(), times.add(_TIME(), L(-3 * times.SECOND)))), ("hours", times.hours(_WIDE() * times.HOUR)), ("minutes", times.minutes(_WIDE() * times.MINUTE)), ("seconds", times.seconds(_WIDE() * times.SECOND)),
         ("millis", F.col("k") * (times.MILLISECOND // times.MICROSECOND // times.NANOSECOND)), ("rounded", times.round_(_NANOS(), times.SECOND)), ("cut", times.truncate(_NANOS(), times.SECOND)), ("duration", times.duration_string(F.col("k") * times.SECOND)), ("back", times.parse_duration(times.duration_string(_NANOS())) == _NANOS()),
         ("past", times.since(_TIME()) > 0), ("future", times.until(_TIME()) < 0), ("now", times.now() > _TIME()), ("day", times.day_of_year(_TIME())), ("shown", _STAMP(times.truncate_time(_TIME(), "day"))),
     ],

@@ -120,16 +120,22 @@ def until(t: Column) -> Column:
     return sub(t, now())
 
 
+def _in(d: Column, unit: int) -> Column:
+    """A duration in units, the whole ones and the rest each as a double: whole units are exact."""
+    return F.call_function("div", d, F.lit(unit)).cast("double") + (d % unit).cast("double") / F.lit(float(unit))
+
+
 def hours(d: Column) -> Column:
-    return d / F.lit(float(HOUR))
+    """Of a duration in nanoseconds; one beyond 292 years is a decimal, as 64 bits don't hold it."""
+    return _in(d, HOUR)
 
 
 def minutes(d: Column) -> Column:
-    return d / F.lit(float(MINUTE))
+    return _in(d, MINUTE)
 
 
 def seconds(d: Column) -> Column:
-    return d / F.lit(float(SECOND))
+    return _in(d, SECOND)
 
 
 def truncate(d: Column, m: int) -> Column:
