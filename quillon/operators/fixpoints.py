@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.plans.ordering import number_rows, running_sum
@@ -52,6 +52,45 @@ def derive(roots: DataFrame, rules: list[Rule], most: int = 1_000_000) -> DataFr
     raise ValueError(f"ids are still found after {most} rounds")
 
 
+#: How many times the edges that lead on, about, the paths of a table of twice as many hops may be.
+WIDER = 4
+
+
+def distances(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and round of all that edges (src, dst) lead to from the roots (column id), round being the least
+    number of hops: what derive() finds by follows() alone.
+
+    Walks of 1, 2, 4 ... hops are tabled as long as those tables stay about as long as the edges, which
+    is counted before they are joined; going along each once, in this order, finds all that lies within
+    the sum of their hops, at its least distance. Rounds are so many tables each and begin at the
+    farthest nodes of the last; where nodes have one edge each, there is one, of as many joins as the
+    longest distance has binary digits."""
+    steps, least = counted(edges.where("src <> dst").select("src", "dst").distinct(), "steps")
+    walks, wider = [steps], least > 0
+    kept = now = materialise(roots.select("id").distinct().withColumn("round", F.lit(0)), "kept")
+    base = 0
+    while True:
+        k = 0
+        while k < len(walks):
+            sent = now.join(walks[k].select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"), (F.col("round") + (1 << k)).alias("round"))
+            sent = sent.join(kept.select("id"), "id", "left_anti")
+            seen = Observation()
+            now = materialise(now.unionByName(sent).groupBy("id").agg(F.min("round").alias("round")).observe(seen, F.max("round").alias("far")), "now")
+            k += 1
+            far = base + (1 << k) - 1
+            if (seen.get["far"] or 0) < far:
+                return kept.unionByName(now.where(F.col("round") > base))
+            if k == len(walks) and wider:
+                ins, outs = (walks[-1].groupBy(F.col(c).alias("id")).agg(F.count("*").alias(c)) for c in ("dst", "src"))
+                n = ins.join(outs, "id").agg(F.sum(F.col("dst") * F.col("src"))).first()[0] or 0
+                wider = n <= WIDER * least
+                if wider:
+                    walks.append(materialise(walks[-1].join(walks[-1].select(F.col("src").alias("dst"), F.col("dst").alias("__d")), "dst").select("src", F.col("__d").alias("dst")).distinct(), "walks"))
+        kept = materialise(kept.unionByName(now.where(F.col("round") > base)), "kept")
+        base = far
+        now = materialise(now.where(F.col("round") == base), "now")
+
+
 def classes_of(pairs: DataFrame) -> DataFrame:
     """id and member_of, the least id of those that pairs (a, b) join it with, directly or not: labels
     go over several hops at once, and only those that fall go on."""
@@ -95,7 +134,7 @@ def partition(entities: DataFrame, edges: DataFrame, roots: list[tuple[str, Data
         named.append(entities.where("kind = 'M'").join(punned, "owner", "left_semi").select("id").withColumn("p", F.lit(len(roots))))
     first = reduce(DataFrame.unionByName, named).groupBy("id").agg(F.min("p").alias("p"))
     first = materialise(first.join(entities.select("id"), "id", "left_semi"), "roots")
-    live = derive(first, [follows(edges), *rules])
+    live = derive(first, [follows(edges), *rules]) if rules else distances(first, edges)
     names = F.array(*(F.lit(n) for n, _ in roots), F.lit(HELD))
     rows = entities.join(first, "id", "left").join(live, "id", "left")
     rows = rows.withColumn("class", F.when(F.col("p").isNotNull(), F.get(names, F.col("p"))).when(F.col("round").isNotNull(), F.lit(REACHED)))

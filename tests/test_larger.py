@@ -1,9 +1,13 @@
 """What tables of many times the usual size bring: large keys, deep closures."""
 
 import datetime
+import random
+
+import pytest
 
 import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
+from quillon.operators import fixpoints
 from quillon.queries import ORACLE_SQL, QUERIES
 
 from .oracle import compare
@@ -17,3 +21,35 @@ def test_times_of_large_keys(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/one")
     next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
     compare(spark, str(tmp_path), QUERIES["time_more"], ORACLE_SQL["time_more"])
+
+
+def walked(seeds, edges):
+    """Pairs of a seed and what it reaches, and the least distances, by search."""
+    out, to = {}, {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+    for s in seeds:
+        found, front, d = {s: 0}, {s}, 0
+        while front:
+            d += 1
+            front = {b for a in front for b in to.get(a, ())} - found.keys()
+            found |= dict.fromkeys(front, d)
+        out[s] = found
+    return out
+
+
+@pytest.mark.parametrize(("kind", "joins"), [("ring", 8), ("wide", 60), ("few", 60)])
+def test_distances(spark, kind, joins, monkeypatch):
+    """Of a ring of 200 in eight joins, not 200 rounds; of hubs, whose walks are too many to table, by rounds."""
+    rng = random.Random(kind)
+    edges = [(k, (k + 1) % 200) for k in range(200)] if kind == "ring" else [(a, b) for k in range(12) for a in range(5 * k, 5 * k + 5) for b in range(5 * k + 5, 5 * k + 10)] if kind == "wide" else [(rng.randrange(150), rng.randrange(150)) for _ in range(200)]
+    roots = [3] if kind == "ring" else [0, 1, 7]
+    want = {}
+    for found in walked(roots, edges).values():
+        for x, d in found.items():
+            want[x] = min(d, want.get(x, d))
+    written = []
+    monkeypatch.setattr(fixpoints, "materialise", lambda df, what, _f=fixpoints.materialise: written.append(what) or _f(df, what))
+    got = fixpoints.distances(spark.createDataFrame([(r,) for r in roots], "id int"), spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert {r.id: r.round for r in got} == want and len(got) == len(want)
+    assert written.count("now") <= joins
