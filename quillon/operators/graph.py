@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.plans.ordering import number_rows
 from quillon.plans.tables import counted, materialise
 
-from .components import HOPS, content_hashes, several_hops, strong_components  # noqa: F401
+from .components import GROWTH, HOPS, content_hashes, several_hops, strong_components  # noqa: F401
 from .ranges import ROUNDS, below, ranks, tree_levels, within
 
 KINDS = ("refers", "typed", "contains", "inside")
@@ -354,25 +354,63 @@ def parse_steps(steps: str) -> list[str]:
 # -- closures and fixpoints ----------------------------------------------------------------------
 
 
+#: Members of a component that one task joins to the seeds that reach it, about.
+BLOCK = 256
+
+
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """seeds (seed, id) with all that edges (src, dst) reach from them: seed, id. One join and one
     anti-join a round, on the new pairs only, until a round finds none; raises if `most` rounds
     don't suffice. Where nodes have few edges, the edges of several hops are tabled first, and a
-    round goes as far."""
+    round goes as far.
+
+    Where pairs become many times the edges and seeds, they are closed over components instead, as
+    nodes on common cycles reach the same: see _over_components()."""
+    edges, n = counted(edges.select("src", "dst").distinct(), "edges")
+    begun, m = counted(seeds.select("seed", "id").distinct(), "reach")
+    seen, whole = _closed(begun, edges, most, GROWTH * (n + m))
+    return seen if whole else _over_components(begun, edges, most)
+
+
+def _closed(begun: DataFrame, edges: DataFrame, most: int, pairs: int | None = None) -> tuple[DataFrame, bool]:
+    """The closure round by round, and whether it is whole: it ends early once it has over `pairs` rows."""
     steps = several_hops(edges).select(F.col("src").alias("id"), "dst")
-    frontier = materialise(seeds.select("seed", "id").distinct(), "reach")
+    frontier, total = begun, 0
     seen = frontier
     for k in range(1, most + 1):
         new = frontier.join(steps, "id").select("seed", F.col("dst").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
         frontier, n = counted(new, "frontier")
         if not n:
-            return seen
+            return seen, True
+        total += n
+        if pairs is not None and total > pairs:
+            return seen, False
         seen = seen.unionByName(frontier)
         if k % ROUNDS == 0:
             seen = materialise(seen, "reach")
     raise ValueError(f"pairs are still found after {most} rounds")
 
 
+def _over_components(begun: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """The closure of begun (seed, id) over edges: which component reaches which, round by round, then
+    the seeds of the first and the members of the second. These pairs, which may be as many as the
+    nodes' square, come from a join in blocks of members, so that no task has all of a component, and
+    are neither written nor compared: components have no members in common."""
+    unit = strong_components(edges).select("id", F.col("component").alias("unit"))
+    at = lambda df, c: df.join(unit.select(F.col("id").alias(c), "unit"), c, "left").withColumn(c, F.coalesce("unit", c)).drop("unit")
+    among = at(at(edges, "src"), "dst").where("src <> dst").select("src", "dst")
+    begun = materialise(begun.join(unit, "id", "left").select("seed", F.coalesce("unit", "id").alias("unit")).distinct(), "begun")
+    first = materialise(begun.select(F.col("unit").alias("seed"), F.col("unit").alias("id")).distinct(), "reach")
+    reach, _ = _closed(first, among, most)
+    pairs = begun.where("unit IS NOT NULL").join(reach.select(F.col("seed").alias("unit"), "id"), "unit").select("seed", F.col("id").alias("unit")).distinct()
+    pairs = materialise(pairs.unionByName(begun.where("unit IS NULL")), "pairs")
+    blocks = materialise(unit.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    members = unit.join(blocks, "unit").select("unit", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
+    asked = pairs.join(blocks, "unit", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1)))
+    # A block may have no member; a node on no cycle has no block.
+    return asked.join(members, ["unit", "block"], "left").where("id IS NOT NULL OR blocks IS NULL").select("seed", F.coalesce("id", "unit").alias("id"))
+
+
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node that any root (column id) reaches, with its distance: id, depth, and `why`, the
     node it was first reached from (the smallest of a round's)."""

@@ -7,7 +7,7 @@ import pytest
 
 import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
-from quillon.operators import fixpoints
+from quillon.operators import fixpoints, graph
 from quillon.queries import ORACLE_SQL, QUERIES
 
 from .oracle import compare
@@ -38,6 +38,22 @@ def walked(seeds, edges):
     return out
 
 
+@pytest.mark.parametrize("kind", ["cycles", "few", "chain"])
+def test_closure_over_components(spark, kind, monkeypatch):
+    """Pairs beyond so many times the edges come by components; with blocks of three members."""
+    rng = random.Random(kind)
+    edges = [(k, (k * 7 + 3) % 90) for k in range(90)] + [(k, (k * 3 + 1) % 90) for k in range(0, 90, 4)] if kind == "cycles" else [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] if kind == "few" else [(k, k + 1) for k in range(70)] + [(9, 3), (60, 60)]
+    seeds = [(s, s) for s in range(0, 70, 2)] + [(0, 5), (None, 3), (7, None)]
+    reach = walked({b for _, b in seeds}, edges)
+    want = {(s, x) for s, b in seeds for x in reach[b]}
+    monkeypatch.setattr(graph, "GROWTH", 1)
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    used = []
+    monkeypatch.setattr(graph, "_over_components", lambda *a, _f=graph._over_components: used.append(1) or _f(*a))
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(seeds, "seed int, id int"), spark.createDataFrame(edges, "src int, dst int")).collect()]
+    assert used and len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize(("kind", "joins"), [("ring", 8), ("wide", 60), ("few", 60)])
 def test_distances(spark, kind, joins, monkeypatch):
     """Of a ring of 200 in eight joins, not 200 rounds; of hubs, whose walks are too many to table, by rounds."""
