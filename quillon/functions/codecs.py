@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import functools
 import hashlib
 import hmac as _hmac
 import html as _html
@@ -122,14 +123,30 @@ def unquote(s: Column) -> Column:
     return _series(_unquote)(s)
 
 
+def _each(s: pd.Series, f) -> pd.Series:
+    """f of each value but nulls; equal values of a batch are given to it once."""
+    known: dict = {}
+    return s.map(lambda x: None if x is None else known[x] if x in known else known.setdefault(x, f(x)))
+
+
 def _series(f):
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+        return _each(s, f)
 
     return run
 
 
+#: Texts of at most so many characters are parsed once, of the last so many: a worker holds some 10 MB.
+SHORT, LAST = 2_048, 1_024
+
+
+def _remembered(f):
+    """f of a text, its result held for a while; results aren't to be changed."""
+    held = functools.lru_cache(LAST)(f)
+    return functools.wraps(f)(lambda x: held(x) if len(x) <= SHORT else f(x))
+
+
 # -- digests and encodings -------------------------------------------------------------------
 
 
@@ -152,7 +169,7 @@ def sha512_truncated(s: Column, bits: int) -> Column:
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else hashlib.new(f"sha512_{bits}", bytes(x)).digest())
+        return _each(s, lambda x: hashlib.new(f"sha512_{bits}", bytes(x)).digest())
 
     return run(s.cast("binary"))
 
@@ -160,7 +177,7 @@ def sha512_truncated(s: Column, bits: int) -> Column:
 def hmac(message: Column, key: str, algorithm: str = "sha256") -> Column:
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else _hmac.new(key.encode(), bytes(x), algorithm).digest())
+        return _each(s, lambda x: _hmac.new(key.encode(), bytes(x), algorithm).digest())
 
     return run(message.cast("binary"))
 
@@ -270,6 +287,7 @@ MIME_TYPE = "struct<type:string,params:map<string,string>>"
 MIME_PARTS = "array<struct<content_type:string,filename:string,size:int,text:string>>"
 
 
+@_remembered
 def _media_type(s: str) -> dict:
     m = Message()
     m["content-type"] = s
@@ -285,6 +303,7 @@ def parse_media_type(s: Column) -> Column:
     return run(s)
 
 
+@_remembered
 def _leaves(raw: str) -> list[dict]:
     out = []
     for part in email.message_from_string(raw).walk():
@@ -332,7 +351,7 @@ def decode_transfer_encoding(encoding: str, content: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else decode(bytes(x)))
+        return _each(s, lambda x: decode(bytes(x)))
 
     return run(content.cast("binary"))
 

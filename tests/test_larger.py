@@ -3,10 +3,12 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
+from quillon.functions import codecs
 from quillon.operators import fixpoints, graph
 from quillon.queries import ORACLE_SQL, QUERIES
 
@@ -23,6 +25,19 @@ def test_times_of_large_keys(spark, tmp_path):
     compare(spark, str(tmp_path), QUERIES["time_more"], ORACLE_SQL["time_more"])
 
 
+def test_codecs_of_equal_texts(monkeypatch):
+    """Equal values of a batch, and equal short messages, are worked on once; nulls stay nulls."""
+    asked = []
+    got = codecs._each(pd.Series(["a", None, "b", "a", "a"]), lambda x: asked.append(x) or x + x)
+    assert got.tolist() == ["aa", None, "bb", "aa", "aa"] and asked == ["a", "b"]
+    parsed = []
+    monkeypatch.setattr(codecs.email, "message_from_string", lambda x, _f=codecs.email.message_from_string: parsed.append(x) or _f(x))
+    short, long = "Content-Type: text/plain\n\nonly here", "Content-Type: text/plain\n\n" + "x" * codecs.SHORT
+    for mail in (short, long):
+        assert codecs._leaves(mail) == codecs._leaves(mail) and codecs._leaves(mail)[0]["text"] == mail.partition("\n\n")[2]
+    assert parsed.count(short) == 1 and parsed.count(long) == 3
+
+
 def walked(seeds, edges):
     """Pairs of a seed and what it reaches, and the least distances, by search."""
     out, to = {}, {}
