@@ -3,6 +3,7 @@ the relational tables."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -290,9 +291,8 @@ def graph_callers_code(t):
     of two."""
     p = t("part").crossJoin(F.broadcast(t("part").agg(F.count("*").alias("n"))))
     text = F.format_string("(defn p%d (body (call @p%d)))", "p_partkey", F.col("p_partkey") * 7 % F.col("n"))
-    graph = read_forms(p.select(F.col("p_partkey").alias("unit"), text.alias("text")))
-    calls = graph.nodes.where("atom LIKE '@%'").select("id", F.lit(True).alias("is_call"))
-    code = Graph(graph.nodes.join(calls, "id", "left"), graph.edges).index(holder=F.col("parent_id").isNull(), statement=F.col("head") == "call", call=F.col("is_call"))
+    graph = read_forms(p.select(F.col("p_partkey").alias("unit"), text.alias("text")), places=True)
+    code = replace(graph, nodes=graph.nodes.withColumn("is_call", F.col("atom").startswith("@"))).index(holder=F.col("parent_id").isNull(), statement=F.col("head") == "call", call=F.col("is_call"))
     small = t("part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("label"))
     rows = code.callers(code.nodes.where("parent_id IS NULL").join(small, "label").select("id"), 2)
     names = code.nodes.where("parent_id IS NULL").select("id", "label")
@@ -321,10 +321,10 @@ def _uses_graph(t) -> Graph:
     functions = t("orders").select((order.cast("bigint") + 100).alias("unit"), F.concat(F.lit("(defn f"), order.cast("string"), F.lit(" "), form, F.lit(")")).alias("text"))
     spark = functions.sparkSession
     objects = spark.range(10).select(F.col("id").alias("unit"), F.format_string("(def s%d)", "id").alias("text"))
-    graph = read_forms(functions.unionByName(objects).unionByName(objects.limit(1).select(F.lit(50).cast("bigint").alias("unit"), F.lit("(array 10)").alias("text"))))
+    graph = read_forms(functions.unionByName(objects).unionByName(objects.limit(1).select(F.lit(50).cast("bigint").alias("unit"), F.lit("(array 10)").alias("text"))), places=True)
     typed = spark.range(5).select(F.concat("id", F.lit(".0")).alias("src"), F.lit("50.0").alias("dst"), F.lit("typed").alias("kind"))
-    calls = graph.nodes.where("head = 'call'").select(F.concat("id", F.lit(".1")).alias("id"), F.lit(True).alias("called"))
-    code = Graph(graph.nodes.join(calls, "id", "left"), graph.edges.unionByName(typed))
+    called = (F.col("above") == "call") & (F.col("ord") == 1)
+    code = replace(graph, nodes=graph.nodes.withColumn("called", called), edges=graph.edges.unionByName(typed))
     return code.index(holder=F.col("parent_id").isNull(), statement=F.col("parent_id").isNull(), call=F.col("called"))
 
 
@@ -353,7 +353,7 @@ def graph_type_report(t):
     functions = p.select((F.col("n") + F.col("k")).alias("unit"), F.format_string("(defn f%d (param a) (result r) (= (-> x size) 1))", "k").alias("text"))
     pointers = p.select((F.col("n") * 2 + F.col("k")).alias("unit"), F.lit("(pointer)").alias("text"))
     objects = p.where("k % 2 = 0").select((F.col("n") * 3 + F.col("k")).alias("unit"), F.format_string("(def d%d)", "k").alias("text"))
-    graph = read_forms(reduce(DataFrame.unionByName, [structs, functions, pointers, objects]))
+    graph = read_forms(reduce(DataFrame.unionByName, [structs, functions, pointers, objects]), places=True)
 
     def edge(kind: str, src: str, dst: str, where: str = "true") -> DataFrame:
         return p.where(where).select(F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.lit(kind).alias("kind"))
@@ -366,7 +366,7 @@ def graph_type_report(t):
         edge("typed", "concat(k, '.0.3.0.1')", "concat((k + 1) % n, '.0')"),
         edge("typed", "concat(3 * n + k, '.0')", "concat(k, '.0')", "k % 2 = 0"),
     ]
-    code = Graph(graph.nodes, reduce(DataFrame.unionByName, edges)).index(holder=F.col("parent_id").isNull(), statement=F.lit(False))
+    code = replace(graph, edges=reduce(DataFrame.unionByName, edges)).index(holder=F.col("parent_id").isNull(), statement=F.lit(False))
     return views.type_report(code, code.nodes.where("head = 'struct' AND parent_id IS NULL").select("id"))
 
 
@@ -386,7 +386,7 @@ def graph_pattern(t):
 
 @query("SELECT p_partkey AS unit, '(def p' || p_partkey || ' (size ' || p_size || ') (brand \"' || p_brand || '\") (next @p' || (p_partkey + 1) || '))' AS text FROM part")
 def graph_forms_round_trip(t):
-    graph = read_forms(_forms(t))
+    graph = read_forms(_forms(t), places=True)
     printed = write_forms(graph.index(holder=F.col("parent_id").isNull(), statement=F.lit(False)))
     return printed.where("parent_id IS NULL").select(F.split("id", "\\.")[0].cast("bigint").alias("unit"), "text")
 

@@ -50,21 +50,29 @@ class Graph:
     #: Rows that the last update() wrote, and updates since all nodes were.
     written: int = field(default=0)
     layers: int = field(default=0)
+    #: Whether the nodes are as read_forms(places=True) gives them, perhaps with further columns.
+    placed: bool = field(default=False)
 
     def index(self, holder: Column, statement: Column, call: Column | None = None, entity: Column | None = None, max_depth: int = 1_000, slack: float = 0.0) -> Graph:
         """The graph with, for each node: depth, root_id, rank (its place in the source's order), size
         (of its subtree, whose ranks are rank to rank + size - 1), top_id and stmt_id (the nearest
         node at or above it that `holder` and `statement` hold for), rep_id (the first node of its
         `entity`; itself without one) and in_call. Ranks are 1, 2, 3 ... or, with `slack`, leave
-        each tree room to grow by that share, which update() uses."""
-        how = How(self.columns, holder, statement, call, entity, max_depth, slack)
-        nodes = _ranked(self.nodes.select(how.columns), how)
+        each tree room to grow by that share, which update() uses. What read_forms(places=True)
+        placed isn't ranked again, unless `slack` asks for room."""
+        how = How([c for c in self.columns if c not in _PLACED], holder, statement, call, entity, max_depth, slack)
+        if self.placed and not slack:
+            nodes = _from_places(self.nodes, how)
+            if entity is None:
+                return replace(self, nodes=nodes.withColumn("rep_id", F.col("id")).drop("__e"), edges=materialise(self.edges, "edges"), indexed=True, how=how, placed=False)
+        else:
+            nodes = _ranked(self.nodes.select(how.columns), how)
         if entity is None:
             nodes = nodes.withColumn("rep_id", F.col("id"))
         else:
             firsts = nodes.where("__e IS NOT NULL").groupBy("__e").agg(F.min_by("id", "rank").alias("__rep"))
             nodes = nodes.join(firsts, "__e", "left").withColumn("rep_id", F.coalesce("__rep", "id")).drop("__rep")
-        return replace(self, nodes=materialise(nodes.drop("__e"), "nodes"), edges=materialise(self.edges, "edges"), indexed=True, how=how)
+        return replace(self, nodes=materialise(nodes.drop("__e"), "nodes"), edges=materialise(self.edges, "edges"), indexed=True, how=how, placed=False)
 
     @property
     def columns(self) -> list[str]:
@@ -80,6 +88,7 @@ class Graph:
         """
         if not self.indexed or self.how is None or self.how.entity is not None:
             raise ValueError("index() the graph first, without entities")
+        self = replace(self, nodes=self.nodes.drop("above"))
         of = self.nodes.select(F.col("id").alias("__i"), "root_id")
         asked = [d.select(F.col(c).alias("__i")) for d, cs in ((insert, ["parent_id"]), (delete, ["id"]), (move, ["id", "new_parent"])) if d is not None for c in cs]
         touched = materialise(reduce(DataFrame.unionByName, asked).distinct().join(of, "__i").select("root_id").distinct(), "touched")
@@ -133,7 +142,8 @@ class Graph:
         """What the steps reach from each root (column id): root, node, via. via is the use that
         was crossed last; each step is a join, and sets stay sets at every step."""
         cur = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.col("id").alias("via").try_cast(dict(self.nodes.dtypes)["id"]))
-        cur = cur.withColumn("via", F.when(F.lit(False), F.col("via")))
+        # As a table: its size is known then, and a small one is broadcast.
+        cur = materialise(cur.withColumn("via", F.when(F.lit(False), F.col("via"))), "roots")
         for step in parse_steps(steps):
             cur = self._step(cur, step)
         return cur
@@ -146,10 +156,12 @@ class Graph:
             if step == "refers":
                 out = self._rep(out)
         elif step == "refers<":
-            reps = self._rep(cur)
-            decls = n.select(F.col("rep_id").alias("node"), F.col("id").alias("dst"))
             uses = self.edges.where("kind = 'refers'").select("dst", "src")
-            out = reps.join(decls, "node").join(uses, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
+            if self._alone:
+                decls = self._rep(cur).withColumnRenamed("node", "dst")
+            else:
+                decls = self._rep(cur).join(n.select(F.col("rep_id").alias("node"), F.col("id").alias("dst")), "node")
+            out = decls.join(uses, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
         elif step == "typed<":
             e = self.edges.where("kind = 'typed'").select(F.col("dst").alias("node"), "src")
             out = cur.join(e, "node").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
@@ -163,10 +175,15 @@ class Graph:
         else:
             column = {"contains<": "parent_id", "^fn": "top_id", "^stmt": "stmt_id"}[step]
             out = cur.join(n.select(F.col("id").alias("node"), F.col(column).alias("k")), "node").where("k IS NOT NULL").select("root", F.col("k").alias("node"), "via")
-            if step == "^fn":
+            if step == "^fn" and not self._alone:
                 out = self._rep(out)
         return out.distinct()
 
+    @property
+    def _alone(self) -> bool:
+        """Whether every node is the first of its entity."""
+        return self.how is not None and self.how.entity is None
+
     def _rep(self, cur: DataFrame) -> DataFrame:
         return cur.join(self.nodes.select(F.col("id").alias("node"), "rep_id"), "node").select("root", F.col("rep_id").alias("node"), "via")
 
@@ -281,7 +298,7 @@ class Graph:
         """Without the nodes (column id) and what they contain; edges out of them go, edges into
         them dangle until retargeted or discharged."""
         gone = materialise(self._subtree(ids), "gone")
-        return replace(self, nodes=self.nodes.join(gone, "id", "left_anti").select(self.nodes.columns), edges=self.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(self.edges.columns), indexed=False)
+        return replace(self, nodes=self.nodes.join(gone, "id", "left_anti").select(self.nodes.columns), edges=self.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(self.edges.columns), indexed=False, placed=False)
 
     def insert(self, nodes: DataFrame, edges: DataFrame | None = None) -> Graph:
         """With the nodes added, each at its parent_id and ord: those at or after an ord that new
@@ -339,6 +356,36 @@ def _ranked(nodes: DataFrame, how: How, starts: DataFrame | None = None) -> Data
     return reduce(DataFrame.unionByName, levels).join(ranks(levels, starts, how.slack), "id").drop("__h", "__s")
 
 
+#: The columns of read_forms(places=True); edits, which may change them, keep none.
+_PLACED = ("above", "__depth", "__size", "__root", "__local", "__part")
+
+
+def _from_places(nodes: DataFrame, how: How) -> DataFrame:
+    """As _ranked(), of placed nodes, without a shuffle: ranks are places in a partition behind the
+    nodes of those before it. Only holders and statements within trees are looked up, by ranges."""
+    deepest = nodes.agg(F.max("__depth")).first()[0]
+    if deepest is not None and deepest > how.max_depth:
+        raise ValueError(f"deeper than {how.max_depth}: is the containment a tree?")
+    parts = nodes.groupBy("__part").agg(F.count("*").alias("n"))
+    offsets = materialise(parts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset")), "offsets")
+    call = F.lit(False) if how.call is None else F.coalesce(how.call, F.lit(False))
+    entity = F.lit(None).cast("string") if how.entity is None else how.entity
+    flags = {"__h": F.coalesce(how.holder, F.lit(False)), "__s": F.coalesce(how.statement, F.lit(False))}
+    size = F.col("__size")
+    out = nodes.join(F.broadcast(offsets), "__part").withColumns(flags | {"in_call": call, "__e": entity})
+    top = F.col("parent_id").isNull()
+    said = out.agg(*(F.count_if(F.col(c) & ~top).alias(f"{c}in") for c in flags), *(F.count_if(F.col(c) & top).alias(f"{c}top") for c in flags), F.count_if(top).alias("tops")).first()
+    out = out.select(*how.columns, "above", "__h", "__s", "in_call", "__e", F.col("__depth").alias("depth"), F.col("__root").alias("root_id"), (F.col("__offset") + F.col("__local") + 1).alias("rank"), size.alias("size"), F.when(top, size).alias("room"))
+    for flag, name in (("__h", "top_id"), ("__s", "stmt_id")):
+        if not said[f"{flag}in"] and said[f"{flag}top"] in (0, said["tops"]):
+            out = out.withColumn(name, F.col("root_id") if said[f"{flag}top"] else F.lit(None).cast("string"))
+            continue
+        ranges = materialise(out.where(flag).select(F.col("id").alias(name), F.col("depth").alias("__d"), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi")), "ranges")
+        found = within(ranges, out.select("id", "rank")).groupBy("id").agg(F.max_by(name, "__d").alias(name))
+        out = materialise(out.join(found, "id", "left"), "nodes")
+    return out.drop("__h", "__s")
+
+
 def parse_steps(steps: str) -> list[str]:
     """The steps of a path: refers, typed and contains (each with < for the way back), inside,
     ^fn, ^stmt and call."""

@@ -28,10 +28,12 @@ def _shift(size: Column) -> Column:
 
 def within(ranges: DataFrame, points: DataFrame) -> DataFrame:
     """Rows of `ranges` (lo and hi, both in it) and of `points` (rank) where the rank lies in the range:
-    an equality join on buckets, then the range itself."""
+    an equality join on buckets, then the range itself. Points go to buckets of the sizes that ranges
+    have; ranges are read twice, so give a table."""
+    shifts = sorted(r[0] for r in ranges.select(_shift(F.col("hi") - F.col("lo") + 1)).distinct().collect()) or [SHIFTS[0]]
     wide = ranges.withColumn("__shift", _shift(F.col("hi") - F.col("lo") + 1))
     wide = wide.withColumn("__bucket", F.explode(F.expr("sequence(shiftright(lo, __shift), shiftright(hi, __shift))")))
-    near = points.withColumn("__shift", F.explode(F.array(*map(F.lit, SHIFTS)))).withColumn("__bucket", F.expr("shiftright(rank, __shift)"))
+    near = points.withColumn("__shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("__bucket", F.expr("shiftright(rank, __shift)"))
     return wide.join(near, ["__shift", "__bucket"]).where("rank BETWEEN lo AND hi").drop("__shift", "__bucket", "lo", "hi")
 
 
@@ -39,16 +41,10 @@ def below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """anc and id of each of the tops (column id) and every node under it, the top itself left out."""
     ranges = nodes.join(tops.select("id").distinct(), "id", "left_semi").where("size > 1")
     ranges = ranges.select(F.col("id").alias("anc"), (F.col("rank") + 1).alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
+    ranges = materialise(ranges, "ranges")
     return within(ranges, nodes.select("id", "rank")).select("anc", "id")
 
 
-def around(nodes: DataFrame, points: DataFrame, keep: list[str]) -> DataFrame:
-    """Each of the points (id and rank) with every node at or above it: the point's id, and of that node
-    the columns named by `keep` with `node_` before them."""
-    ranges = nodes.select(*(F.col(c).alias(f"node_{c}") for c in keep), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
-    return within(ranges, points.select("id", "rank")).drop("rank")
-
-
 def tree_levels(flat: DataFrame, max_depth: int) -> list[DataFrame]:
     """The nodes by depth, with depth, root_id, top_id and stmt_id (the nearest node at or above it that
     __h and __s hold for). One join a level."""

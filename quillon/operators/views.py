@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.tables import materialise
+
 from .graph import Graph, closure
-from .ranges import around
+from .ranges import within
 
 # The labels of an access in the order they are told, and the heads that decide one.
 LABELS = ("call", "read", "write", "update", "addr", "init", "type", "unevaluated", "label")
@@ -25,11 +27,26 @@ def _edges(graph: Graph, kind: str) -> DataFrame:
     return graph.edges.where(F.col("kind") == kind).select("src", "dst")
 
 
+def _above(graph: Graph, rows: DataFrame) -> DataFrame:
+    """rows (parent_id) with `above`, the head of the form around: placed forms have it."""
+    if "above" in rows.columns:
+        return rows
+    return rows.join(graph.nodes.where("head IS NOT NULL").select(F.col("id").alias("parent_id"), F.col("head").alias("above")), "parent_id", "left")
+
+
+def _with_above(graph: Graph, *columns: str) -> list[str]:
+    """The columns, and `above` where the nodes have it."""
+    return [*columns, *(["above"] if "above" in graph.nodes.columns else [])]
+
+
 def _lasts(graph: Graph, uses: DataFrame) -> DataFrame:
-    """Of the parents of uses that select a member: parent and the ord of the last kid."""
-    selections = graph.nodes.where(F.col("head").isin("->", ".")).select(F.col("id").alias("parent_id"))
-    parents = uses.select("parent_id").distinct().join(selections, "parent_id", "left_semi")
-    return graph.nodes.join(parents, "parent_id", "left_semi").groupBy(F.col("parent_id").alias("parent")).agg(F.max("ord").alias("last"))
+    """Of the parents of uses that select a member: parent_id and the ord of the last kid."""
+    if "above" in graph.nodes.columns:
+        kids = graph.nodes.where(F.col("above").isin("->", "."))
+    else:
+        selections = graph.nodes.where(F.col("head").isin("->", ".")).select(F.col("id").alias("parent_id"))
+        kids = graph.nodes.join(uses.select("parent_id").distinct().join(selections, "parent_id", "left_semi"), "parent_id", "left_semi")
+    return kids.groupBy("parent_id").agg(F.max("ord").alias("last"))
 
 
 def _around(head: Column, first: Column, array: Column) -> Column:
@@ -54,46 +71,70 @@ def access(graph: Graph, uses: DataFrame) -> DataFrame:
     selection of a member, or an array's index: all forms above the undecided uses are looked up
     by one join, whatever their depth. A use without a parent is read.
     """
+    return _access(graph, uses).select("id", "access")
+
+
+def _access(graph: Graph, uses: DataFrame) -> DataFrame:
+    """access(), with the uses' top_id."""
     nodes = graph.nodes
-    mine = nodes.join(uses.select("id").distinct(), "id", "left_semi")
-    targets = _edges(graph, "refers").join(nodes.select(F.col("id").alias("dst"), "head"), "dst")
-    named = targets.groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("head").isin(*TYPES)).alias("__type"), F.bool_or(F.col("head") == "label").alias("__label"))
-    rows = mine.join(named, "id", "left")
+    mine = nodes.select(*_with_above(graph, "id", "parent_id", "ord", "depth", "rank", "in_call", "top_id")).join(uses.select("id").distinct(), "id", "left_semi")
+    # Tables of what few nodes are: they are broadcast, and hot targets aren't dealt out.
+    said = materialise(nodes.where(F.col("head").isin(*TYPES, "label")).select(F.col("id").alias("dst"), "head"), "heads")
+    named = _edges(graph, "refers").join(said, "dst").groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("head").isin(*TYPES)).alias("__type"), F.bool_or(F.col("head") == "label").alias("__label"))
     plain = F.when(F.col("__type"), "type").when(F.col("__label"), "label").when(F.col("in_call"), "call")
-    rows = rows.select("id", "parent_id", "depth", "rank", plain.alias("__plain"))
+    rows = materialise(mine.join(named, "id", "left").withColumn("__plain", plain).drop("__type", "__label", "in_call"), "uses")
     open_ = rows.where("__plain IS NULL")
-    chain = around(nodes, open_, ["id", "parent_id", "ord", "depth"]).join(open_.select("id", "depth"), "id")
-    chain = chain.select("id", (F.col("depth") - F.col("node_depth")).alias("k"), F.col("node_id").alias("child"), F.col("node_parent_id").alias("parent"), F.col("node_ord").alias("ord"))
-    chain = chain.join(nodes.where("head IS NOT NULL").select(F.col("id").alias("parent"), "head"), "parent", "left")
-    arrays = _edges(graph, "typed").join(nodes.where("head = 'array'").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("child"))
+
+    head, first = F.col("above"), F.col("ord") == 1
+    asks = F.coalesce((head == "index") & first, F.lit(False))
+
+    def told(rows: DataFrame, said: Column) -> DataFrame:
+        """What a form says of a use, k forms up; or the child of an index, that may be an array."""
+        return rows.select("id", "k", F.when(~asks, said).alias("said"), F.when(asks, F.col("child")).alias("child"))
+
+    beyond = _around(head, first, F.lit(False))
+    here = _above(graph, open_).withColumns({"k": F.lit(0), "child": F.col("id")})
+    at_use = F.when(head == "at", "init").when(head.isin("->", "."), F.lit(None).cast("string")).otherwise(beyond)
+    pointed = here.where(head == "->").join(_lasts(graph, open_), "parent_id", "left")
+    told_by = told(here.where(~F.coalesce(head == "->", F.lit(False))), at_use)
+    told_by = told_by.unionByName(told(pointed, F.when(F.col("ord") < F.col("last"), "read")))
+    ranges = nodes.where("size > 1").select(*(F.col(c).alias(f"node_{c}") for c in ("id", "parent_id", "ord", "depth")), *_with_above(graph), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
+    chain = within(ranges, open_.select("id", "rank", "depth")).where("node_depth < depth")
+    chain = chain.select("id", (F.col("depth") - F.col("node_depth")).alias("k"), F.col("node_id").alias("child"), F.col("node_parent_id").alias("parent_id"), F.col("node_ord").alias("ord"), *_with_above(graph))
+    told_by = told_by.unionByName(told(_above(graph, chain), beyond))
+
+    nearest = told_by.groupBy("id").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("k"))).alias("said"), F.min(F.when(F.col("said").isNotNull(), F.col("k"))).alias("k"), F.collect_list(F.when(F.col("child").isNotNull(), F.struct("k", "child"))).alias("asked"))
+    arrays = materialise(_edges(graph, "typed").join(materialise(nodes.where("head = 'array'").select(F.col("id").alias("dst")), "heads"), "dst", "left_semi").select(F.col("src").alias("child")).distinct(), "arrays")
     through = _edges(graph, "refers").join(arrays.select(F.col("child").alias("dst")), "dst", "left_semi").select(F.col("src").alias("child"))
-    arrays = arrays.unionByName(through).distinct().withColumn("array", F.lit(True))
-    chain = chain.join(arrays, "child", "left").join(_lasts(graph, open_), "parent", "left")
-    head, first = F.col("head"), F.col("ord") == 1
-    beyond = _around(head, first, F.coalesce("array", F.lit(False)))
-    at_use = F.when(head == "at", "init").when((head == "->") & (F.col("ord") < F.col("last")), "read").when(head.isin("->", "."), F.lit(None).cast("string")).otherwise(beyond)
-    chain = chain.withColumn("said", F.when(F.col("k") == 0, at_use).otherwise(beyond))
-    decided = chain.groupBy("id").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("k"))).alias("__said"))
-    return rows.join(decided, "id", "left").select("id", F.coalesce("__plain", "__said").alias("access"))
+    asked = nearest.where("size(asked) > 0").select("id", F.explode("asked").alias("a")).select("id", F.col("a.k").alias("__k"), F.col("a.child").alias("child"))
+    # Of what isn't an array the index reads.
+    plain = asked.join(arrays.unionByName(through), "child", "left_anti").groupBy("id").agg(F.min("__k").alias("__k"))
+    decided = nearest.drop("asked").join(plain, "id", "left").select("id", F.when(F.col("__k") < F.coalesce("k", F.lit(1 << 30)), "read").otherwise(F.col("said")).alias("__said"))
+    return rows.join(decided, "id", "left").select("id", "top_id", F.coalesce("__plain", "__said").alias("access"))
 
 
 def use_forms(graph: Graph, uses: DataFrame) -> DataFrame:
     """id and form: of each use (column id) the least around it that says what it is: the call that
     it calls, the selection that selects it, the designator that it is in; else itself."""
-    mine = graph.nodes.join(uses.select("id").distinct(), "id", "left_semi").select("id", "parent_id", "ord", "in_call")
-    rows = mine.join(graph.nodes.select(F.col("id").alias("parent_id"), "head"), "parent_id", "left")
-    rows = rows.join(_lasts(graph, mine).withColumnRenamed("parent", "parent_id"), "parent_id", "left")
-    selected = F.col("head").isin("->", ".") & (F.col("last") > 1) & (F.col("ord") != 1)
-    outer = F.col("parent_id").isNotNull() & (F.col("in_call") | selected | (F.col("head") == "at"))
+    mine = graph.nodes.select(*_with_above(graph, "id", "parent_id", "ord", "in_call")).join(uses.select("id").distinct(), "id", "left_semi")
+    rows = materialise(_above(graph, mine), "uses")
+    # A kid at ord 2 or later says itself that there is one; only of a head others are asked.
+    asks = F.coalesce(F.col("above").isin("->", ".") & (F.col("ord") < 1), F.lit(False))
+    heads = materialise(rows.where(asks), "heads")
+    if heads.isEmpty():
+        rows = rows.withColumn("last", F.col("ord"))
+    else:
+        rows = rows.where(~asks).withColumn("last", F.col("ord")).unionByName(heads.join(_lasts(graph, heads), "parent_id", "left").select(*rows.columns, "last"))
+    selected = F.col("above").isin("->", ".") & (F.col("last") > 1) & (F.col("ord") != 1)
+    outer = F.col("parent_id").isNotNull() & (F.col("in_call") | selected | (F.col("above") == "at"))
     return rows.select("id", F.when(outer, F.col("parent_id")).otherwise(F.col("id")).alias("form"))
 
 
 def tally(graph: Graph, roots: DataFrame) -> DataFrame:
     """Uses of each root (column id) by what they do: root, access, place (of the access in LABELS),
     n and forms, the holders that they are in."""
-    found = graph.follow(roots, "refers<")
-    kinds = access(graph, found.select(F.col("node").alias("id"))).withColumnRenamed("id", "node")
-    rows = found.join(kinds, "node").join(graph.nodes.select(F.col("id").alias("node"), "top_id"), "node")
+    found = materialise(graph.follow(roots, "refers<").select("root", "node"), "found")
+    rows = found.join(_access(graph, found.select(F.col("node").alias("id"))).withColumnRenamed("id", "node"), "node")
     rows = rows.groupBy("root", "access").agg(F.count("*").alias("n"), F.count_distinct("top_id").alias("forms"))
     return rows.withColumn("place", F.array_position(F.array(*map(F.lit, LABELS)), F.col("access")))
 
@@ -105,7 +146,7 @@ def members(graph: Graph, types: DataFrame, most: int = 1_000) -> DataFrame:
     inner = graph.nodes.where(F.col("head").isin(*AGGREGATES) & (F.col("ord") == 0)).select(F.col("parent_id").alias("member"), F.col("id").alias("inner"))
     here, out = types.select(F.col("id").alias("type"), F.col("id").alias("within")).distinct(), None
     for _ in range(most):
-        found = here.join(lists, "within").join(inner, "member", "left")
+        found = materialise(here.join(lists, "within").join(inner, "member", "left").select("type", "member", "inner"), "members")
         named = found.where("inner IS NULL").select("type", "member")
         out = named if out is None else out.unionByName(named)
         here = found.where("inner IS NOT NULL").select("type", F.col("inner").alias("within"))

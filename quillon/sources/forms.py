@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +14,89 @@ from quillon.operators.graph import Graph
 from quillon.plans.tables import materialise
 
 NODES = "unit bigint, id string, parent_id string, ord bigint, head string, atom string, label string"
+#: What index() needs of a form's place, for read_forms(places=True).
+PLACED = "above string, __depth int, __size bigint, __root string, __local bigint, __part int"
 EDGES = "src string, dst string, kind string"
 TOKEN = re.compile(r'\(|\)|"(?:[^"\\]|\\.)*"|[^\s()"]+')
 
 
-def read_forms(units: DataFrame, unit: str = "unit", text: str = "text") -> Graph:
+def read_forms(units: DataFrame, unit: str = "unit", text: str = "text", places: bool = False) -> Graph:
     """The graph of S-expressions, one top form a row. Nodes are named by unit and place; an atom
-    @NAME refers to the form (head NAME ...) of that name, in any unit."""
+    @NAME refers to the form (head NAME ...) of that name, in any unit.
+
+    With `places`, top forms are dealt out in the source's order before they are read, so that nodes
+    are written with their place in it, and index() has no trees to join. Nodes have `above` then, the
+    head of the form around them. A unit's number may not stand in two rows."""
+    schema = f"{NODES}, {PLACED}" if places else NODES
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODES.split(", ")]
         for batch in batches:
             out = []
             for u, t in zip(batch["unit"], batch["text"], strict=True):
                 out += _nodes(int(u), t or "")
             yield pd.DataFrame(out, columns=columns).astype({"unit": "int64", "ord": "int64"})
 
-    nodes = materialise(units.select(F.col(unit).cast("bigint").alias("unit"), F.col(text).alias("text")).mapInPandas(run, NODES), "forms")
-    names = nodes.where("label IS NOT NULL AND parent_id IS NULL").groupBy("label").agg(F.min_by("id", F.struct("unit", "id")).alias("dst"))
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(u, k, f"{u}.{k}", form) for u, t in zip(batch["unit"], batch["text"], strict=True) for k, form in enumerate(_tops(int(u), t or ""))]
+            yield pd.DataFrame(out, columns=["unit", "ord", "id", "text"]).astype({"unit": "int64", "ord": "int64"})
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            out = []
+            for u, k, t in zip(batch["unit"], batch["ord"], batch["text"], strict=True):
+                rows = _nodes(int(u), t, int(k))
+                out += [(*row, *at, local + n, part) for n, (row, at) in enumerate(zip(rows, _places(rows), strict=True))]
+                local += len(rows)
+            yield pd.DataFrame(out, columns=columns).astype({"unit": "int64", "ord": "int64"})
+
+    texts = units.select(F.col(unit).cast("bigint").alias("unit"), F.col(text).alias("text"))
+    if places:
+        texts = texts.mapInPandas(split, "unit bigint, ord bigint, id string, text string")
+        texts = texts.repartitionByRange("ord", "id").sortWithinPartitions("ord", "id").select("unit", "ord", "text")
+        nodes = materialise(texts.mapInPandas(placed, schema), "forms")
+    else:
+        nodes = materialise(texts.mapInPandas(run, schema), "forms")
     uses = nodes.where("atom LIKE '@%'").select(F.col("id").alias("src"), F.substring("atom", 2, 1 << 30).alias("label"))
-    return Graph(nodes, uses.join(names, "label").select("src", "dst", F.lit("refers").alias("kind")))
+    # As tables: where few names are used, however often, they are broadcast.
+    asked = materialise(uses.select("label").distinct(), "names")
+    names = nodes.where("label IS NOT NULL AND parent_id IS NULL").join(asked, "label", "left_semi")
+    names = materialise(names.groupBy("label").agg(F.min_by("id", F.struct("unit", "id")).alias("dst")), "names")
+    return Graph(nodes, uses.join(names, "label").select("src", "dst", F.lit("refers").alias("kind")), placed=places)
+
+
+def _tops(unit: int, text: str) -> Iterator[str]:
+    """The top forms of a unit's text."""
+    depth = begin = 0
+    for token in TOKEN.finditer(text):
+        begin = begin if depth else token.start()
+        depth += (token[0] == "(") - (token[0] == ")")
+        if depth < 0:
+            raise ValueError(f"unit {unit}: unexpected )")
+        if not depth:
+            yield text[begin : token.end()]
+    if depth:
+        raise ValueError(f"unit {unit}: missing )")
+
+
+def _places(rows: list[tuple]) -> list[tuple]:
+    """above, depth, size and root of each of one top form's rows."""
+    out, at = [], {}
+    for n, (_, name, parent, *_) in enumerate(rows):
+        up = at.get(parent)
+        at[name] = n
+        out.append([None if up is None else rows[up][4], 0 if up is None else out[up][1] + 1, 1, rows[0][1]])
+    for n in range(len(rows) - 1, 0, -1):
+        out[at[rows[n][2]]][2] += out[n][2]
+    return [tuple(x) for x in out]
 
 
-def _nodes(unit: int, text: str) -> list[tuple]:
-    """The rows of one unit's forms; a list's head is its first atom, its label the second."""
-    out, stack, roots = [], [], 0
+def _nodes(unit: int, text: str, roots: int = 0) -> list[tuple]:
+    """The rows of one unit's forms, of which the first is its top form `roots`; a list's head is its
+    first atom, its label the second."""
+    out, stack = [], []
     for token in TOKEN.findall(text):
         if token == ")":
             if not stack:

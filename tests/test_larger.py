@@ -5,12 +5,15 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
 from quillon.functions import codecs
-from quillon.operators import fixpoints, graph
+from quillon.operators import fixpoints, graph, views
+from quillon.operators.graph import Graph
 from quillon.queries import ORACLE_SQL, QUERIES
+from quillon.sources.forms import read_forms
 
 from .oracle import compare
 
@@ -84,3 +87,35 @@ def test_distances(spark, kind, joins, monkeypatch):
     got = fixpoints.distances(spark.createDataFrame([(r,) for r in roots], "id int"), spark.createDataFrame(edges, "src int, dst int")).collect()
     assert {r.id: r.round for r in got} == want and len(got) == len(want)
     assert written.count("now") <= joins
+
+
+CODE = ["(defn f0 (= @o 1) (at @a 3)) (def more)", "(def o)", "(def a (array 4))", "x (defn f1 (= (index @a 1) 2) (call @o (-> (paren @o) m)))", "(defn f2 (-> @o) (. (index @o 1) m) ((nested (call @more 1)) ()) (@o -> m))", "", "()", "(defn f10 (struct t (label here)) (goto @here) (-> p @o))"]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_placed_forms(spark, whole, monkeypatch):
+    """Forms placed as they are read are indexed and viewed as others are, and no level of their trees is joined."""
+    holder = F.col("parent_id").isNull() & F.lit(True) if whole else F.col("head").isin("call", "nested", "defn")
+    got = []
+    for places in (True, False):
+        code = read_forms(spark.createDataFrame([(k * 7 % 11, x) for k, x in enumerate(CODE)], "unit bigint, text string").repartition(3), places=places)
+        kinds = code.nodes.where("label = 'a'").select(F.col("id").alias("src"), F.concat(F.split("id", "\\.")[0], F.lit(".0.2")).alias("dst"), F.lit("typed").alias("kind"))
+        code = Graph(code.nodes.withColumn("called", F.col("atom") == "@o"), code.edges.unionByName(kinds), placed=places)
+        with monkeypatch.context() as m:
+            if places:
+                m.setattr(graph, "tree_levels", None)
+            code = code.index(holder=holder, statement=F.col("head") == "call", call=F.col("called"))
+        uses = code.nodes.where("atom LIKE '@%' OR head = 'index'").select("id")
+        roots = code.nodes.where("head = 'def'").select("id")
+        columns = ["id", "parent_id", "depth", "root_id", "rank", "size", "room", "top_id", "stmt_id", "rep_id", "in_call"]
+        views_ = [code.nodes.select(columns), code.edges, views.access(code, uses), views.use_forms(code, uses), views.tally(code, roots), code.callers(roots, 2)]
+        got.append([sorted(map(str, df.select(sorted(df.columns)).collect())) for df in views_])
+        new = spark.createDataFrame([("new", None, 9, "defn", None, "f")], "id string, parent_id string, ord bigint, head string, atom string, label string")
+        got[-1].append(sorted(map(str, code.update(insert=new).nodes.select(columns).collect())))
+    assert got[0] == got[1] and all(got[0])
+
+
+@pytest.mark.parametrize("text", ["(a", "a)", "(a))", "(b) (a"])
+def test_placed_forms_that_do_not_close(spark, text):
+    with pytest.raises(Exception, match="missing|unexpected"):
+        read_forms(spark.createDataFrame([(1, text)], "unit bigint, text string"), places=True)
