@@ -471,11 +471,10 @@ def text_insert(t):
 
 @query(_LINES + "SELECT buf, ln, CASE WHEN ln > 3 THEN line WHEN line = '' THEN '' ELSE '    ' || line END AS right_, CASE WHEN ln > 3 THEN line WHEN line = '' THEN '' ELSE '  ' || line END AS left_, CASE WHEN ln > 3 THEN line ELSE upper(replace(line, 'ß', 'ss')) END AS up, CASE WHEN ln > 3 THEN line ELSE lower(line) END AS low FROM lines")
 def text_shift(t):
-    b = _buffers(t)
-    right = tx.shift(b, (1, 3), 4)
+    rows = tx.shift(_buffers(t), (1, 3), 4, into="right_")
     # One level back of what has been shifted.
-    parts = {"right_": right, "left_": tx.shift(right, (1, 3), 2, left=True), "up": tx.upper(b, (1, 3)), "low": tx.lower(b, (1, 3))}
-    return reduce(lambda x, y: x.join(y, ["buf", "ln"]), [p.withColumnRenamed("line", n) for n, p in parts.items()])
+    rows = tx.shift(rows, (1, 3), 2, left=True, line="right_", into="left_")
+    return tx.lower(tx.upper(rows, (1, 3), into="up"), (1, 3), into="low").drop("line")
 
 
 @query(_LINES + "SELECT buf, ln, lpad(ln::VARCHAR, greatest(3, length(ln::VARCHAR))::INT, ' ') || ' ' || line AS shown FROM lines WHERE ln <= 3")

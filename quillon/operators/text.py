@@ -235,18 +235,21 @@ def _closed(buffer: DataFrame, first: int, last: int) -> DataFrame:
     return buffer.where(~ln.between(first, last)).withColumn("ln", F.when(ln > last, ln - (last - first)).otherwise(ln))
 
 
-def shift(buffer: DataFrame, range_: Range, width: int = 8, left: bool = False) -> DataFrame:
-    """:> and :< - indents by `width`, with spaces; empty lines stay."""
-    new = F.regexp_replace("line", rf"^ {{1,{width}}}", "") if left else F.when(F.col("line") == "", "").otherwise(F.concat(F.lit(" " * width), "line"))
-    return buffer.withColumn("line", F.when(_in(range_), new).otherwise(F.col("line")))
+def shift(buffer: DataFrame, range_: Range, width: int = 8, left: bool = False, line: str = "line", into: str | None = None) -> DataFrame:
+    """:> and :< - indents by `width`, with spaces; empty lines stay. Here and in upper() and lower()
+    `line` names the column that is read, and `into` that which the result is put in, `line` itself
+    if none is named: several edits of one buffer are several columns then, and nothing is joined."""
+    old = F.col(line)
+    new = F.regexp_replace(old, rf"^ {{1,{width}}}", "") if left else F.when(old == "", "").otherwise(F.concat(F.lit(" " * width), old))
+    return buffer.withColumn(into or line, F.when(_in(range_), new).otherwise(old))
 
 
-def upper(buffer: DataFrame, range_: Range) -> DataFrame:
-    return buffer.withColumn("line", F.when(_in(range_), F.upper("line")).otherwise(F.col("line")))
+def upper(buffer: DataFrame, range_: Range, line: str = "line", into: str | None = None) -> DataFrame:
+    return buffer.withColumn(into or line, F.when(_in(range_), F.upper(line)).otherwise(F.col(line)))
 
 
-def lower(buffer: DataFrame, range_: Range) -> DataFrame:
-    return buffer.withColumn("line", F.when(_in(range_), F.lower("line")).otherwise(F.col("line")))
+def lower(buffer: DataFrame, range_: Range, line: str = "line", into: str | None = None) -> DataFrame:
+    return buffer.withColumn(into or line, F.when(_in(range_), F.lower(line)).otherwise(F.col(line)))
 
 
 def yank(buffer: DataFrame, range_: Range) -> DataFrame:

@@ -41,6 +41,12 @@ def test_codecs_of_equal_texts(monkeypatch):
     assert parsed.count(short) == 1 and parsed.count(long) == 3
 
 
+def test_edits_into_columns(spark, sf_dir):
+    """Several edits of one buffer are columns of it: the plan has no join."""
+    df = QUERIES["text_shift"](spark, sf_dir)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and df.columns == ["buf", "ln", "right_", "left_", "up", "low"]
+
+
 def walked(seeds, edges):
     """Pairs of a seed and what it reaches, and the least distances, by search."""
     out, to = {}, {}
