@@ -364,7 +364,7 @@ def _from_places(nodes: DataFrame, how: How) -> DataFrame:
     """As _ranked(), of placed nodes, without a shuffle: ranks are places in a partition behind the
     nodes of those before it. Only holders and statements within trees are looked up, by ranges."""
     deepest = nodes.agg(F.max("__depth")).first()[0]
-    if deepest is not None and deepest > how.max_depth:
+    if deepest is not None and deepest >= how.max_depth:
         raise ValueError(f"deeper than {how.max_depth}: is the containment a tree?")
     parts = nodes.groupBy("__part").agg(F.count("*").alias("n"))
     offsets = materialise(parts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset")), "offsets")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import quillon.function_queries  # noqa: F401
 import quillon.graph_queries  # noqa: F401
 from quillon.functions import codecs
-from quillon.operators import fixpoints, graph, views
+from quillon.operators import fixpoints, graph, ranges, views
 from quillon.operators.graph import Graph
 from quillon.queries import ORACLE_SQL, QUERIES
 from quillon.sources.forms import read_forms
@@ -47,6 +47,26 @@ def test_edits_into_columns(spark, sf_dir):
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and df.columns == ["buf", "ln", "right_", "left_", "up", "low"]
 
 
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_places(spark, parts):
+    """Sums over earlier kids, of parents whose kids are spread over partitions; they are dealt out once."""
+    rng = random.Random(parts)
+    rows = [(f"k{k:03}", rng.choice(["a", "b", "b", "b", f"c{k % 9}"]), rng.randrange(50), rng.randrange(5)) for k in range(200)]
+    # Adaptive execution would make one of such small partitions.
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = ranges.places(spark.createDataFrame(rows, "id string, parent_id string, ord bigint, v bigint"), F.col("v"), "before")
+        got = {r.id: r.before for r in df.collect()}
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    key = lambda r: (r[2], r[0])
+    assert got == {r[0]: sum(x[3] for x in rows if x[1] == r[1] and key(x) < key(r)) for r in rows}
+
+
 def walked(seeds, edges):
     """Pairs of a seed and what it reaches, and the least distances, by search."""
     out, to = {}, {}
