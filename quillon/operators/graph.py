@@ -152,19 +152,20 @@ class Graph:
         n = self.nodes
         if step in ("refers", "typed"):
             e = self.edges.where(F.col("kind") == step).select(F.col("src").alias("node"), "dst")
-            out = cur.join(e, "node").select("root", F.col("dst").alias("node"), F.col("node").alias("via"))
             if step == "refers":
-                out = self._rep(out)
+                # Targets' entities as a table: hot ones, which are few, are broadcast.
+                e = e.join(materialise(targets(e).join(n.select(F.col("id").alias("dst"), "rep_id"), "dst"), "targets"), "dst").select("node", F.col("rep_id").alias("dst"))
+            out = cur.join(e, "node").select("root", F.col("dst").alias("node"), F.col("node").alias("via"))
         elif step == "refers<":
             uses = self.edges.where("kind = 'refers'").select("dst", "src")
             if self._alone:
                 decls = self._rep(cur).withColumnRenamed("node", "dst")
             else:
                 decls = self._rep(cur).join(n.select(F.col("rep_id").alias("node"), F.col("id").alias("dst")), "node")
-            out = decls.join(uses, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
+            out = _at(decls, uses).join(uses, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
         elif step == "typed<":
-            e = self.edges.where("kind = 'typed'").select(F.col("dst").alias("node"), "src")
-            out = cur.join(e, "node").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
+            e = self.edges.where("kind = 'typed'").select("dst", "src")
+            out = _at(cur.select("root", F.col("node").alias("dst")), e).join(e, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))
         elif step == "contains":
             out = cur.join(n.select(F.col("parent_id").alias("node"), F.col("id").alias("k")), "node").select("root", F.col("k").alias("node"), "via")
         elif step == "inside":
@@ -348,6 +349,17 @@ class Graph:
         raise ValueError(f"edges still dangle after {most} rounds")
 
 
+def targets(edges: DataFrame) -> DataFrame:
+    """The edges' different targets (dst), as a table."""
+    return materialise(edges.select("dst").distinct(), "targets")
+
+
+def _at(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows (dst) that edges lead to, as a table: where all edges lead to few nodes, these are
+    broadcast, and no task sorts all edges of one."""
+    return materialise(rows.join(targets(edges), "dst", "left_semi"), "ends")
+
+
 def _ranked(nodes: DataFrame, how: How, starts: DataFrame | None = None) -> DataFrame:
     """The nodes with all columns of the index but rep_id, and __e, the entity."""
     call = F.lit(False) if how.call is None else F.coalesce(how.call, F.lit(False))
