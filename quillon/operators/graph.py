@@ -122,8 +122,10 @@ class Graph:
     # -- integrity and counts --------------------------------------------------------------
 
     def dangling(self) -> DataFrame:
-        """The edges whose target isn't held."""
-        return self.edges.join(self.nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(self.edges.columns)
+        """The edges whose target isn't held. Targets are looked up once each, so that hot ones aren't
+        dealt out to one task with all their edges."""
+        gone = materialise(targets(self.edges).join(self.nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("__d")), "gone")
+        return self.edges.join(gone, F.col("dst").eqNullSafe(F.col("__d")), "left_semi").select(self.edges.columns)
 
     def census(self) -> DataFrame:
         """One row of counts: nodes, lists, atoms, edges by kind, dangling edges."""

@@ -37,3 +37,11 @@ def test_steps_send_no_hot_target_to_one_task(hot):
     found = hot.follow(every, "refers")  # by the uses, each of which has one
     assert plan(found).count("SortMergeJoin") == 1 and found.count() == N
     assert {r.node for r in found.select("node").distinct().collect()} == {"d"}
+
+
+def test_dangling_sends_no_hot_target_to_one_task(spark, hot):
+    gone = Graph(hot.nodes.where("head <> 'def'"), hot.edges.unionByName(spark.createDataFrame([("u1", None, "refers")], hot.edges.schema)))
+    found = gone.dangling()
+    assert "SortMergeJoin" not in plan(found) and found.count() == N + 1
+    left = gone.fall_out(lambda graph, bad: bad.where("src <> 'u0' OR dst IS NOT NULL").select(F.col("src").alias("id")))
+    assert left.nodes.count() == 1 and left.edges.isEmpty()
