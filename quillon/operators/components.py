@@ -127,7 +127,10 @@ def content_hashes(graph, nominal: Column | None = None) -> DataFrame:
     edges = graph.edges.select(F.col("src").alias("id"), F.concat(F.lit("edge:"), F.coalesce("kind", F.lit(""))).alias("role"), F.col("dst").alias("dep")).distinct()
     edges = edges.join(nodes.select("id"), "id", "left_semi")
     said = nodes.select(F.col("id").alias("dep"), (F.coalesce(nominal, F.lit(False)) if nominal is not None else F.lit(False)).alias("__by"), "label")
-    edges = edges.join(said.withColumn("__held", F.lit(True)), "dep", "left").select("id", F.when(F.col("__held").isNull(), F.concat("role", F.lit("?"))).when(F.col("__by"), F.concat("role", F.lit("="), F.coalesce("label", F.lit("")))).otherwise(F.col("role")).alias("role"), F.when(F.col("__held") & ~F.col("__by"), F.col("dep")).alias("dep"))
+    # Targets are looked up once each, as tables: hot ones, which are few, are broadcast.
+    ends = materialise(graph.edges.select(F.col("dst").alias("dep")).distinct(), "ends")
+    said = materialise(ends.join(said, "dep").withColumn("__held", F.lit(True)), "said")
+    edges = edges.join(said, "dep", "left").select("id", F.when(F.col("__held").isNull(), F.concat("role", F.lit("?"))).when(F.col("__by"), F.concat("role", F.lit("="), F.coalesce("label", F.lit("")))).otherwise(F.col("role")).alias("role"), F.when(F.col("__held") & ~F.col("__by"), F.col("dep")).alias("dep"))
     deps = materialise(kids.unionByName(edges), "deps")
     fixed = deps.where("dep IS NULL").groupBy("id").agg(F.count("*").alias("n"), *_sums(F.col("role")))
     need = deps.groupBy("id").agg(F.count("*").alias("need"))
@@ -136,7 +139,12 @@ def content_hashes(graph, nominal: Column | None = None) -> DataFrame:
     deps = deps.where("dep IS NOT NULL")
 
     def gained(fresh: DataFrame, links: DataFrame) -> DataFrame:
-        return links.join(fresh.select(F.col("id").alias("dep"), "hash"), "dep").groupBy("id").agg(F.count("*").alias("n"), *_sums(F.col("role"), F.col("hash")))
+        """What links add to the bags of nodes: a kid has one parent, targets that edges lead to may have
+        any number, so those are joined by themselves."""
+        fresh = fresh.select(F.col("id").alias("dep"), "hash")
+        edge = F.col("role").startswith("edge:")
+        rows = [part.select("id", "role", "dep").join(hashes, "dep") for part, hashes in ((links.where(~edge), fresh), (links.where(edge), materialise(fresh.join(ends, "dep", "left_semi"), "targets")))]
+        return rows[0].unionByName(rows[1]).groupBy("id").agg(F.count("*").alias("n"), *_sums(F.col("role"), F.col("hash")))
 
     ready = base.where("need = coalesce(n, 0)")
     fresh, n = counted(ready.select("id", _plain().alias("hash")), "hashes")

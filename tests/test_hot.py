@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import components
 from quillon.operators.graph import Graph
 
 N = 20_000
@@ -45,3 +46,18 @@ def test_dangling_sends_no_hot_target_to_one_task(spark, hot):
     assert "SortMergeJoin" not in plan(found) and found.count() == N + 1
     left = gone.fall_out(lambda graph, bad: bad.where("src <> 'u0' OR dst IS NOT NULL").select(F.col("src").alias("id")))
     assert left.nodes.count() == 1 and left.edges.isEmpty()
+
+
+def test_content_hashes_send_no_hot_target_to_one_task(hot, monkeypatch):
+    seen = []
+
+    def materialise(df, what="table", write=components.materialise):
+        seen.append((what, plan(df)))
+        return write(df, what)
+
+    monkeypatch.setattr(components, "materialise", materialise)
+    got = components.content_hashes(hot).join(hot.nodes, "id").groupBy("head").agg(F.count("*"), F.count_distinct("hash")).collect()
+    assert sorted(map(tuple, got)) == [("def", 1, 1), ("type", 1, 1), ("use", N, 1)]
+    (deps,) = [p for what, p in seen if what == "deps"]
+    bags = [p for what, p in seen if what == "bags"]
+    assert "SortMergeJoin [dep" not in deps and len(bags) > 1 and all("BroadcastHashJoin" in p for p in bags)
