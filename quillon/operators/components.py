@@ -35,12 +35,13 @@ def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
     that are left, and so on; and how many there are."""
     now, n = counted(edges, "trimmed")
     while n:
-        ends = now.select(F.col("src").alias("id")).distinct().join(now.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        ends = materialise(ends, "ends")
-        kept, m = counted(now.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "trimmed")
+        # One end after the other, so that hot targets, which are few, are broadcast.
+        m = n
+        for end, other in (("src", "dst"), ("dst", "src")):
+            ends = materialise(now.select(F.col(other).alias(end)).distinct(), "ends")
+            now, n = counted(now.join(ends, end, "left_semi").select("src", "dst"), "trimmed")
         if m == n:
             break
-        now, n = kept, m
     return now, n
 
 
@@ -146,24 +147,44 @@ def content_hashes(graph, nominal: Column | None = None) -> DataFrame:
         rows = [part.select("id", "role", "dep").join(hashes, "dep") for part, hashes in ((links.where(~edge), fresh), (links.where(edge), materialise(fresh.join(ends, "dep", "left_semi"), "targets")))]
         return rows[0].unionByName(rows[1]).groupBy("id").agg(F.count("*").alias("n"), *_sums(F.col("role"), F.col("hash")))
 
+    def rounds(held: DataFrame, fresh: DataFrame, n: int, waiting: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Those of `held` that can be hashed, a round for each time that hashes are new: done, what is
+        waiting, and how many were hashed."""
+        k = m = 0
+        while n:
+            bags = _bags(waiting.unionByName(gained(fresh, deps))).join(held, "id")
+            bags = materialise(bags, "bags")
+            fresh, n = counted(bags.where("n = need").select("id", _plain().alias("hash")), "hashes")
+            waiting = bags.where("n < need").select("id", "n", "s1", "s2")
+            k, m = k + 1, m + n
+            done = done.unionByName(fresh) if k % ROUNDS else materialise(done.unionByName(fresh), "hashes")
+        return done, waiting, m
+
     ready = base.where("need = coalesce(n, 0)")
-    fresh, n = counted(ready.select("id", _plain().alias("hash")), "hashes")
+    fresh, first = counted(ready.select("id", _plain().alias("hash")), "hashes")
     waiting = materialise(waiting.join(fresh.select("id"), "id", "left_anti"), "waiting")
-    done, k = fresh, 0
-    while n:
-        bags = _bags(waiting.unionByName(gained(fresh, deps))).join(held, "id")
-        bags = materialise(bags, "bags")
-        fresh, n = counted(bags.where("n = need").select("id", _plain().alias("hash")), "hashes")
-        waiting = bags.where("n < need").select("id", "n", "s1", "s2")
-        k += 1
-        done = done.unionByName(fresh) if k % ROUNDS else materialise(done.unionByName(fresh), "hashes")
+    done, waiting, m = rounds(held, fresh, first, waiting, fresh)
     open_, n = counted(held.join(done, "id", "left_anti"), "open")
-    return _units(open_, deps, waiting, done, gained) if n else done.select("id", "hash")
+    if not n:
+        return done.select("id", "hash")
+    # What waits for something open is open; either side may be the small one.
+    if n < first + m:
+        links = deps.join(open_.select(F.col("id").alias("dep")), "dep", "left_semi")
+    else:
+        links = deps.join(done.select(F.col("id").alias("dep")), "dep", "left_anti")
+    core, _ = _trim(links.select(F.col("id").alias("src"), F.col("dep").alias("dst")))
+    core = materialise(core.select(F.col("src").alias("id")).distinct(), "core")
+    fresh = _units(open_.join(core, "id", "left_semi"), links.join(core, "id", "left_semi"), waiting.join(core, "id", "left_semi"), gained)
+    # No cycle leads to the others: they are above those that do.
+    rest = materialise(open_.join(core, "id", "left_anti"), "open")
+    done, _, _ = rounds(rest, fresh, n, waiting, done.unionByName(fresh))
+    return done.select("id", "hash")
 
 
-def _units(open_: DataFrame, deps: DataFrame, waiting: DataFrame, done: DataFrame, gained) -> DataFrame:
-    """The hashes of all nodes, when those of `open_` wait for one another."""
-    links = materialise(deps.join(open_.select("id"), "id", "left_semi").join(open_.select(F.col("id").alias("dep")), "dep", "left_semi").select("id", "role", "dep"), "links")
+def _units(open_: DataFrame, links: DataFrame, waiting: DataFrame, gained) -> DataFrame:
+    """id and hash of the nodes `open_`, which wait for one another along `links` (id, role, dep) alone:
+    they lie on cycles or between them."""
+    links = materialise(links.select("id", "role", "dep"), "links")
     found = strong_components(links.select(F.col("id").alias("src"), F.col("dep").alias("dst")))
     units = materialise(open_.join(found, "id", "left").withColumn("unit", F.coalesce("component", "id")).drop("component"), "units")
     ends = units.select("id", "unit")
@@ -171,7 +192,7 @@ def _units(open_: DataFrame, deps: DataFrame, waiting: DataFrame, done: DataFram
     inner = materialise(links.where("unit = to").select("id", "role", "dep", "unit"), "inner")
     outer = materialise(links.where("unit <> to").select("id", "role", "dep", "unit"), "outer")
     loose, left = outer, units.select("unit").distinct()
-    bags = waiting
+    bags, done = waiting, None
     while True:
         ready, n = counted(left.join(loose.select("unit").distinct(), "unit", "left_anti"), "ready")
         if not n:
@@ -181,11 +202,11 @@ def _units(open_: DataFrame, deps: DataFrame, waiting: DataFrame, done: DataFram
         cyclic = inner.join(ready, "unit", "left_semi").select("id", "role", "dep")
         now = _refined(now, materialise(cyclic, "inner"))
         fresh = materialise(now, "hashes")
-        done = done.unionByName(fresh)
+        done = fresh if done is None else done.unionByName(fresh)
         left = materialise(left.join(ready, "unit", "left_anti"), "left")
         bags = materialise(_bags(bags.unionByName(gained(fresh, outer))), "bags")
         loose = materialise(loose.join(fresh.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", "role", "dep", "unit"), "loose")
-    return done.select("id", "hash")
+    return materialise(done.select("id", "hash"), "hashes")
 
 
 def _refined(now: DataFrame, inner: DataFrame) -> DataFrame:

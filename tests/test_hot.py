@@ -61,3 +61,24 @@ def test_content_hashes_send_no_hot_target_to_one_task(hot, monkeypatch):
     (deps,) = [p for what, p in seen if what == "deps"]
     bags = [p for what, p in seen if what == "bags"]
     assert "SortMergeJoin [dep" not in deps and len(bags) > 1 and all("BroadcastHashJoin" in p for p in bags)
+
+
+@pytest.mark.parametrize("ring", [1, 3])
+def test_only_what_is_on_cycles_or_between_is_hashed_as_units(spark, monkeypatch, ring):
+    """Two rings with a node between them, and 40 nodes above: these are hashed as any others."""
+    names = [f"{r}{k}" for r in "ab" for k in range(ring)]
+    edges = [(f"{r}{k}", f"{r}{(k + 1) % ring}") for r in "ab" for k in range(ring)] + [("a0", "between"), ("between", "b0"), ("b0", "leaf")]
+    edges += [(f"x{k}", "a0" if k < 20 else f"x{k - 20}") for k in range(40)] + [("x0", "leaf")]
+    names += ["between", "leaf", *(f"x{k}" for k in range(40))]
+    graph = Graph(spark.createDataFrame([(x, None, 1, "n", None, None) for x in names], "id string, parent_id string, ord bigint, head string, atom string, label string"), spark.createDataFrame([(a, b, "refers") for a, b in edges], "src string, dst string, kind string"))
+    seen = []
+
+    def units(open_, *rest, made=components._units):
+        seen.append(open_.count())
+        return made(open_, *rest)
+
+    monkeypatch.setattr(components, "_units", units)
+    got = {r.id: r.hash for r in components.content_hashes(graph).collect()}
+    assert seen == [2 * ring + 1] and set(got) == set(names)
+    assert len({got[f"x{k}"] for k in range(1, 20)}) == 1 and len({got[f"x{k}"] for k in range(21, 40)}) == 1
+    assert len({got[x] for x in ("x0", "x1", "x20", "x21", "between", "leaf", "a0", "b0")}) == 8
