@@ -10,6 +10,7 @@ one of its own pieces does (PieceVocabulary.whole).
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -83,8 +84,8 @@ class Known:
         if len(self.place) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.forget()
         slot, words = _bpe.distinct(joined, starts)
-        names = words.to_pylist()
-        place = np.array([self.place.get(w, -1) for w in names], np.int64)
+        names = words.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes a scalar of each first
+        place = np.fromiter(map(self.place.get, names, itertools.repeat(-1)), np.int64, len(names))
         missing = np.flatnonzero(place < 0)
         if len(missing):
             new, at = [names[k] for k in missing.tolist()], len(self.place)
