@@ -23,6 +23,8 @@ from ._pieces import Grown, Known, byte_vocabulary, cut
 SEGMENT = 1 << 18
 #: Bits of a bitmap that one entry of its rank directory counts.
 BLOCK = 512
+#: Bytes of text that are cut into pieces at once: the more, the fewer pieces are looked up again.
+CUT_BYTES = 1 << 20
 #: The id that ends each document.
 END = 0
 #: Bytes of a Parquet row group, so that reading one segment reads little else.
@@ -196,7 +198,7 @@ class TokenFiles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _ENCODERS.get((path, end)) or _ENCODERS.setdefault((path, end), _Encoder(path, end))
             part, number, first, held = TaskContext.get().partitionId(), 0, 0, ([], [], [])
-            for rows, texts in text_chunks(batches):
+            for rows, texts in text_chunks(batches, CUT_BYTES):
                 for x, new in zip(held, (*encoder.encode(texts), rows.column(0)), strict=True):
                     x.append(new)
                 n = sum(map(len, held[0]))
