@@ -339,9 +339,8 @@ def graph_access(t):
 @query(f"SELECT CASE o_orderkey % {len(_USES)} {_cases(2)} END AS form, count(*) AS n FROM orders GROUP BY 1")
 def graph_use_forms(t):
     code = _once(t, "uses", _uses_graph)
-    found = views.use_forms(code, code.nodes.where("atom LIKE '@s%'").select("id"))
-    forms = code.nodes.select(F.col("id").alias("form"), "head")
-    return found.join(forms, "form").groupBy(F.coalesce("head", F.lit("atom")).alias("form")).agg(F.count("*").alias("n"))
+    found = views.use_forms(code, code.nodes.where("atom LIKE '@s%'"))
+    return found.groupBy(F.coalesce("form_head", F.lit("atom")).alias("form")).agg(F.count("*").alias("n"))
 
 
 @query("WITH p AS (SELECT p_partkey AS k, count(*) OVER () AS n FROM part) SELECT k || '.0' AS type, 'members' AS section, k || '.0.2' AS node, 'write' AS access, 1 AS n FROM p UNION ALL SELECT k || '.0', 'members', k || '.0.3.0.1', NULL, 0 FROM p UNION ALL SELECT k || '.0', 'taking', (n + k) || '.0', NULL, 1 FROM p UNION ALL SELECT k * 7 % n || '.0', 'returning', (n + k) || '.0', NULL, 1 FROM p WHERE k * 7 % n IN (SELECT k FROM p) UNION ALL SELECT (k + 1) % n || '.0', 'held-in', k || '.0.3.0.1', NULL, 1 FROM p WHERE (k + 1) % n IN (SELECT k FROM p) UNION ALL SELECT k || '.0', 'objects', (3 * n + k) || '.0', NULL, 1 FROM p WHERE k % 2 = 0")

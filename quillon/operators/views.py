@@ -114,9 +114,15 @@ def _access(graph: Graph, uses: DataFrame) -> DataFrame:
 
 
 def use_forms(graph: Graph, uses: DataFrame) -> DataFrame:
-    """id and form: of each use (column id) the least around it that says what it is: the call that
-    it calls, the selection that selects it, the designator that it is in; else itself."""
-    mine = graph.nodes.select(*_with_above(graph, "id", "parent_id", "ord", "in_call")).join(uses.select("id").distinct(), "id", "left_semi")
+    """id, form and form_head: of each use (column id) the least around it that says what it is: the
+    call that it calls, the selection that selects it, the designator that it is in; else itself;
+    and that form's head. Uses that are rows of the graph's nodes, with their columns, are taken as
+    they are, and no node is looked up; of ids alone, repeated ones give one row."""
+    columns = _with_above(graph, "id", "parent_id", "ord", "head", "in_call")
+    if set(columns) <= set(uses.columns):
+        mine = uses.select(columns)
+    else:
+        mine = graph.nodes.select(columns).join(uses.select("id").distinct(), "id", "left_semi")
     rows = materialise(_above(graph, mine), "uses")
     # A kid at ord 2 or later says itself that there is one; only of a head others are asked.
     asks = F.coalesce(F.col("above").isin("->", ".") & (F.col("ord") < 1), F.lit(False))
@@ -127,7 +133,7 @@ def use_forms(graph: Graph, uses: DataFrame) -> DataFrame:
         rows = rows.where(~asks).withColumn("last", F.col("ord")).unionByName(heads.join(_lasts(graph, heads), "parent_id", "left").select(*rows.columns, "last"))
     selected = F.col("above").isin("->", ".") & (F.col("last") > 1) & (F.col("ord") != 1)
     outer = F.col("parent_id").isNotNull() & (F.col("in_call") | selected | (F.col("above") == "at"))
-    return rows.select("id", F.when(outer, F.col("parent_id")).otherwise(F.col("id")).alias("form"))
+    return rows.select("id", F.when(outer, F.col("parent_id")).otherwise(F.col("id")).alias("form"), F.when(outer, F.col("above")).otherwise(F.col("head")).alias("form_head"))
 
 
 def tally(graph: Graph, roots: DataFrame) -> DataFrame:
