@@ -88,20 +88,25 @@ def _access(graph: Graph, uses: DataFrame) -> DataFrame:
     head, first = F.col("above"), F.col("ord") == 1
     asks = F.coalesce((head == "index") & first, F.lit(False))
 
-    def told(rows: DataFrame, said: Column) -> DataFrame:
+    def told(rows: DataFrame, said: Column, *more: str) -> DataFrame:
         """What a form says of a use, k forms up; or the child of an index, that may be an array."""
-        return rows.select("id", "k", F.when(~asks, said).alias("said"), F.when(asks, F.col("child")).alias("child"))
+        return rows.select("id", "k", F.when(~asks, said).alias("said"), F.when(asks, F.col("child")).alias("child"), *more)
 
     beyond = _around(head, first, F.lit(False))
+    placed = "above" in nodes.columns
     here = _above(graph, open_).withColumns({"k": F.lit(0), "child": F.col("id")})
     at_use = F.when(head == "at", "init").when(head.isin("->", "."), F.lit(None).cast("string")).otherwise(beyond)
     pointed = here.where(head == "->").join(_lasts(graph, open_), "parent_id", "left")
-    told_by = told(here.where(~F.coalesce(head == "->", F.lit(False))), at_use)
-    told_by = told_by.unionByName(told(pointed, F.when(F.col("ord") < F.col("last"), "read")))
-    ranges = nodes.where("size > 1").select(*(F.col(c).alias(f"node_{c}") for c in ("id", "parent_id", "ord", "depth")), *_with_above(graph), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
-    chain = within(ranges, open_.select("id", "rank", "depth")).where("node_depth < depth")
-    chain = chain.select("id", (F.col("depth") - F.col("node_depth")).alias("k"), F.col("node_id").alias("child"), F.col("node_parent_id").alias("parent_id"), F.col("node_ord").alias("ord"), *_with_above(graph))
-    told_by = told_by.unionByName(told(_above(graph, chain), beyond))
+    told_by = told(here.where(~F.coalesce(head == "->", F.lit(False))), at_use, "rank", "depth")
+    told_by = materialise(told_by.unionByName(told(pointed, F.when(F.col("ord") < F.col("last"), "read"), "rank", "depth")), "told")
+    # Only uses of which the form around them says nothing ask those above it.
+    points = told_by.where("said IS NULL").select("id", "rank", "depth")
+    told_by = told_by.drop("rank", "depth")
+    if not points.isEmpty():
+        child = F.when(asks, F.col("id")) if placed else F.col("id")
+        ranges = nodes.where("size > 1").select(child.alias("child"), "above" if placed else "parent_id", "ord", F.col("depth").alias("node_depth"), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi"))
+        chain = within(ranges, points).where("node_depth < depth").withColumn("k", F.col("depth") - F.col("node_depth"))
+        told_by = told_by.unionByName(told(_above(graph, chain), beyond))
 
     nearest = told_by.groupBy("id").agg(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("k"))).alias("said"), F.min(F.when(F.col("said").isNotNull(), F.col("k"))).alias("k"), F.collect_list(F.when(F.col("child").isNotNull(), F.struct("k", "child"))).alias("asked"))
     arrays = materialise(_edges(graph, "typed").join(materialise(nodes.where("head = 'array'").select(F.col("id").alias("dst")), "heads"), "dst", "left_semi").select(F.col("src").alias("child")).distinct(), "arrays")
@@ -181,9 +186,12 @@ def type_report(graph: Graph, types: DataFrame) -> DataFrame:
     steps = nodes.where(F.col("head").isin("pointer", "array")).select(F.col("id").alias("src")).join(typed, "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = types.select(F.col("id").alias("seed"), "id")
     reach = closure(seeds, steps).select(F.col("seed").alias("type"), F.col("id").alias("dst"))
-    rows = reach.join(typed, "dst").select("type", F.col("src").alias("id")).distinct().join(nodes.select("id", "parent_id", "head", "top_id", "rep_id"), "id")
-    above = nodes.select(F.col("id").alias("parent_id"), F.col("head").alias("above"))
-    rows = rows.join(above, "parent_id", "left")
+    # Nodes that no section tells of aren't dealt out.
+    told = nodes.where(F.col("head").isin("param", "result", "member", "def")).select(*_with_above(graph, "id", "parent_id", "head", "top_id", "rep_id"))
+    rows = reach.join(typed, "dst").select("type", F.col("src").alias("id")).distinct().join(told, "id")
+    if "above" not in rows.columns:
+        above = nodes.where(F.col("head").isin("struct", "union")).select(F.col("id").alias("parent_id"), F.col("head").alias("above"))
+        rows = rows.join(above, "parent_id", "left")
     functions = F.when(F.col("head") == "param", "taking").when(F.col("head") == "result", "returning")
     held = F.when((F.col("head") == "member") & F.col("above").isin("struct", "union") & (F.col("parent_id") != F.col("type")), "held-in")
     objects = F.when((F.col("head") == "def") & F.col("parent_id").isNull() & (F.col("rep_id") == F.col("id")), "objects")

@@ -1,5 +1,7 @@
 """Views of placed forms look up no more nodes than they tell of."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillon.operators import views
@@ -44,3 +46,20 @@ def test_use_forms_of_rows_look_up_no_node(spark, monkeypatch):
     monkeypatch.setattr(views, "materialise", lambda df, what="table", _f=views.materialise: written.append(optimized(df)) or _f(df, what))
     got = views.use_forms(graph, uses)
     assert "LeftSemi" not in "".join(written) and rows(got) == rows(want) == rows(views.use_forms(code(spark, False), uses.select("id")))
+
+
+def test_access_told_by_the_form_around_asks_no_other(spark, monkeypatch):
+    graph = code(spark)
+    want = rows(views.access(code(spark, False), graph.nodes.where("atom LIKE '@%' OR head = 'paren'").select("id")))
+    assert rows(views.access(graph, graph.nodes.where("atom LIKE '@%' OR head = 'paren'").select("id"))) == want
+    uses = graph.nodes.where("atom = '@o' AND above IN ('=', 'at')").select("id")
+    monkeypatch.setattr(views, "within", None)
+    assert sorted(r.access for r in views.access(graph, uses).collect()) == ["init", "write"]
+
+
+def test_type_report_deals_out_only_what_it_tells_of(spark):
+    types = spark.createDataFrame([("0.0",)], "id string")
+    got = views.type_report(code(spark), types)
+    assert re.search(r"head#\d+ IN \(param,result,member,def\)", optimized(got))
+    assert rows(got) == rows(views.type_report(code(spark, False), types))
+    assert sorted((r.section, r.node, r.access, r.n) for r in got.collect()) == [("members", "0.0.2", "write", 1), ("members", "0.0.3", None, 0), ("objects", "1.0", None, 1), ("returning", "4.0", None, 1), ("taking", "3.0", None, 1)]
