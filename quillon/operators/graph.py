@@ -22,6 +22,8 @@ from .components import GROWTH, HOPS, content_hashes, several_hops, strong_compo
 from .ranges import ROUNDS, below, ranks, tree_levels, within
 
 KINDS = ("refers", "typed", "contains", "inside")
+#: Steps to what holds a node, and the column that names it.
+_HOLDERS = {"contains<": "parent_id", "^fn": "top_id", "^stmt": "stmt_id"}
 
 
 @dataclass(frozen=True)
@@ -146,11 +148,15 @@ class Graph:
         cur = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.col("id").alias("via").try_cast(dict(self.nodes.dtypes)["id"]))
         # As a table: its size is known then, and a small one is broadcast.
         cur = materialise(cur.withColumn("via", F.when(F.lit(False), F.col("via"))), "roots")
-        for step in parse_steps(steps):
-            cur = self._step(cur, step)
+        asked = parse_steps(steps)
+        for k, step in enumerate(asked):
+            if step != "call" or asked[k + 1 : k + 2] not in ([s] for s in _HOLDERS):
+                cur = self._step(cur, step, asked[k - 1 : k] == ["call"])
         return cur
 
-    def _step(self, cur: DataFrame, step: str) -> DataFrame:
+    def _step(self, cur: DataFrame, step: str, called: bool = False) -> DataFrame:
+        """One step; with `called` only from nodes in calls, which a step to what holds them looks up
+        by the same join."""
         n = self.nodes
         if step in ("refers", "typed"):
             e = self.edges.where(F.col("kind") == step).select(F.col("src").alias("node"), "dst")
@@ -176,8 +182,8 @@ class Graph:
         elif step == "call":
             out = cur.join(n.where("in_call").select(F.col("id").alias("node")), "node").select("root", "node", "via")
         else:
-            column = {"contains<": "parent_id", "^fn": "top_id", "^stmt": "stmt_id"}[step]
-            out = cur.join(n.select(F.col("id").alias("node"), F.col(column).alias("k")), "node").where("k IS NOT NULL").select("root", F.col("k").alias("node"), "via")
+            column = _HOLDERS[step]
+            out = cur.join((n.where("in_call") if called else n).select(F.col("id").alias("node"), F.col(column).alias("k")), "node").where("k IS NOT NULL").select("root", F.col("k").alias("node"), "via")
             if step == "^fn" and not self._alone:
                 out = self._rep(out)
         return out.distinct()
@@ -390,13 +396,16 @@ def _from_places(nodes: DataFrame, how: How) -> DataFrame:
     top = F.col("parent_id").isNull()
     said = out.agg(*(F.count_if(F.col(c) & ~top).alias(f"{c}in") for c in flags), *(F.count_if(F.col(c) & top).alias(f"{c}top") for c in flags), F.count_if(top).alias("tops")).first()
     out = out.select(*how.columns, "above", "__h", "__s", "in_call", "__e", F.col("__depth").alias("depth"), F.col("__root").alias("root_id"), (F.col("__offset") + F.col("__local") + 1).alias("rank"), size.alias("size"), F.when(top, size).alias("room"))
+    ranked = out.select("id", "rank")
     for flag, name in (("__h", "top_id"), ("__s", "stmt_id")):
         if not said[f"{flag}in"] and said[f"{flag}top"] in (0, said["tops"]):
             out = out.withColumn(name, F.col("root_id") if said[f"{flag}top"] else F.lit(None).cast("string"))
             continue
         ranges = materialise(out.where(flag).select(F.col("id").alias(name), F.col("depth").alias("__d"), F.col("rank").alias("lo"), (F.col("rank") + F.col("size") - 1).alias("hi")), "ranges")
-        found = within(ranges, out.select("id", "rank")).groupBy("id").agg(F.max_by(name, "__d").alias(name))
-        out = materialise(out.join(found, "id", "left"), "nodes")
+        # A table of what is found, not of all nodes: as each id is grouped once, Spark leaves the join
+        # out where nobody reads the column.
+        found = materialise(within(ranges, ranked).groupBy("id").agg(F.max_by(name, "__d").alias(name)), "holders")
+        out = out.join(found.groupBy("id").agg(F.first(name).alias(name)), "id", "left")
     return out.drop("__h", "__s")
 
 

@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import graph as graph_module
 from quillon.operators import views
 from quillon.operators.graph import Graph
 from quillon.sources.forms import read_forms
@@ -63,3 +65,22 @@ def test_type_report_deals_out_only_what_it_tells_of(spark):
     assert re.search(r"head#\d+ IN \(param,result,member,def\)", optimized(got))
     assert rows(got) == rows(views.type_report(code(spark, False), types))
     assert sorted((r.section, r.node, r.access, r.n) for r in got.collect()) == [("members", "0.0.2", "write", 1), ("members", "0.0.3", None, 0), ("objects", "1.0", None, 1), ("returning", "4.0", None, 1), ("taking", "3.0", None, 1)]
+
+
+def test_statements_within_trees_rewrite_no_nodes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph_module, "materialise", lambda df, what="table", _f=graph_module.materialise: written.append(what) or _f(df, what))
+    graph = code(spark, fresh=True)
+    assert "nodes" not in written and "LeftOuter" not in optimized(graph.nodes.select("id", "top_id", "in_call"))
+    assert rows(graph.nodes.select("id", "stmt_id")) == rows(code(spark, False).nodes.select("id", "stmt_id"))
+
+
+@pytest.mark.parametrize("steps", ["refers< call ^fn", "refers< call ^stmt", "refers< call contains<", "refers< call", "call ^fn call"])
+def test_calls_and_what_holds_them(spark, steps):
+    graph, roots = code(spark), code(spark).nodes.select("id")
+    cur = None
+    for step in steps.split():
+        cur = graph.follow(roots, step) if cur is None else graph._step(cur, step)
+    assert rows(graph.follow(roots, steps)) == rows(cur)
+    if "^fn" in steps and steps.startswith("refers"):
+        assert optimized(graph.follow(roots, steps)).count("Join") < optimized(cur).count("Join")
