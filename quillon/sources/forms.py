@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ NODES = "unit bigint, id string, parent_id string, ord bigint, head string, atom
 PLACED = "above string, __depth int, __size bigint, __root string, __local bigint, __part int"
 EDGES = "src string, dst string, kind string"
 TOKEN = re.compile(r'\(|\)|"(?:[^"\\]|\\.)*"|[^\s()"]+')
+STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+#: All bytes but parentheses.
+OTHERS = bytes(b for b in range(256) if b not in b"()")
 
 
 def read_forms(units: DataFrame, unit: str = "unit", text: str = "text", places: bool = False) -> Graph:
@@ -27,38 +31,46 @@ def read_forms(units: DataFrame, unit: str = "unit", text: str = "text", places:
     With `places`, top forms are dealt out in the source's order before they are read, so that nodes
     are written with their place in it, and index() has no trees to join. Nodes have `above` then, the
     head of the form around them. A unit's number may not stand in two rows."""
-    schema = f"{NODES}, {PLACED}" if places else NODES
-    columns = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in f"{NODES}, {PLACED}".split(", ")]
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in f"{NODES}, {PLACED}".split(", ")]
+    own = len(NODES.split(", "))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for u, t in zip(batch["unit"], batch["text"], strict=True):
-                out += _nodes(int(u), t or "")
-            yield pd.DataFrame(out, columns=columns).astype({"unit": "int64", "ord": "int64"})
+    def batch_of(columns: list[list], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(u, k, f"{u}.{k}", form) for u, t in zip(batch["unit"], batch["text"], strict=True) for k, form in enumerate(_tops(int(u), t or ""))]
-            yield pd.DataFrame(out, columns=["unit", "ord", "id", "text"]).astype({"unit": "int64", "ord": "int64"})
+            out = [[] for _ in range(own + 4)]
+            for u, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _read(int(u), t or "", out)
+            yield batch_of(out[:own], names[:own])
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            for u, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, form in enumerate(_tops(int(u), t or "")):
+                    for column, value in zip(out, (u, k, f"{u}.{k}", form), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["unit", "ord", "id", "text"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            out = []
-            for u, k, t in zip(batch["unit"], batch["ord"], batch["text"], strict=True):
-                rows = _nodes(int(u), t, int(k))
-                out += [(*row, *at, local + n, part) for n, (row, at) in enumerate(zip(rows, _places(rows), strict=True))]
-                local += len(rows)
-            yield pd.DataFrame(out, columns=columns).astype({"unit": "int64", "ord": "int64"})
+            out = [[] for _ in range(own + 4)]
+            for u, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _read(int(u), t, out, k)
+            n = len(out[0])
+            yield batch_of([*out, range(local, local + n), [part] * n], names)
+            local += n
 
     texts = units.select(F.col(unit).cast("bigint").alias("unit"), F.col(text).alias("text"))
     if places:
-        texts = texts.mapInPandas(split, "unit bigint, ord bigint, id string, text string")
+        texts = texts.mapInArrow(split, "unit bigint, ord bigint, id string, text string")
         texts = texts.repartitionByRange("ord", "id").sortWithinPartitions("ord", "id").select("unit", "ord", "text")
-        nodes = materialise(texts.mapInPandas(placed, schema), "forms")
+        nodes = materialise(texts.mapInArrow(placed, f"{NODES}, {PLACED}"), "forms")
     else:
-        nodes = materialise(texts.mapInPandas(run, schema), "forms")
+        nodes = materialise(texts.mapInArrow(run, NODES), "forms")
     uses = nodes.where("atom LIKE '@%'").select(F.col("id").alias("src"), F.substring("atom", 2, 1 << 30).alias("label"))
     # As tables: where few names are used, however often, they are broadcast.
     asked = materialise(uses.select("label").distinct(), "names")
@@ -69,6 +81,9 @@ def read_forms(units: DataFrame, unit: str = "unit", text: str = "text", places:
 
 def _tops(unit: int, text: str) -> Iterator[str]:
     """The top forms of a unit's text."""
+    if _one_list(text):
+        yield text
+        return
     depth = begin = 0
     for token in TOKEN.finditer(text):
         begin = begin if depth else token.start()
@@ -81,46 +96,62 @@ def _tops(unit: int, text: str) -> Iterator[str]:
         raise ValueError(f"unit {unit}: missing )")
 
 
-def _places(rows: list[tuple]) -> list[tuple]:
-    """above, depth, size and root of each of one top form's rows."""
-    out, at = [], {}
-    for n, (_, name, parent, *_) in enumerate(rows):
-        up = at.get(parent)
-        at[name] = n
-        out.append([None if up is None else rows[up][4], 0 if up is None else out[up][1] + 1, 1, rows[0][1]])
-    for n in range(len(rows) - 1, 0, -1):
-        out[at[rows[n][2]]][2] += out[n][2]
-    return [tuple(x) for x in out]
+def _one_list(text: str) -> bool:
+    """Whether the text is one list from its first character to its last: by its parentheses alone."""
+    if text[:1] != "(" or text[-1:] != ")":
+        return False
+    depth, marks = 0, (STRING.sub("", text) if '"' in text else text).encode("utf-8", "surrogatepass").translate(None, OTHERS)
+    for n, mark in enumerate(marks, 1):
+        depth += 1 if mark == 40 else -1
+        if depth <= 0:
+            return not depth and n == len(marks)
+    return False
 
 
-def _nodes(unit: int, text: str, roots: int = 0) -> list[tuple]:
-    """The rows of one unit's forms, of which the first is its top form `roots`; a list's head is its
-    first atom, its label the second."""
-    out, stack = [], []
+def _read(unit: int, text: str, out: list[list], roots: int = 0) -> None:
+    """Appends the nodes of one unit's forms, of which the first is its top form `roots`, to the columns
+    of NODES, above, depth, size and root; a list's head is its first atom, its label the second."""
+    units, ids, parents, ords, heads, atoms, labels, aboves, depths, sizes, tops = out
+    stack, kids = [], []
     for token in TOKEN.findall(text):
         if token == ")":
             if not stack:
                 raise ValueError(f"unit {unit}: unexpected )")
-            stack.pop()
+            at = stack.pop()
+            kids.pop()
+            sizes[at] = len(ids) - at
             continue
-        parent = stack[-1] if stack else None
-        place = parent["n"] if parent else roots
-        name = f"{parent['id'] if parent else unit}.{place}"
-        if parent:
-            parent["n"] += 1
+        depths.append(len(stack))
+        if stack:
+            at, place = stack[-1], kids[-1]
+            kids[-1] += 1
+            if token != "(":
+                if place == 0:
+                    heads[at] = token
+                elif place == 1:
+                    labels[at] = token
+            name, parent, above, top = f"{ids[at]}.{place}", ids[at], heads[at], tops[at]
         else:
+            name, parent, above, place = f"{unit}.{roots}", None, None, roots
+            top = name
             roots += 1
-        row = [unit, name, parent["id"] if parent else None, place, None, None if token == "(" else token, None]
-        out.append(row)
         if token == "(":
-            stack.append({"id": name, "n": 0, "row": row})
-        elif parent and place == 0:
-            parent["row"][4] = token
-        elif parent and place == 1:
-            parent["row"][6] = token
+            stack.append(len(ids))
+            kids.append(0)
+            atoms.append(None)
+        else:
+            atoms.append(token)
+        units.append(unit)
+        ids.append(name)
+        parents.append(parent)
+        ords.append(place)
+        heads.append(None)
+        labels.append(None)
+        aboves.append(above)
+        sizes.append(1)
+        tops.append(top)
     if stack:
         raise ValueError(f"unit {unit}: missing )")
-    return [tuple(r) for r in out]
 
 
 def write_forms(graph: Graph) -> DataFrame:

@@ -1,5 +1,6 @@
 """Views of placed forms look up no more nodes than they tell of."""
 
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.operators import graph as graph_module
 from quillon.operators import views
 from quillon.operators.graph import Graph
+from quillon.sources import forms
 from quillon.sources.forms import read_forms
 
 CODE = ["(struct s (member m) (member n))", "(def o)", "(pointer)", "(defn f (param a) (= @o 1) (at @o 3) (call @f (addr (paren @o))) (= (-> x m) 1) (@o -> m))", "(defn g (param b) (result r) (call @f 1) (. @o k))"]
@@ -84,3 +86,22 @@ def test_calls_and_what_holds_them(spark, steps):
     assert rows(graph.follow(roots, steps)) == rows(cur)
     if "^fn" in steps and steps.startswith("refers"):
         assert optimized(graph.follow(roots, steps)).count("Join") < optimized(cur).count("Join")
+
+
+def test_one_list_is_told_by_its_parentheses(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(list('()()ab"\\ \n') + ["é"]) for _ in range(rng.randrange(12))) for _ in range(3_000)]
+    texts += [f"({t})" for t in texts]
+
+    def tops(text):
+        try:
+            return list(forms._tops(1, text))
+        except ValueError as e:
+            return str(e)
+
+    got = [tops(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(forms, "_one_list", lambda text: False)
+        assert got == [tops(t) for t in texts]
+    monkeypatch.setattr(forms, "TOKEN", None)
+    assert list(forms._tops(1, '(a "(" (b "\\")"))')) == ['(a "(" (b "\\")"))']
