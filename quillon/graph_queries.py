@@ -366,7 +366,7 @@ def graph_type_report(t):
         edge("typed", "concat(3 * n + k, '.0')", "concat(k, '.0')", "k % 2 = 0"),
     ]
     code = replace(graph, edges=reduce(DataFrame.unionByName, edges)).index(holder=F.col("parent_id").isNull(), statement=F.lit(False))
-    return views.type_report(code, code.nodes.where("head = 'struct' AND parent_id IS NULL").select("id"))
+    return views.type_report(code, code.nodes.where("head = 'struct' AND parent_id IS NULL"))
 
 
 def _forms(t) -> DataFrame:

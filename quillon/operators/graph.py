@@ -142,19 +142,20 @@ class Graph:
 
     # -- the step language -----------------------------------------------------------------
 
-    def follow(self, roots: DataFrame, steps: str) -> DataFrame:
+    def follow(self, roots: DataFrame, steps: str, held: bool = False) -> DataFrame:
         """What the steps reach from each root (column id): root, node, via. via is the use that
-        was crossed last; each step is a join, and sets stay sets at every step."""
+        was crossed last; each step is a join, and sets stay sets at every step. With `held` the
+        roots are known to be nodes, and aren't looked up to see it."""
         cur = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.col("id").alias("via").try_cast(dict(self.nodes.dtypes)["id"]))
         # As a table: its size is known then, and a small one is broadcast.
         cur = materialise(cur.withColumn("via", F.when(F.lit(False), F.col("via"))), "roots")
         asked = parse_steps(steps)
         for k, step in enumerate(asked):
             if step != "call" or asked[k + 1 : k + 2] not in ([s] for s in _HOLDERS):
-                cur = self._step(cur, step, asked[k - 1 : k] == ["call"])
+                cur = self._step(cur, step, asked[k - 1 : k] == ["call"], held and not k)
         return cur
 
-    def _step(self, cur: DataFrame, step: str, called: bool = False) -> DataFrame:
+    def _step(self, cur: DataFrame, step: str, called: bool = False, held: bool = False) -> DataFrame:
         """One step; with `called` only from nodes in calls, which a step to what holds them looks up
         by the same join."""
         n = self.nodes
@@ -167,7 +168,7 @@ class Graph:
         elif step == "refers<":
             uses = self.edges.where("kind = 'refers'").select("dst", "src")
             if self._alone:
-                decls = self._rep(cur).withColumnRenamed("node", "dst")
+                decls = (cur if held else self._rep(cur)).select("root", F.col("node").alias("dst"))
             else:
                 decls = self._rep(cur).join(n.select(F.col("rep_id").alias("node"), F.col("id").alias("dst")), "node")
             out = _at(decls, uses).join(uses, "dst").select("root", F.col("src").alias("node"), F.col("src").alias("via"))

@@ -77,7 +77,10 @@ def access(graph: Graph, uses: DataFrame) -> DataFrame:
 def _access(graph: Graph, uses: DataFrame) -> DataFrame:
     """access(), with the uses' top_id."""
     nodes = graph.nodes
-    mine = nodes.select(*_with_above(graph, "id", "parent_id", "ord", "depth", "rank", "in_call", "top_id")).join(uses.select("id").distinct(), "id", "left_semi")
+    mine = nodes.select(*_with_above(graph, "id", "parent_id", "ord", "depth", "rank", "in_call", "top_id"))
+    if "above" in mine.columns:  # only of selections the kids are asked for then
+        mine = mine.withColumn("parent_id", F.when(F.col("above") == "->", F.col("parent_id")))
+    mine = mine.join(uses.select("id").distinct(), "id", "left_semi")
     # Tables of what few nodes are: they are broadcast, and hot targets aren't dealt out.
     said = materialise(nodes.where(F.col("head").isin(*TYPES, "label")).select(F.col("id").alias("dst"), "head"), "heads")
     named = _edges(graph, "refers").join(said, "dst").groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("head").isin(*TYPES)).alias("__type"), F.bool_or(F.col("head") == "label").alias("__label"))
@@ -141,10 +144,10 @@ def use_forms(graph: Graph, uses: DataFrame) -> DataFrame:
     return rows.select("id", F.when(outer, F.col("parent_id")).otherwise(F.col("id")).alias("form"), F.when(outer, F.col("above")).otherwise(F.col("head")).alias("form_head"))
 
 
-def tally(graph: Graph, roots: DataFrame) -> DataFrame:
+def tally(graph: Graph, roots: DataFrame, held: bool = False) -> DataFrame:
     """Uses of each root (column id) by what they do: root, access, place (of the access in LABELS),
-    n and forms, the holders that they are in."""
-    found = materialise(graph.follow(roots, "refers<").select("root", "node"), "found")
+    n and forms, the holders that they are in. `held` as follow() has it."""
+    found = materialise(graph.follow(roots, "refers<", held).select("root", "node"), "found")
     rows = found.join(_access(graph, found.select(F.col("node").alias("id"))).withColumnRenamed("id", "node"), "node")
     rows = rows.groupBy("root", "access").agg(F.count("*").alias("n"), F.count_distinct("top_id").alias("forms"))
     return rows.withColumn("place", F.array_position(F.array(*map(F.lit, LABELS)), F.col("access")))
@@ -173,13 +176,15 @@ def type_report(graph: Graph, types: DataFrame) -> DataFrame:
     Sections: members (enumerators of an enum) with their uses by access (null and 0 where there
     are none); and, of the type or pointers to or arrays of it at any depth: taking and returning,
     functions with n such params or results; held-in, members of other aggregates; objects, the
-    first definitions at the top.
+    first definitions at the top. Types that are rows of the graph's nodes, with their heads, aren't
+    looked up.
     """
     nodes = graph.nodes
-    lists = members(graph, types).join(nodes.select(F.col("id").alias("type"), "head"), "type")
+    kinds = types.select("id", "head").distinct() if "head" in types.columns else nodes.select("id", "head")
+    lists = members(graph, types).join(kinds.withColumnRenamed("id", "type"), "type")
     section = F.when(F.col("head").isin("enum", "extern-enum"), "enumerators").otherwise("members")
     own = lists.select("type", section.alias("section"), F.col("member").alias("node"))
-    found = tally(graph, own.select(F.col("node").alias("id")).distinct()).select(F.col("root").alias("node"), "access", "n")
+    found = tally(graph, own.select(F.col("node").alias("id")).distinct(), held=True).select(F.col("root").alias("node"), "access", "n")
     used = own.join(found, "node", "left").select("type", "section", "node", "access", F.coalesce("n", F.lit(0)).alias("n"))
 
     typed = _edges(graph, "typed")

@@ -69,6 +69,14 @@ def test_type_report_deals_out_only_what_it_tells_of(spark):
     assert sorted((r.section, r.node, r.access, r.n) for r in got.collect()) == [("members", "0.0.2", "write", 1), ("members", "0.0.3", None, 0), ("objects", "1.0", None, 1), ("returning", "4.0", None, 1), ("taking", "3.0", None, 1)]
 
 
+def test_types_that_are_rows_and_held_roots_are_not_looked_up(spark, monkeypatch):
+    graph = code(spark)
+    types = graph.nodes.where("head = 'struct'")
+    want = rows(views.type_report(graph, types.select("id")))
+    monkeypatch.setattr(Graph, "_rep", None)
+    assert rows(views.type_report(graph, types)) == want and len(want) == 5
+
+
 def test_statements_within_trees_rewrite_no_nodes(spark, monkeypatch):
     written = []
     monkeypatch.setattr(graph_module, "materialise", lambda df, what="table", _f=graph_module.materialise: written.append(what) or _f(df, what))
